@@ -55,7 +55,7 @@ def high_score_feed(
     signals = joins.join_pair_by_id(recent.drop("pair_symbol"), pairs).withColumnRenamed(
         "listed_symbol", "pair_symbol"
     )
-    bridge = strategies.within_ids(catalog("sh_patterns"), recent)
+    bridge = strategies.since_first_id(catalog("sh_patterns"), recent)
     listed = filters.pattern_whitelist(catalog("signal_patterns"))
     folded = aggregates.collect_patterns(
         joins.pattern_rows(bridge, listed), ["scoring_history_id"]
@@ -90,14 +90,14 @@ def optimized_rows(
         "exchange_id",
     )
     profiles = strategies.profiles(
-        strategies.within_ids(catalog("sh_patterns"), recent),
+        strategies.since_first_id(catalog("sh_patterns"), recent),
         catalog("signal_patterns"),
         config.min_patterns,
     )
     labels = catalog("market_regime").select(
         F.col("id").alias("signal_regime_id"), F.col("regime").alias("market_regime")
     )
-    links = strategies.within_ids(catalog("sh_regime"), recent)
+    links = strategies.since_first_id(catalog("sh_regime"), recent)
     regimes = (
         links.join(filters.require_columns(labels, "market_regime"), "signal_regime_id")
         .select(F.col("scoring_history_id").alias("id"), "market_regime")
@@ -136,10 +136,10 @@ def best_signals(
         recent.join(symbols, "pair_symbol", "left_semi").select(
             "id", "pair_symbol", "timestamp", "total_score"
         ),
-        strategies.within_ids(catalog("scoring_history_results_v2"), recent),
+        strategies.since_first_id(catalog("scoring_history_results_v2"), recent),
     )
     profiles = strategies.profiles(
-        strategies.within_ids(catalog("sh_patterns"), recent),
+        strategies.since_first_id(catalog("sh_patterns"), recent),
         catalog("signal_patterns"),
         config.min_patterns,
     )

@@ -40,16 +40,16 @@ def strategy_candidates(strategies: DataFrame, keys: Sequence[str]) -> DataFrame
     )
 
 
-def within_ids(bridge: DataFrame, recent: DataFrame, key: str = "scoring_history_id") -> DataFrame:
-    """Bridge rows between the smallest and largest id of the recent signals.
-
-    Numbers grow with time, so on a bridge stored in arrival order the two bounds, which reach the
-    scan as pushed filters, leave only the newest row groups.  Any row they drop has no signal.
+def since_first_id(
+    bridge: DataFrame, recent: DataFrame, key: str = "scoring_history_id"
+) -> DataFrame:
+    """Bridge rows from the smallest id of the recent signals on.
+
+    Rows below it have no recent signal, whatever order numbers come in.  As they grow with time,
+    a bridge stored in arrival order is read only in its newest row groups: the bound is one
+    scalar subquery, which Spark hands to the Parquet scan as a literal.
     """
-    bounds = recent.agg(F.struct(F.min("id").alias("low"), F.max("id").alias("high"))).scalar()
-    return bridge.filter(
-        (F.col(key) >= bounds.getField("low")) & (F.col(key) <= bounds.getField("high"))
-    )
+    return bridge.filter(F.col(key) >= recent.agg(F.min("id")).scalar())
 
 
 def profiles(bridge: DataFrame, patterns: DataFrame, minimum: int = 2) -> DataFrame:
