@@ -1 +1,985 @@
+"""Single operators in batch form, over whole tables unless the operator is a time window."""
 
+from __future__ import annotations
+
+from datetime import datetime, timedelta
+
+from pyspark.sql import functions as F
+
+from sigloom.functions import float_or_zero, iso_text, pattern_key, strategy_patterns
+from sigloom.operators import aggregates, consumer, filters, joins, ranking, sets, shaping
+from sigloom.plans import best_params, feeds, monitoring, strategies
+from sigloom.registry.base import (
+    CONFIG,
+    NOW,
+    PARAMETERS,
+    RECENT,
+    WINDOW_MINUTES,
+    iso,
+    joined_list,
+    query,
+    stamp,
+)
+from sigloom.registry.feeds import (
+    DIAGNOSTIC,
+    RECORD,
+    SCORES,
+    priced_signals,
+)
+from sigloom.schemas import PARAMETER_COLUMNS
+from sigloom.sources import messages
+from sigloom.sources.catalog import scan_tables
+from sigloom.standins import AS_OF, DEFINITIONS
+
+LIST_OF = "string_split(regexp_replace(split_part(strategy_name, '|', 1), '[\\[\\]'']', '', 'g'), ', ')"
+
+
+def paired(t):
+    return joins.join_pair_by_id(t("scoring_history"), t("trading_pairs"))
+
+
+def with_params(t):
+    return joins.join_exchange_params(paired(t), best_params.exchange_params(t, CONFIG))
+
+
+def best_strategy_rows(t):
+    return strategies.best_strategies(t("best_parameters"))
+
+
+# --- sources and messages -------------------------------------------------------------------
+
+
+@query(
+    "S1_scan_tables",
+    " union all ".join(
+        f"select '{name}' as table_name, count(*) as row_count from {name}" for name in DEFINITIONS
+    ),
+)
+def s1(t):
+    return scan_tables(t)
+
+
+@query("S2_recent_window", f"select id, {stamp('timestamp')} as timestamp from scoring_history where {RECENT}")
+def s2(t):
+    return filters.recent_window(t("scoring_history"), WINDOW_MINUTES, AS_OF).select("id", "timestamp")
+
+
+@query(
+    "S6_envelope",
+    f"select 'signals' as type, {iso(NOW)} as timestamp, cast(count(*) as int) as count, "
+    "null as data from scoring_history union all "
+    f"select 'signal', {iso(NOW)}, null, to_json({{'id': id, 'pair_symbol': pair_symbol, "
+    "'recommended_action': recommended_action, 'score_week': score_week, "
+    "'score_month': score_month}) from scoring_history",
+)
+def s6(t):
+    rows = t("scoring_history").select(
+        "id", "pair_symbol", "recommended_action", "score_week", "score_month"
+    )
+    return messages.envelope(rows, AS_OF)
+
+
+def feed_messages(t):
+    """One message per signal: well-formed feeds, other kinds, and broken text."""
+    record = F.struct(
+        "id",
+        "pair_symbol",
+        float_or_zero("score_week").alias("score_week"),
+        iso_text("timestamp").alias("timestamp"),
+    )
+    feed = F.to_json(
+        F.struct(
+            F.lit("signals").alias("type"), F.lit(1).alias("count"), F.array(record).alias("data")
+        ),
+        messages.JSON_OPTIONS,
+    )
+    text = (
+        F.when(F.col("recommended_action") == "BUY", feed)
+        .when(F.col("is_active"), F.lit('{"type": "pong"}'))
+        .otherwise(F.concat(F.lit('{"type": "signals", "data": ['), F.col("id").cast("string")))
+    )
+    return t("scoring_history").select(text.alias("value"))
+
+
+@query(
+    "S7_parse_feed",
+    f"select id, pair_symbol, coalesce(score_week, 0) as score_week, {iso('timestamp')} as timestamp "
+    "from scoring_history where recommended_action = 'BUY'",
+)
+def s7(t):
+    return messages.parse_feed(feed_messages(t)).select(
+        "id", "pair_symbol", "score_week", "timestamp"
+    )
+
+
+@query(
+    "S7_malformed",
+    "select '{\"type\": \"signals\", \"data\": [' || cast(id as varchar) as head "
+    "from scoring_history where recommended_action = 'SELL' and not is_active",
+)
+def s7_bad(t):
+    return messages.malformed_messages(feed_messages(t))
+
+
+# --- projections ----------------------------------------------------------------------------
+
+
+@query("P1_signal_record", f"select {RECORD} from with_params")
+def p1(t):
+    return shaping.signal_record(with_params(t))
+
+
+@query(
+    "P4_narrow_record",
+    f"select id, pair_symbol, recommended_action, {SCORES}, trading_pair_id, exchange_id from paired",
+)
+def p4(t):
+    return shaping.narrow_record(paired(t))
+
+
+@query(
+    "P4_legacy_record",
+    f"select id, pair_symbol, recommended_action, {SCORES}, trading_pair_id from scoring_history",
+)
+def p4_legacy(t):
+    return shaping.narrow_record(t("scoring_history"), with_exchange=False)
+
+
+@query("P5_diagnostic_record", f"select {DIAGNOSTIC} from paired")
+def p5(t):
+    return shaping.diagnostic_record(paired(t))
+
+
+@query(
+    "P6_parse_strategy_patterns",
+    f"select strategy_name, {joined_list(LIST_OF)} as required_patterns from best_parameters",
+)
+def p6(t):
+    return t("best_parameters").select(
+        "strategy_name", strategy_patterns("strategy_name").alias("required_patterns")
+    )
+
+
+@query(
+    "P7_pattern_key",
+    "select id, pattern_type || '_' || timeframe as pattern_key from signal_patterns",
+)
+def p7(t):
+    return t("signal_patterns").select(
+        "id", pattern_key("pattern_type", "timeframe").alias("pattern_key")
+    )
+
+
+@query(
+    "P8_iso_timestamp",
+    f"select id, {iso('timestamp')} as iso, "
+    f"{iso(chr(39).join(['date_trunc(', 'minute', ', timestamp)']))} as iso_minute "
+    "from scoring_history",
+)
+def p8(t):
+    minute = F.date_trunc("minute", "timestamp")
+    return t("scoring_history").select(
+        "id", iso_text("timestamp").alias("iso"), iso_text(minute).alias("iso_minute")
+    )
+
+
+@query(
+    "P10_tag_source",
+    f"select 1 as exchange_id, {PARAMETERS} from backtest_summary_binance union all "
+    f"select 2 as exchange_id, {PARAMETERS} from backtest_summary_bybit",
+)
+def p10(t):
+    first = shaping.tag_source(t("backtest_summary_binance").select(*PARAMETER_COLUMNS), 1)
+    second = shaping.tag_source(t("backtest_summary_bybit").select(*PARAMETER_COLUMNS), 2)
+    return sets.union_params(first, second)
+
+
+# --- filters --------------------------------------------------------------------------------
+
+IDS = "select id from scoring_history where"
+
+
+@query("F1_score_threshold", f"{IDS} score_week > 50 and score_month > 50")
+def f1(t):
+    return filters.score_threshold(t("scoring_history")).select("id")
+
+
+@query(
+    "F2_param_threshold",
+    "select id from with_params where score_week > score_week_filter "
+    "and score_month > score_month_filter",
+)
+def f2(t):
+    return filters.param_threshold(with_params(t)).select("id")
+
+
+@query("F3_enabled_exchanges", "select id, exchange_id from trading_pairs where exchange_id in (2)")
+def f3(t):
+    from sigloom.config import enabled_exchanges
+
+    chosen = enabled_exchanges(first=False, second=True)
+    return filters.on_exchanges(t("trading_pairs"), chosen).select("id", "exchange_id")
+
+
+@query("F4_exclude_hours", f"{IDS} hour(timestamp) not between 0 and 1")
+def f4(t):
+    return filters.exclude_hours(t("scoring_history")).select("id")
+
+
+@query("F5_active_pair_and_signal", "select id from paired where is_active and pair_is_active")
+def f5(t):
+    return filters.active_rows(paired(t), "is_active", "pair_is_active").select("id")
+
+
+@query(
+    "F6_market_scope",
+    "select id from trading_pairs where exchange_id = 1 and contract_type_id = 1",
+)
+def f6(t):
+    return filters.market_scope(t("trading_pairs")).select("id")
+
+
+@query(
+    "F7_pattern_whitelist",
+    "select scoring_history_id, signal_patterns_id from keyed where pattern_type in "
+    "('SQUEEZE_IGNITION', 'OI_EXPLOSION') and timeframe in ('15m', '1h', '4h')",
+)
+def f7(t):
+    rows = joins.pattern_rows(t("sh_patterns"), t("signal_patterns"))
+    return filters.pattern_whitelist(rows).select("scoring_history_id", "signal_patterns_id")
+
+
+@query("F8_high_total_score", f"{IDS} total_score > 250")
+def f8(t):
+    return filters.high_total_score(t("scoring_history")).select("id")
+
+
+@query(
+    "F9_near_best_pnl",
+    "select summary_id, total_pnl_usd from backtest_summary where total_pnl_usd >= "
+    "(select max(total_pnl_usd) from backtest_summary) * 0.95",
+)
+def f9(t):
+    return filters.near_best_pnl(t("backtest_summary")).select("summary_id", "total_pnl_usd")
+
+
+@query(
+    "F10_min_strategy_pnl",
+    "select strategy_name, total_pnl_pct from best_parameters where total_pnl_pct > 180",
+)
+def f10(t):
+    return filters.min_strategy_pnl(t("best_parameters")).select("strategy_name", "total_pnl_pct")
+
+
+TYPED_REGIMES = (
+    "select sh.id, r.signal_type, mr.regime as market_regime from scoring_history sh "
+    "left join scoring_history_results_v2 r on r.scoring_history_id = sh.id "
+    "left join sh_regime g on g.scoring_history_id = sh.id "
+    "left join market_regime mr on mr.id = g.signal_regime_id"
+)
+
+
+@query(
+    "F11_require_regime_and_type",
+    f"select * from ({TYPED_REGIMES}) where signal_type is not null and market_regime is not null",
+)
+def f11(t):
+    results = t("scoring_history_results_v2").withColumnRenamed("scoring_history_id", "id")
+    typed = t("scoring_history").select("id").join(results, "id", "left")
+    labelled = joins.regime_by_bridge(typed, t("sh_regime"), t("market_regime"))
+    return filters.require_columns(labelled, "signal_type", "market_regime").select(
+        "id", "signal_type", "market_regime"
+    )
+
+
+PRICED = (
+    "select id, exchange_id, score_week, score_month / 100 as score, last_24h_volume as "
+    "entry_price from paired"
+)
+CONSUMABLE = (
+    f"select * from ({PRICED}) where coalesce(score, 0) >= 0.7 and exchange_id in (1) "
+    "and coalesce(entry_price, 0) <> 0"
+)
+
+
+@query("F12_consumer_filter", CONSUMABLE)
+def f12(t):
+    return consumer.consumer_filter(priced_signals(t), 0.7, [1])
+
+
+# --- joins ----------------------------------------------------------------------------------
+
+
+@query("J1_join_pair_by_id", "select id, trading_pair_id, listed_symbol, exchange_id from paired")
+def j1(t):
+    return paired(t).select("id", "trading_pair_id", "listed_symbol", "exchange_id")
+
+
+@query(
+    "J2_join_pair_by_symbol",
+    "select sh.id, tp.id as matched_pair_id, tp.exchange_id from scoring_history sh join "
+    "trading_pairs tp on tp.pair_symbol = sh.pair_symbol",
+)
+def j2(t):
+    rows = joins.join_pair_by_symbol(t("scoring_history"), t("trading_pairs"))
+    return rows.select("id", "matched_pair_id", "exchange_id")
+
+
+@query("J3_join_exchange_params", f"select id, exchange_id, {PARAMETERS} from with_params")
+def j3(t):
+    return with_params(t).select("id", "exchange_id", *PARAMETER_COLUMNS)
+
+
+@query(
+    "J4_cross_best_params",
+    f"select sh.id, {PARAMETERS} from scoring_history sh cross join legacy_best",
+)
+def j4(t):
+    best = best_params.legacy_best_row(t("backtest_summary"))
+    return joins.cross_best_params(t("scoring_history").select("id"), best, PARAMETER_COLUMNS)
+
+
+@query(
+    "J5_exists_pattern",
+    "select id from scoring_history sh where exists (select 1 from keyed k where "
+    "k.scoring_history_id = sh.id and k.pattern_type in ('SQUEEZE_IGNITION', 'OI_EXPLOSION') "
+    "and k.timeframe in ('15m', '1h', '4h'))",
+)
+def j5(t):
+    listed = filters.pattern_whitelist(t("signal_patterns"))
+    return joins.exists_pattern(t("scoring_history"), t("sh_patterns"), listed).select("id")
+
+
+@query(
+    "J6_in_top_n",
+    "select summary_id, final_equity from backtest_summary where summary_id in (select summary_id "
+    "from backtest_summary order by final_equity desc nulls first, summary_id limit 5)",
+)
+def j6(t):
+    summary = t("backtest_summary")
+    return joins.in_top(summary, ranking.top_by_equity(summary)).select("summary_id", "final_equity")
+
+
+@query(
+    "J7_lookup_by_best_id",
+    f"select summary_id, {PARAMETERS} from backtest_summary_binance where summary_id = "
+    "(select summary_id from best_first)",
+)
+def j7(t):
+    summary = t("backtest_summary_binance")
+    best = best_params.best_exchange_row(summary)
+    return joins.lookup_by_best_id(summary, best).select("summary_id", *PARAMETER_COLUMNS)
+
+
+@query(
+    "J8_left_join_with_on_filter",
+    "select sh.id, shp.signal_patterns_id, sp.pattern_type, sp.timeframe from scoring_history sh "
+    "left join sh_patterns shp on shp.scoring_history_id = sh.id left join signal_patterns sp "
+    "on sp.id = shp.signal_patterns_id and sp.pattern_type in ('SQUEEZE_IGNITION', "
+    "'OI_EXPLOSION') and sp.timeframe in ('15m', '1h', '4h')",
+)
+def j8(t):
+    listed = filters.pattern_whitelist(t("signal_patterns"))
+    rows = joins.left_join_patterns(t("scoring_history").select("id"), t("sh_patterns"), listed)
+    return rows.select("id", "signal_patterns_id", "pattern_type", "timeframe")
+
+
+@query(
+    "J9_bridge_join",
+    "select sh.id, k.pattern_type, k.timeframe from scoring_history sh join keyed k "
+    "on k.scoring_history_id = sh.id",
+)
+def j9(t):
+    rows = joins.bridge_join(t("scoring_history"), t("sh_patterns"), t("signal_patterns"))
+    return rows.select("id", "pattern_type", "timeframe")
+
+
+@query("J10_regime_by_bridge", f"select id, market_regime from ({TYPED_REGIMES})")
+def j10(t):
+    rows = joins.regime_by_bridge(
+        t("scoring_history").select("id"), t("sh_regime"), t("market_regime")
+    )
+    return rows.select("id", "market_regime")
+
+
+INTERVAL = (
+    "from scoring_history sh left join market_regime mr on mr.timeframe = '15m' and "
+    "mr.timestamp <= sh.timestamp and mr.timestamp > sh.timestamp - interval '1' hour"
+)
+
+
+def quarter_hour_regimes(t):
+    return t("market_regime").filter(F.col("timeframe") == "15m").select(
+        F.col("id").alias("regime_id"),
+        F.col("timestamp").alias("regime_time"),
+        F.col("regime").alias("market_regime"),
+    )
+
+
+@query(
+    "J11_regime_interval",
+    f"select sh.id, mr.id as regime_id, mr.regime as market_regime {INTERVAL}",
+)
+def j11(t):
+    facts = t("scoring_history").select("id", "timestamp")
+    rows = joins.interval_join(facts, quarter_hour_regimes(t), timedelta(hours=1))
+    return rows.select("id", "regime_id", "market_regime")
+
+
+@query(
+    "J11_interval_labels",
+    f"select distinct sh.id, mr.regime as market_regime {INTERVAL} where mr.regime is not null",
+)
+def j11_labels(t):
+    facts = t("scoring_history").select("id", "timestamp")
+    rows = joins.interval_labels(facts, quarter_hour_regimes(t), "market_regime")
+    return rows.select("id", "market_regime")
+
+
+@query(
+    "J12_result_type_join",
+    "select sh.id, r.signal_type from scoring_history sh left join scoring_history_results_v2 r "
+    "on r.scoring_history_id = sh.id where r.signal_type is not null",
+)
+def j12(t):
+    return joins.result_type_join(t("scoring_history"), t("scoring_history_results_v2")).select(
+        "id", "signal_type"
+    )
+
+
+PROFILED = (
+    "select k.scoring_history_id as signal_id, list(distinct k.pattern_key) as patterns, "
+    "r.signal_type, mr.regime as market_regime from keyed k "
+    "join scoring_history_results_v2 r on r.scoring_history_id = k.scoring_history_id "
+    "join sh_regime g on g.scoring_history_id = k.scoring_history_id "
+    "join market_regime mr on mr.id = g.signal_regime_id group by all"
+)
+
+
+def profiled(t):
+    """Every signal with its patterns, its result's type and its linked regime."""
+    rows = aggregates.collect_pattern_keys(
+        joins.keyed_pattern_rows(t("sh_patterns"), t("signal_patterns")), ["scoring_history_id"]
+    )
+    labelled = joins.regime_by_bridge(
+        rows.withColumnRenamed("scoring_history_id", "id"), t("sh_regime"), t("market_regime")
+    )
+    results = t("scoring_history_results_v2").withColumnRenamed("scoring_history_id", "id")
+    return (
+        filters.require_columns(labelled, "market_regime")
+        .join(results, "id")
+        .withColumnRenamed("id", "signal_id")
+    )
+
+
+MATCHED = (
+    f"from ({PROFILED}) rs join best_strategies bs on bs.market_regime = rs.market_regime "
+    "and rs.patterns @> bs.required_patterns"
+)
+
+
+@query(
+    "J13_match_strategy",
+    "select rs.signal_id, rs.market_regime, bs.strategy_name, bs.signal_type as "
+    f"strategy_signal_type, bs.total_pnl_pct {MATCHED}",
+)
+def j13(t):
+    signals = profiled(t).drop("signal_type")
+    rows = joins.match_strategy(signals, best_strategy_rows(t))
+    return rows.select(
+        "signal_id",
+        "market_regime",
+        "strategy_name",
+        F.col("signal_type").alias("strategy_signal_type"),
+        "total_pnl_pct",
+    )
+
+
+@query(
+    "J14_match_strategy_typed",
+    "select rs.signal_id, rs.signal_type, rs.market_regime, bs.strategy_name, bs.total_pnl_pct "
+    f"{MATCHED} and bs.signal_type = rs.signal_type",
+)
+def j14(t):
+    rows = joins.match_strategy_typed(profiled(t), best_strategy_rows(t))
+    return rows.select(
+        "signal_id", "signal_type", "market_regime", "strategy_name", "total_pnl_pct"
+    )
+
+
+@query(
+    "J15_event_pair_lookup",
+    "select sh.id, tp.is_active as pair_is_active from scoring_history sh left join "
+    "trading_pairs tp on tp.id = sh.trading_pair_id",
+)
+def j15(t):
+    rows = joins.event_pair_lookup(t("scoring_history"), t("trading_pairs"))
+    return rows.select("id", "pair_is_active")
+
+
+# --- aggregates -----------------------------------------------------------------------------
+
+PROBE = f"select max(id) as max_id, {stamp('max(timestamp)')} as max_timestamp, count(*) as total_count"
+
+
+@query(
+    "A1_change_probe",
+    f"{PROBE} from paired where {RECENT} and is_active and pair_is_active and score_week > 50 "
+    "and score_month > 50",
+)
+def a1(t):
+    return aggregates.change_probe(
+        t("scoring_history"), t("trading_pairs"), WINDOW_MINUTES, AS_OF
+    )
+
+
+@query(
+    "A1_probe_from_query",
+    f"{PROBE} from with_params where {RECENT} and is_active and pair_is_active and score_week > "
+    "score_week_filter and score_month > score_month_filter and "
+    "hour(timestamp) not between 0 and 1",
+)
+def a1_safe(t):
+    return aggregates.probe_from_query(feeds.standard_rows(t, CONFIG, AS_OF))
+
+
+@query(
+    "A2_change_probe_high",
+    f"{PROBE} from paired where {RECENT} and is_active and pair_is_active and total_score > 250 "
+    "and exchange_id = 1 and contract_type_id = 1",
+)
+def a2(t):
+    return aggregates.change_probe_high(
+        t("scoring_history"), t("trading_pairs"), WINDOW_MINUTES, AS_OF
+    )
+
+
+@query("A3_change_probe_id", f"select max(id) as max_id from scoring_history where {RECENT}")
+def a3(t):
+    return aggregates.change_probe_id(t("scoring_history"), WINDOW_MINUTES, AS_OF)
+
+
+def _sorted_list(column: str) -> str:
+    return joined_list(f"list_sort(list(distinct {column}))")
+
+
+@query(
+    "A4_collect_patterns",
+    f"select scoring_history_id, {_sorted_list('pattern_type')} as patterns, "
+    f"{_sorted_list('timeframe')} as timeframes from keyed group by scoring_history_id",
+)
+def a4(t):
+    rows = joins.pattern_rows(t("sh_patterns"), t("signal_patterns"))
+    return aggregates.collect_patterns(rows, ["scoring_history_id"])
+
+
+@query(
+    "A5_collect_pattern_keys",
+    f"select scoring_history_id, {_sorted_list('pattern_key')} as patterns from keyed "
+    "group by scoring_history_id",
+)
+def a5(t):
+    rows = joins.keyed_pattern_rows(t("sh_patterns"), t("signal_patterns"))
+    return aggregates.collect_pattern_keys(rows, ["scoring_history_id"])
+
+
+@query(
+    "A6_multi_pattern_having",
+    f"select scoring_history_id, {_sorted_list('pattern_key')} as patterns from keyed "
+    "group by scoring_history_id having count(distinct signal_patterns_id) >= 2",
+)
+def a6(t):
+    rows = joins.keyed_pattern_rows(t("sh_patterns"), t("signal_patterns"))
+    return aggregates.multi_pattern_having(rows, ["scoring_history_id"])
+
+
+@query(
+    "A6_three_patterns",
+    f"select scoring_history_id, {_sorted_list('pattern_key')} as patterns from keyed "
+    "group by scoring_history_id having count(distinct signal_patterns_id) >= 3",
+)
+def a6_three(t):
+    rows = joins.keyed_pattern_rows(t("sh_patterns"), t("signal_patterns"))
+    return aggregates.multi_pattern_having(rows, ["scoring_history_id"], 3)
+
+
+@query("A7_global_max", "select max(total_pnl_usd) as max_total_pnl_usd from backtest_summary")
+def a7(t):
+    return aggregates.global_max(t("backtest_summary"))
+
+
+@query(
+    "A8_count_by_exchange",
+    "select count(*) filter (where exchange_id = 1) as first_exchange, "
+    "count(*) filter (where exchange_id = 2) as second_exchange from paired",
+)
+def a8(t):
+    return aggregates.count_by_exchange(paired(t))
+
+
+@query(
+    "A9_pattern_distribution",
+    "select pattern, count(*) as signals from (select scoring_history_id, "
+    "unnest(list(distinct pattern_type)) as pattern from keyed group by scoring_history_id) "
+    "group by pattern",
+)
+def a9(t):
+    rows = joins.pattern_rows(t("sh_patterns"), t("signal_patterns"))
+    return aggregates.pattern_distribution(
+        aggregates.collect_patterns(rows, ["scoring_history_id"])
+    )
+
+
+BATCHES = (
+    "select date_diff('day', date '2024-01-01', cast(timestamp as date)) as batch_id, "
+    "max(timestamp) as time, count(*) as count, "
+    "sum(octet_length(encode(patterns_details))) as bytes, "
+    "case when max(case when is_active then total_score end) > 1500 then 'late' end as error, "
+    "max(timestamp) as first_timestamp from scoring_history group by cast(timestamp as date)"
+)
+
+
+def batch_log(t):
+    """One batch per day of signals."""
+    day = F.to_date("timestamp")
+    top = F.max(F.when(F.col("is_active"), F.col("total_score")))
+    return (
+        t("scoring_history")
+        .groupBy(F.datediff(day, F.lit("2024-01-01").cast("date")).alias("batch_id"))
+        .agg(
+            F.max("timestamp").alias("time"),
+            F.count(F.lit(1)).alias("count"),
+            F.sum(F.octet_length("patterns_details")).alias("bytes"),
+            F.when(top > 1500, F.lit("late")).alias("error"),
+            F.max("timestamp").alias("first_timestamp"),
+        )
+    )
+
+
+@query(
+    "A10_feed_totals",
+    "select count(*) as batches, cast(sum(count) as bigint) as signals, "
+    f"cast(sum(bytes) as bigint) as bytes, count(error) as errors from ({BATCHES})",
+)
+def a10(t):
+    return aggregates.feed_totals(batch_log(t))
+
+
+MINUTES = (
+    "select max(timestamp) as time, count(*) as count from scoring_history "
+    "group by date_trunc('minute', timestamp)"
+)
+
+
+def minute_log(t):
+    minute = F.date_trunc("minute", "timestamp")
+    return (
+        t("scoring_history")
+        .groupBy(minute.alias("minute"))
+        .agg(F.max("timestamp").alias("time"), F.count(F.lit(1)).alias("count"))
+    )
+
+
+@query(
+    "A11_signals_last_minute",
+    f"select cast(sum(count) as bigint) as signals from ({MINUTES}) where time > "
+    f"(select max(time) from ({MINUTES})) - interval '1' minute",
+)
+def a11(t):
+    log = minute_log(t)
+    return aggregates.signals_last_minute(log, log.agg(F.max("time")).scalar())
+
+
+@query(
+    "A12_average_rate",
+    "select batch_id, case when up > 0 then count / up else 0 end as rate from (select batch_id, "
+    f"count, date_diff('second', timestamp '2024-01-01 00:00:00', time) as up from ({BATCHES}))",
+)
+def a12(t):
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    uptime = F.unix_seconds(F.col("time").cast("timestamp")) - F.unix_seconds(start)
+    return batch_log(t).select(
+        "batch_id", aggregates.average_rate(F.col("count"), uptime).alias("rate")
+    )
+
+
+@query(
+    "A13_seconds_since_last",
+    f"select (epoch_us({NOW}) - epoch_us(max(time))) / 1000000.0::double as seconds_since_last "
+    f"from ({MINUTES})",
+)
+def a13(t):
+    return aggregates.seconds_since_last(minute_log(t), AS_OF)
+
+
+# --- ranking --------------------------------------------------------------------------------
+
+
+@query(
+    "W1_best_per_pnl",
+    "select distinct on (total_pnl_usd) summary_id, win_rate, total_pnl_usd from backtest_summary "
+    "order by total_pnl_usd desc, win_rate desc nulls first, summary_id",
+)
+def w1(t):
+    return ranking.best_per_pnl(t("backtest_summary")).select(
+        "summary_id", "win_rate", "total_pnl_usd"
+    )
+
+
+@query(
+    "W2_best_strategy_variant",
+    "select distinct on (strategy_name, signal_type, market_regime) * from best_parameters "
+    "order by strategy_name, signal_type, market_regime, total_pnl_pct desc nulls first, sl_pct, "
+    "ts_activation_pct, ts_callback_pct",
+)
+def w2(t):
+    return ranking.best_strategy_variant(t("best_parameters"))
+
+
+@query(
+    "W3_best_match_per_signal",
+    "select distinct on (rs.signal_id) rs.signal_id, rs.market_regime, bs.strategy_name, "
+    f"bs.total_pnl_pct as strategy_pnl {MATCHED} and bs.signal_type = rs.signal_type order by "
+    "rs.signal_id, bs.total_pnl_pct desc, bs.strategy_name, bs.signal_type, bs.market_regime",
+)
+def w3(t):
+    rows = joins.match_strategy_typed(profiled(t), best_strategy_rows(t))
+    best = ranking.best_match_per_signal(rows.withColumnRenamed("total_pnl_pct", "strategy_pnl"))
+    return best.select("signal_id", "market_regime", "strategy_name", "strategy_pnl")
+
+
+@query("W4_top1_by_win_rate", "select summary_id, win_rate from best_first")
+def w4(t):
+    return best_params.best_exchange_row(t("backtest_summary_binance")).select(
+        "summary_id", "win_rate"
+    )
+
+
+@query("W5_top5_then_best", "select summary_id, win_rate, final_equity from legacy_best")
+def w5(t):
+    return best_params.legacy_best_row(t("backtest_summary")).select(
+        "summary_id", "win_rate", "final_equity"
+    )
+
+
+@query("W6_order_feed", f"select id, score_week, {stamp('timestamp')} as timestamp from scoring_history")
+def w6(t):
+    return ranking.order_feed(t("scoring_history").select("id", "score_week", "timestamp"))
+
+
+@query("W7_order_high", f"select id, total_score, {stamp('timestamp')} as timestamp from scoring_history")
+def w7(t):
+    return ranking.order_high(t("scoring_history").select("id", "total_score", "timestamp"))
+
+
+FEED_SQL_ORDER = "score_week desc nulls last, timestamp desc nulls first, id"
+
+
+@query(
+    "W8_limit_n",
+    f"select id, score_week from scoring_history order by {FEED_SQL_ORDER} limit 5",
+)
+def w8(t):
+    return ranking.limit_feed(t("scoring_history")).select("id", "score_week")
+
+
+@query(
+    "W9_consumer_topk",
+    "select id, score_week from scoring_history order by coalesce(score_week, 0) desc, id limit 5",
+)
+def w9(t):
+    return ranking.consumer_top(t("scoring_history").select("id", "score_week"))
+
+
+@query(
+    "W10_tail_buffer",
+    "select id, score_week from (select *, row_number() over (order by "
+    f"{FEED_SQL_ORDER}) as rn, count(*) over () as n from scoring_history) where rn > n - 100",
+)
+def w10(t):
+    return ranking.tail_buffer(t("scoring_history")).select("id", "score_week")
+
+
+@query(
+    "W11_recent_ring",
+    "select batch_id, pos, id from (select id, cast(timestamp as date) as batch_day, "
+    "date_diff('day', date '2024-01-01', cast(timestamp as date)) as batch_id, "
+    f"row_number() over (partition by cast(timestamp as date) order by {FEED_SQL_ORDER}) - 1 as "
+    "pos from scoring_history) where pos < 10 order by batch_id desc, pos limit 50",
+)
+def w11(t):
+    day = F.datediff(F.to_date("timestamp"), F.lit("2024-01-01").cast("date"))
+    rows = t("scoring_history").withColumn("batch_id", day)
+    positioned = ranking.batch_positions(rows, "batch_id", ranking.feed_order(), 10)
+    return ranking.recent_ring(positioned).select("batch_id", "pos", "id")
+
+
+@query(
+    "W13_order_violations",
+    "select id, score_week, previous_score_week from (select id, score_week, lag(score_week) over "
+    "(order by id) as previous_score_week from scoring_history) "
+    "where score_week > previous_score_week",
+)
+def w13(t):
+    received = t("scoring_history").select("id", F.col("id").alias("pos"), "score_week")
+    return ranking.order_violations(received).select("id", "score_week", "previous_score_week")
+
+
+# --- sets and user code ---------------------------------------------------------------------
+
+
+@query("U1_union_params", "select * from exchange_params")
+def u1(t):
+    return best_params.exchange_params(t, CONFIG)
+
+
+@query(
+    "U2_new_since_seen",
+    "select id as signal_id from scoring_history where id not in "
+    "(select scoring_history_id from sh_patterns)",
+)
+def u2(t):
+    seen = t("sh_patterns").select(F.col("scoring_history_id").alias("signal_id"))
+    rows = t("scoring_history").select(F.col("id").alias("signal_id"))
+    return sets.new_since_seen(rows, seen)
+
+
+def _handler():
+    def handle(signal):
+        if signal["exchange_id"] == 2:
+            raise RuntimeError("exchange closed")
+
+    return handle
+
+
+@query(
+    "X2_process_top",
+    "select id, case when exchange_id = 2 then 'error' else 'processed' end as status, "
+    "case when exchange_id = 2 then 'exchange closed' end as error from (select * from "
+    f"({PRICED}) order by coalesce(score_week, 0) desc, id limit 100)",
+)
+def x2(t):
+    top = ranking.consumer_top(priced_signals(t), 100)
+    return consumer.process_rows(top, _handler())
+
+
+@query(
+    "X2_processing_totals",
+    f"select (select count(*) from ({PRICED})) as total_received, "
+    f"(select count(*) from ({PRICED})) - count(*) as filtered_out, "
+    "count(*) filter (where exchange_id <> 2) as processed, "
+    "count(*) filter (where exchange_id = 2) as errors "
+    f"from ({CONSUMABLE.replace('in (1)', 'in (1, 2)')})",
+)
+def x2_totals(t):
+    received = priced_signals(t)
+    kept = consumer.consumer_filter(received, 0.7, [1, 2])
+    return consumer.processing_totals(received, kept, consumer.process_rows(kept, _handler()))
+
+
+# --- change handling in batch form ----------------------------------------------------------
+
+CHANGED_BEFORE = (
+    "select *, case when id % 4 = 0 then score_week else score_week - 5 end as old_score_week, "
+    "case when id % 8 = 0 then not is_active else is_active end as old_is_active "
+    "from scoring_history"
+)
+
+
+@query(
+    "F13_changed_scores",
+    f"select id from ({CHANGED_BEFORE}) where score_week > 50 and score_month > 50 and "
+    "(score_week is distinct from old_score_week or is_active is distinct from old_is_active)",
+)
+def f13(t):
+    from sigloom.registry.streams import updates
+
+    return filters.changed_scores(updates(t("scoring_history"))).select("new.id")
+
+
+@query(
+    "F14_qualifying_event",
+    f"select id from paired where is_active and pair_is_active and score_week > 50 and "
+    f"score_month > 50 and {RECENT}",
+)
+def f14(t):
+    rows = joins.event_pair_lookup(t("scoring_history"), t("trading_pairs"))
+    return filters.qualifying_event(rows, AS_OF, WINDOW_MINUTES).select("id")
+
+
+PROBES = (
+    "select 'standard' as feed, timestamp as probe_time, case when score_week is not null then "
+    "cast(floor((id + 9 * (id % 5)) / 5) as bigint) end as max_id, "
+    "date_trunc('hour', timestamp) as max_timestamp from scoring_history"
+)
+
+
+def probe_history(t):
+    """A probe at every signal, whose newest id and time move only now and then."""
+    newest = F.floor((F.col("id") + 9 * (F.col("id") % 5)) / 5).cast("bigint")
+    return t("scoring_history").select(
+        F.lit("standard").alias("feed"),
+        F.col("timestamp").alias("probe_time"),
+        F.when(F.col("score_week").isNotNull(), newest).alias("max_id"),
+        F.date_trunc("hour", "timestamp").alias("max_timestamp"),
+    )
+
+
+GATED = (
+    "select feed, probe_time, max_id, max_timestamp, moved or max_id > coalesce(max(max_id) over "
+    "(partition by stretch order by probe_time rows between unbounded preceding and 1 preceding), "
+    "0) as changed from (select *, sum(cast(moved as int)) over (order by probe_time) as stretch "
+    "from (select *, max_timestamp is distinct from lag(max_timestamp) over (order by probe_time) "
+    f"as moved from ({PROBES}) where coalesce(max_id, 0) <> 0)) union all "
+    f"select *, false as changed from ({PROBES}) where coalesce(max_id, 0) = 0"
+)
+
+
+@query(
+    "T4_change_gate",
+    f"select feed, {stamp('probe_time')} as probe_time, max_id, {stamp('max_timestamp')} as "
+    f"max_timestamp, changed from ({GATED})",
+)
+def t4(t):
+    return monitoring.gate_history(probe_history(t))
+
+
+@query(
+    "T5_refresh_policy",
+    f"select {stamp('probe_time')} as probe_time, changed as on_event, changed or "
+    "date_diff('second', date_trunc('hour', probe_time), date_trunc('second', probe_time)) >= "
+    f"1800 as on_poll from ({GATED})",
+)
+def t5(t):
+    # Every hour starts with a refresh here, so the age of the last one is the time in the hour.
+    age = F.minute("probe_time") * 60 + F.second("probe_time")
+    gated = monitoring.gate_history(probe_history(t))
+    return gated.select(
+        "probe_time",
+        monitoring.refresh_due(F.col("changed"), age, None).alias("on_event"),
+        monitoring.refresh_due(F.col("changed"), age, 1800).alias("on_poll"),
+    )
+
+
+@query(
+    "T8_sliding_lookback",
+    f"select '2024-01-24 00:00:00' as as_of, id from scoring_history where timestamp >= "
+    f"timestamp '2024-01-24 00:00:00' - interval '{WINDOW_MINUTES}' minute union all "
+    f"select '2024-01-31 00:00:00', id from scoring_history where {RECENT}",
+)
+def t8(t):
+    moments = [datetime(2024, 1, 24), AS_OF]
+    return monitoring.snapshot_at(t("scoring_history"), WINDOW_MINUTES, moments).select(
+        "as_of", "id"
+    )
+
+
+@query(
+    "T9_feed_stats",
+    f"select (epoch_us({NOW}) - epoch_us(min(time))) / 1000000.0::double as uptime_seconds, "
+    "count(*) as queries_executed, cast(sum(count) as bigint) as signals_sent, "
+    f"count(error) as errors, {stamp('arg_max(first_timestamp, batch_id)')} as last_query "
+    f"from ({BATCHES})",
+)
+def t9(t):
+    return monitoring.feed_stats(batch_log(t), AS_OF)

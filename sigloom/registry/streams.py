@@ -1 +1,20 @@
+from pyspark.sql import functions as F
 
+from sigloom.sources.changes import change_rows
+
+
+def updates(facts):
+    """Every signal as an update that moved its score, its flag, both or neither."""
+    number = F.col("id")
+    return change_rows(
+        facts,
+        "UPDATE",
+        {
+            "score_week": F.when(number % 4 == 0, F.col("score_week")).otherwise(
+                F.col("score_week") - 5
+            ),
+            "is_active": F.when(number % 8 == 0, ~F.col("is_active")).otherwise(
+                F.col("is_active")
+            ),
+        },
+    )
