@@ -1,9 +1,52 @@
+"""Operators driven by streaming queries over the test data, run until the input is used up."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from sigloom.operators import aggregates, joins, ranking
+from sigloom.plans import feeds
+from sigloom.registry.base import CONFIG, RECENT, WINDOW_MINUTES, iso, stamp, stream_query
+from sigloom.registry.feeds import DIAGNOSTIC, RECORD
+from sigloom.session import working_folder
+from sigloom.sources import changes, sinks
 from sigloom.sources.changes import change_rows
+from sigloom.standins import AS_OF, DEFINITIONS, derive
+from sigloom.streaming import dedup, events, rates, refresh, stats
+
+
+def streamed(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A stand-in table as a stream over its source file."""
+    source = DEFINITIONS[name][0]
+    schema = spark.read.parquet(f"{folder}/{source}.parquet").schema
+    rows = changes.change_source(
+        spark,
+        folder,
+        source_format="parquet",
+        schema=schema,
+        pathGlobFilter=f"{source}.parquet",
+    )
+    return derive(rows, name)
+
+
+def drain(writer: DataStreamWriter, path: str | None = None) -> StreamingQuery:
+    """Run the query over everything there is, then stop."""
+    query = writer.trigger(availableNow=True).start(path)
+    query.awaitTermination()
+    return query
 
 
-def updates(facts):
+def drained(spark: SparkSession, stream: DataFrame, purpose: str) -> DataFrame:
+    """The rows of an append-only stream, through a table."""
+    root = working_folder(spark, purpose)
+    writer = stream.writeStream.outputMode("append").format("parquet")
+    drain(writer.option("checkpointLocation", f"{root}/checkpoint"), f"{root}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
+
+
+def updates(facts: DataFrame) -> DataFrame:
     """Every signal as an update that moved its score, its flag, both or neither."""
     number = F.col("id")
     return change_rows(
@@ -18,3 +61,210 @@ def updates(facts):
             ),
         },
     )
+
+
+def change_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Every signal once as an insert and once as an update."""
+    inserts = change_rows(streamed(spark, folder, "scoring_history"), "INSERT")
+    return inserts.unionByName(updates(streamed(spark, folder, "scoring_history")))
+
+
+EVENT_TEXT = (
+    "to_json({{'event': '{0}', 'id': id, 'pair_symbol': pair_symbol, 'score_week': score_week, "
+    f"'score_month': score_month, 'timestamp': {iso('timestamp')}, "
+    "'action': recommended_action}})"
+)
+QUALIFYING = (
+    f"is_active and pair_is_active and score_week > 50 and score_month > 50 and {RECENT}"
+)
+MOVED = "id % 4 <> 0 or id % 8 = 0"
+
+
+@stream_query(
+    "S3_change_source",
+    "select 'INSERT' as op, id, score_week as new_score, cast(null as double) as old_score from "
+    "scoring_history union all select 'UPDATE', id, score_week, case when id % 4 = 0 then "
+    "score_week else score_week - 5 end from scoring_history",
+)
+def s3(spark, folder, t):
+    rows = change_stream(spark, folder).select(
+        "op", "new.id", F.col("new.score_week").alias("new_score"), F.col("old.score_week").alias("old_score")
+    )
+    return drained(spark, rows, "changes")
+
+
+@stream_query(
+    "S4_event_sink",
+    f"select 'new_signals' as channel, {EVENT_TEXT.format('INSERT')} as value from paired "
+    f"where {QUALIFYING}",
+)
+def s4(spark, folder, t):
+    announced = events.insert_events(
+        change_stream(spark, folder), t("trading_pairs"), AS_OF, WINDOW_MINUTES
+    )
+    root = working_folder(spark, "events")
+    drain(sinks.event_sink(announced, f"{root}/checkpoint"), f"{root}/lines")
+    return spark.read.text(f"{root}/lines").select("channel", "value")
+
+
+@stream_query(
+    "T1_insert_events",
+    f"select {EVENT_TEXT.format('INSERT')} as value from paired where {QUALIFYING}",
+)
+def t1(spark, folder, t):
+    announced = events.insert_events(
+        change_stream(spark, folder), t("trading_pairs"), AS_OF, WINDOW_MINUTES
+    )
+    return drained(spark, announced.select("value"), "inserts")
+
+
+@stream_query(
+    "T2_update_events",
+    f"select {EVENT_TEXT.format('UPDATE')} as value from paired where {QUALIFYING} "
+    f"and ({MOVED})",
+)
+def t2(spark, folder, t):
+    announced = events.update_events(
+        change_stream(spark, folder), t("trading_pairs"), AS_OF, WINDOW_MINUTES
+    )
+    return drained(spark, announced.select("value"), "updates")
+
+
+STANDARD = (
+    f"select {RECORD} from with_params where {RECENT} and is_active and pair_is_active "
+    "and score_week > score_week_filter and score_month > score_month_filter "
+    "and hour(timestamp) not between 0 and 1"
+)
+
+
+@stream_query("T3_snapshot_refresh", STANDARD)
+def t3(spark, folder, t):
+    root = working_folder(spark, "refresh")
+    table = sinks.SnapshotTable(spark, f"{root}/snapshot")
+    drain(
+        refresh.snapshot_refresh(
+            change_stream(spark, folder),
+            lambda: feeds.standard_feed(t, CONFIG, AS_OF),
+            table,
+            f"{root}/checkpoint",
+        )
+    )
+    return table.latest()
+
+
+@stream_query(
+    "S5_snapshot_sink",
+    f"select {DIAGNOSTIC} from paired where {RECENT} and is_active and pair_is_active "
+    "and score_week > 50 and score_month > 50",
+)
+def s5(spark, folder, t):
+    table = sinks.SnapshotTable(spark, working_folder(spark, "snapshot"))
+    table.replace(feeds.diagnostic_feed(t, CONFIG, AS_OF), 0)
+    return table.latest()
+
+
+@stream_query(
+    "S8_latest_snapshot",
+    f"select id, {stamp('timestamp')} as timestamp from scoring_history where {RECENT}",
+)
+def s8(spark, folder, t):
+    from sigloom.operators import filters
+
+    facts = t("scoring_history").select("id", "timestamp")
+    table = sinks.SnapshotTable(spark, working_folder(spark, "snapshot"))
+    table.replace(facts, 0)
+    table.replace(filters.recent_window(facts, WINDOW_MINUTES, AS_OF), 1)
+    return table.latest()
+
+
+@stream_query(
+    "T6_dedup_seen",
+    f"select distinct sh.id as signal_id, {stamp('sh.timestamp')} as signal_timestamp "
+    "from scoring_history sh join sh_patterns b on b.scoring_history_id = sh.id",
+)
+def t6(spark, folder, t):
+    alerts = (
+        streamed(spark, folder, "sh_patterns")
+        .join(t("scoring_history").withColumnRenamed("id", "scoring_history_id"), "scoring_history_id")
+        .select(
+            F.col("scoring_history_id").alias("signal_id"),
+            F.col("timestamp").cast("timestamp").alias("signal_timestamp"),
+        )
+    )
+    return drained(spark, dedup.dedup_seen(alerts), "alerts")
+
+
+@stream_query(
+    "T7_rate_per_minute",
+    f"select {stamp(chr(39).join(['date_trunc(', 'minute', ', timestamp)']))} as window_start, "
+    "count(*) as signals from scoring_history group by date_trunc('minute', timestamp)",
+)
+def t7(spark, folder, t):
+    root = working_folder(spark, "rates")
+    table = rates.BatchTable(spark, f"{root}/windows")
+    facts = streamed(spark, folder, "scoring_history").withColumn(
+        "timestamp", F.col("timestamp").cast("timestamp")
+    )
+    drain(rates.keep_updates(rates.rate_per_minute(facts), table, f"{root}/checkpoint"))
+    return rates.newest(table.read(), ["window_start"], ["signals"])
+
+
+@stream_query(
+    "T9_observed_rows",
+    "select count(*) as input_rows, count(*) as rows_sent from scoring_history",
+)
+def t9(spark, folder, t):
+    root = working_folder(spark, "observed")
+    feed = stats.observe_feed(streamed(spark, folder, "scoring_history").select("id"))
+    writer = feed.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint")
+    query = drain(writer, f"{root}/rows")
+    log = stats.progress_log(spark, query)
+    return log.agg(F.sum("input_rows").alias("input_rows"), F.sum("rows_sent").alias("rows_sent"))
+
+
+@stream_query(
+    "T10_buffer_replace",
+    "select id, score_week from (select *, row_number() over (order by score_week desc nulls last, "
+    "timestamp desc, id) as rn, count(*) over () as n from scoring_history) where rn > n - 100",
+)
+def t10(spark, folder, t):
+    root = working_folder(spark, "buffer")
+    table = sinks.SnapshotTable(spark, f"{root}/snapshot")
+    feed = streamed(spark, folder, "scoring_history").select("id", "score_week", "timestamp")
+    drain(refresh.buffer_replace(feed, ranking.tail_buffer, table, f"{root}/checkpoint"))
+    return table.latest().select("id", "score_week")
+
+
+@stream_query(
+    "T11_pattern_rate",
+    "select 0 as batch_id, pattern, count(*) as signals from (select scoring_history_id, "
+    "unnest(list(distinct pattern_type)) as pattern from keyed group by scoring_history_id) "
+    "group by pattern",
+)
+def t11(spark, folder, t):
+    root = working_folder(spark, "patterns")
+    table = rates.BatchTable(spark, f"{root}/counts")
+
+    def collect(batch):
+        rows = joins.pattern_rows(batch, t("signal_patterns"))
+        return aggregates.collect_patterns(rows, ["scoring_history_id"])
+
+    stream = streamed(spark, folder, "sh_patterns")
+    drain(rates.pattern_rate(stream, collect, table, f"{root}/checkpoint"))
+    return table.read().select("batch_id", "pattern", "signals")
+
+
+@stream_query(
+    "X1_on_batch",
+    "select 0 as batch_id, count(*) as signals from scoring_history",
+)
+def x1(spark, folder, t):
+    root = working_folder(spark, "hook")
+    table = rates.BatchTable(spark, f"{root}/counts")
+
+    def callback(batch, batch_id):
+        table.put(batch.agg(F.count(F.lit(1)).alias("signals")), batch_id)
+
+    stream = streamed(spark, folder, "scoring_history")
+    drain(rates.on_batch(stream, callback, f"{root}/checkpoint"))
+    return table.read().select("batch_id", "signals")

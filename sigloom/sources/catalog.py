@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 from typing import Any
 
@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 
 from sigloom.schemas import TABLES
 
-# Where a table may come from: a frame, a folder path or table name, or reader options with a
-# ``format`` entry (for example ``{"format": "jdbc", "url": ..., "dbtable": ...}``).
-Location = DataFrame | str | Mapping[str, Any]
+# Where a table may come from: a frame or a function giving one, a folder path or table name, or
+# reader options with a ``format`` entry (such as ``{"format": "jdbc", "url": ..., "dbtable": ...}``).
+Location = DataFrame | Callable[[], DataFrame] | str | Mapping[str, Any]
 
 
 class Catalog:
-    """Maps the logical tables of the signal schema to wherever they are stored."""
+    """Maps the logical tables of the signal schema to wherever they are stored.
+
+    A path or table name is read anew at every call, so that files added since are seen.
+    """
 
     def __init__(self, spark: SparkSession, locations: Mapping[str, Location]):
         unknown = set(locations) - set(TABLES)
@@ -35,6 +38,8 @@ class Catalog:
         location = self._locations[name]
         if isinstance(location, DataFrame):
             return location
+        if callable(location):
+            return location()
         if isinstance(location, str):
             if "/" in location:
                 return self.spark.read.parquet(location)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sigloom.schemas import CHANGE_ROW
+from sigloom.schemas import CHANGE_ROW, SCORING_HISTORY
 
 
 def change_source(
@@ -40,21 +40,26 @@ def kafka_change_source(spark: SparkSession, servers: str, topic: str, **options
     return reader.load().select(rows).select("row.*")
 
 
-def change_rows(new: DataFrame, op: str, old_columns: dict[str, F.Column] | None = None) -> DataFrame:
+def change_rows(
+    facts: DataFrame, op: str, old_columns: dict[str, Column] | None = None
+) -> DataFrame:
     """Shape plain fact rows as change rows.
 
     ``old_columns`` gives, for an update, the columns whose previous value differs from the
     new one.  Inserts have a NULL old image.
     """
-    image = F.struct(*[F.col(c) for c in new.columns])
-    if op == "INSERT":
-        previous = F.lit(None).cast(new.schema)
-    else:
-        changed = old_columns or {}
-        previous = F.struct(*[changed.get(c, F.col(c)).alias(c) for c in new.columns])
-    return new.select(
+    earlier = old_columns or {}
+
+    def image(columns: dict[str, Column]) -> Column:
+        fields = SCORING_HISTORY.fields
+        return F.struct(
+            *[columns.get(f.name, F.col(f.name)).cast(f.dataType).alias(f.name) for f in fields]
+        )
+
+    old = F.lit(None).cast(SCORING_HISTORY) if op == "INSERT" else image(earlier)
+    return facts.select(
         F.lit(op).alias("op"),
-        previous.alias("old"),
-        image.alias("new"),
-        F.col("timestamp").alias("commit_ts"),
+        old.alias("old"),
+        image({}).alias("new"),
+        F.col("timestamp").cast("timestamp").alias("commit_ts"),
     )

@@ -6,9 +6,10 @@ SQL share them.  All source rows are used.
 
 from __future__ import annotations
 
+import functools
 from datetime import datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from sigloom.sources.catalog import Catalog
 
@@ -164,17 +165,28 @@ DEFINITIONS: dict[str, tuple[str, str | None, bool, dict[str, str]]] = {
 }
 
 
+def derive(rows: DataFrame, name: str) -> DataFrame:
+    """Table ``name`` from its source rows; the rows may also be a stream."""
+    _, condition, distinct, columns = DEFINITIONS[name]
+    if condition:
+        rows = rows.filter(condition)
+    frame = rows.selectExpr(*[f"{text} as {column}" for column, text in columns.items()])
+    return frame.distinct() if distinct else frame
+
+
 def standin_catalog(spark: SparkSession, folder: str) -> Catalog:
-    """The signal tables over the test data in ``folder``."""
+    """The signal tables over the test data in ``folder``; a table is read when first asked for."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    frames = {}
-    for name, (source, condition, distinct, columns) in DEFINITIONS.items():
-        rows = spark.read.parquet(f"{folder}/{source}.parquet")
-        if condition:
-            rows = rows.filter(condition)
-        frame = rows.selectExpr(*[f"{text} as {column}" for column, text in columns.items()])
-        frames[name] = frame.distinct() if distinct else frame
-    return Catalog(spark, frames)
+
+    @functools.cache
+    def source(name: str) -> DataFrame:
+        return spark.read.parquet(f"{folder}/{name}.parquet")
+
+    @functools.cache
+    def table(name: str) -> DataFrame:
+        return derive(source(DEFINITIONS[name][0]), name)
+
+    return Catalog(spark, {name: functools.partial(table, name) for name in DEFINITIONS})
 
 
 def standin_sql(name: str) -> str:
