@@ -27,14 +27,18 @@ def best_per_pnl(df: DataFrame) -> DataFrame:
     return distinct_on(df, ["total_pnl_usd"], order)
 
 
-def best_strategy_variant(df: DataFrame) -> DataFrame:
-    """For every strategy, signal type and regime the variant with the highest profit."""
-    order = [
-        F.desc_nulls_first("total_pnl_pct"),
+def variant_preference() -> list[Column]:
+    """Order among equally profitable variants of one strategy."""
+    return [
         F.asc_nulls_last("sl_pct"),
         F.asc_nulls_last("ts_activation_pct"),
         F.asc_nulls_last("ts_callback_pct"),
     ]
+
+
+def best_strategy_variant(df: DataFrame) -> DataFrame:
+    """For every strategy, signal type and regime the variant with the highest profit."""
+    order = [F.desc_nulls_first("total_pnl_pct"), *variant_preference()]
     return distinct_on(df, ["strategy_name", "signal_type", "market_regime"], order)
 
 

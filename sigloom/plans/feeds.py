@@ -94,21 +94,22 @@ def optimized_rows(
         catalog("signal_patterns"),
         config.min_patterns,
     )
-    labels = catalog("market_regime").select(
-        F.col("id").alias("signal_regime_id"), F.col("regime").alias("market_regime")
-    )
-    links = strategies.since_first_id(catalog("sh_regime"), recent)
-    regimes = (
-        links.join(filters.require_columns(labels, "market_regime"), "signal_regime_id")
-        .select(F.col("scoring_history_id").alias("id"), "market_regime")
-        .distinct()
+    regimes = strategies.linked_regimes(
+        strategies.since_first_id(catalog("sh_regime"), recent), catalog("market_regime")
     )
     keys = ["market_regime"]
     candidates = strategies.strategy_candidates(
-        strategies.best_strategies(catalog("best_parameters"), config.min_strategy_pnl), keys
+        catalog("best_parameters"), keys, config.min_strategy_pnl
     )
     described = (
-        signals.join(profiles, "id").join(regimes, "id").withColumnRenamed("id", "signal_id")
+        signals.join(profiles, "id")
+        .join(regimes, "id")
+        .select(
+            F.col("id").alias("signal_id"),
+            *[c for c in signals.columns if c != "id"],
+            "patterns",
+            F.explode("market_regimes").alias("market_regime"),
+        )
     )
     matches = joins.match_strategy(described, candidates, keys).withColumnRenamed(
         "signal_type", "strategy_signal_type"
@@ -164,7 +165,7 @@ def best_signals(
     )
     keys = ["signal_type", "market_regime"]
     candidates = strategies.strategy_candidates(
-        strategies.best_strategies(catalog("best_parameters"), config.min_strategy_pnl), keys
+        catalog("best_parameters"), keys, config.min_strategy_pnl
     )
     matches = joins.match_strategy(labelled, candidates, keys)
     return ranking.best_match_per_signal(matches).drop("patterns", "required_patterns")

@@ -13,7 +13,7 @@ AsOf = datetime | Column | None
 
 
 def gate_history(
-    probes: DataFrame, feed: str = "feed", time: str = "probe_time"
+    probes: DataFrame, feed: str = "feed", time: str = "probe_time", span: str = "hour"
 ) -> DataFrame:
     """Which probes of a history announce a change.
 
@@ -23,28 +23,52 @@ def gate_history(
     id earlier in the same stretch of equal times.  Probes of an empty window are no change and
     leave the kept values alone.
 
-    No window spans the whole history: the previous probe is looked up inside one day, with one
-    row per day carrying over, and a stretch is the probes that saw the same newest time.
+    No task has to see a whole history.  Windows cover one feed and one ``span`` of time; what a
+    span takes over from the ones before it is worked out on one row per span.
     """
     empty = F.coalesce("max_id", F.lit(0)) == 0
-    filled = probes.filter(~empty).withColumn("_day", F.to_date(time))
-    days = filled.groupBy(feed, "_day").agg(F.max_by("max_timestamp", time).alias("_last"))
-    yesterday = F.lag("_last").over(Window.partitionBy(feed).orderBy("_day"))
-    carried = days.select(feed, "_day", yesterday.alias("_carried"))
-
-    in_day = Window.partitionBy(feed, "_day").orderBy(time)
-    before = F.coalesce(F.lag("max_timestamp").over(in_day), F.col("_carried"))
-    same_time = Window.partitionBy(feed, "max_timestamp").orderBy(time)
-    stretch = Window.partitionBy(feed, "max_timestamp", "_stretch").orderBy(time)
-    kept = F.max("max_id").over(stretch.rowsBetween(Window.unboundedPreceding, -1))
-    marked = (
-        filled.join(carried, [feed, "_day"])
-        .withColumn("_moved", ~F.col("max_timestamp").eqNullSafe(before))
-        .withColumn("_stretch", F.count_if("_moved").over(same_time))
-        .withColumn("_kept", F.coalesce(kept, F.lit(0)))
+    filled = probes.filter(~empty).withColumn("_span", F.date_trunc(span, time))
+    spans = Window.partitionBy(feed).orderBy("_span")
+    inside = Window.partitionBy(feed, "_span").orderBy(time)
+
+    # Time before the first probe of a span, then stretches of equal times inside the span; stretch
+    # 0 goes on from the span before.
+    ends = filled.groupBy(feed, "_span").agg(F.max_by("max_timestamp", time).alias("_end"))
+    starts = ends.select(feed, "_span", F.lag("_end").over(spans).alias("_start"))
+    before = F.coalesce(F.lag("max_timestamp").over(inside), F.col("_start"))
+    moved = filled.join(starts, [feed, "_span"]).withColumn(
+        "_moved", ~F.col("max_timestamp").eqNullSafe(before)
+    )
+    cut = moved.withColumn("_stretch", F.count_if("_moved").over(inside))
+
+    # Largest id of the stretch that a span hands on: its last stretch, together with the spans
+    # before as far as that stretch reaches back.
+    tops = cut.groupBy(feed, "_span").agg(
+        F.max(F.struct("_stretch", "max_id")).alias("_last")
+    )
+    reach = tops.select(
+        feed,
+        "_span",
+        F.col("_last.max_id").alias("_top"),
+        F.count_if(F.col("_last._stretch") > 0).over(spans).alias("_chain"),
+    )
+    chain = Window.partitionBy(feed, "_chain").orderBy("_span")
+    handed = reach.withColumn("_top", F.max("_top").over(chain)).select(
+        feed, "_span", F.lag("_top").over(spans).alias("_handed")
     )
-    decided = marked.select(
-        *probes.columns, (F.col("_moved") | (F.col("max_id") > F.col("_kept"))).alias("changed")
+
+    stretch = Window.partitionBy(feed, "_span", "_stretch").orderBy(time)
+    kept = F.greatest(
+        F.max("max_id").over(stretch.rowsBetween(Window.unboundedPreceding, -1)),
+        F.when(F.col("_stretch") == 0, F.col("_handed")),
+    )
+    decided = (
+        cut.join(handed, [feed, "_span"])
+        .withColumn("_kept", F.coalesce(kept, F.lit(0)))
+        .select(
+            *probes.columns,
+            (F.col("_moved") | (F.col("max_id") > F.col("_kept"))).alias("changed"),
+        )
     )
     return decided.unionByName(probes.filter(empty).withColumn("changed", F.lit(False)))
 

@@ -19,25 +19,33 @@ def best_strategies(parameters: DataFrame, minimum: float = 180.0) -> DataFrame:
     )
 
 
-def strategy_candidates(strategies: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per keys and set of required patterns only the strategy that wins a tie between them.
+def strategy_candidates(
+    parameters: DataFrame, keys: Sequence[str], minimum: float = 180.0
+) -> DataFrame:
+    """Per keys and set of required patterns the one strategy a feed can show.
 
     Strategies asking for the same set match the same signals, and a feed shows one strategy per
-    signal, so the others can never be shown.  Copies of one set shrink to one row here.
+    signal, so of all variants and strategies with one set only the most preferred can ever be
+    shown.  It is picked in one pass; copies of a set shrink to one row before the shuffle.
     """
-    shaped = strategies.filter(F.col("required_patterns").isNotNull()).select(
-        "strategy_name",
-        "signal_type",
-        "market_regime",
-        "sl_pct",
-        "ts_activation_pct",
-        "ts_callback_pct",
-        F.col("total_pnl_pct").alias("strategy_pnl"),
-        F.array_sort(F.array_distinct("required_patterns")).alias("required_patterns"),
-    )
-    return ranking.distinct_on(
-        shaped, [*keys, "required_patterns"], ranking.strategy_preference()
+    shaped = (
+        filters.min_strategy_pnl(parameters, minimum)
+        .filter(F.col("strategy_name").isNotNull())
+        .select(
+            "strategy_name",
+            "signal_type",
+            "market_regime",
+            "sl_pct",
+            "ts_activation_pct",
+            "ts_callback_pct",
+            F.col("total_pnl_pct").alias("strategy_pnl"),
+            F.array_sort(F.array_distinct(strategy_patterns("strategy_name"))).alias(
+                "required_patterns"
+            ),
+        )
     )
+    order = [*ranking.strategy_preference(), *ranking.variant_preference()]
+    return ranking.distinct_on(shaped, [*keys, "required_patterns"], order)
 
 
 def since_first_id(
@@ -60,3 +68,18 @@ def profiles(bridge: DataFrame, patterns: DataFrame, minimum: int = 2) -> DataFr
     rows = joins.keyed_pattern_rows(bridge, patterns)
     folded = aggregates.multi_pattern_having(rows, ["scoring_history_id"], minimum)
     return folded.withColumnRenamed("scoring_history_id", "id")
+
+
+def linked_regimes(bridge: DataFrame, regimes: DataFrame) -> DataFrame:
+    """``(id, market_regimes)``: the distinct regimes a signal is linked to.
+
+    Collected per signal, the rows come out partitioned as the other per-signal frames.
+    """
+    labels = regimes.filter(F.col("regime").isNotNull()).select(
+        F.col("id").alias("signal_regime_id"), "regime"
+    )
+    return (
+        bridge.join(labels, "signal_regime_id")
+        .groupBy(F.col("scoring_history_id").alias("id"))
+        .agg(F.collect_set("regime").alias("market_regimes"))
+    )

@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-HEAD_SCHEMA = "version bigint, row_count bigint"
+HEAD_SCHEMA = "turn bigint, version bigint, row_count bigint"
+
+
+def read_if_present(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The Parquet files below ``path``, or None as long as nothing has been written there."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
 def event_sink(events: DataFrame, checkpoint: str) -> DataStreamWriter:
@@ -37,37 +48,46 @@ def kafka_event_sink(events: DataFrame, servers: str, checkpoint: str) -> DataSt
 class SnapshotTable:
     """A table that is replaced as a whole and keeps serving its last complete version.
 
-    Every version has its own folder; a small head row is written after the data.  Readers follow
-    the newest head, so they never see a half-written version, and running a batch again
-    overwrites the same version.
+    Versions rotate through ``keep`` folders, so nothing has to be listed or deleted as they come
+    and go.  A one-row head is written after the data; readers follow the newest head and never see
+    a half-written version.  A version broken off half-way has no head, and its folder is the
+    next one to be overwritten.  A reader may hold on to a version for ``keep - 1`` replacements.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, keep: int = 8):
+        if keep < 2:
+            raise ValueError("keep at least two versions")
         self.spark = spark
         self.root = root.rstrip("/")
+        self.keep = keep
 
-    def _data(self, version: int) -> str:
-        return f"{self.root}/data/version={version}"
+    def _data(self, turn: int) -> str:
+        return f"{self.root}/data/slot={turn % self.keep}"
+
+    def _newest_head(self) -> Row | None:
+        heads = read_if_present(self.spark, f"{self.root}/heads/slot=*", HEAD_SCHEMA)
+        return None if heads is None else heads.orderBy(F.desc("turn")).first()
 
     def replace(self, snapshot: DataFrame, version: int) -> None:
-        snapshot.write.mode("overwrite").parquet(self._data(version))
-        head = self.spark.read.parquet(self._data(version)).agg(
+        """Publish ``snapshot`` as ``version`` (a batch number; a repeated batch publishes again)."""
+        newest = self._newest_head()
+        turn = 0 if newest is None else newest["turn"] + 1
+        snapshot.write.mode("overwrite").parquet(self._data(turn))
+        head = self.spark.read.parquet(self._data(turn)).agg(
+            F.lit(turn).cast("bigint").alias("turn"),
             F.lit(version).cast("bigint").alias("version"),
             F.count(F.lit(1)).alias("row_count"),
         )
-        head.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/heads/head={version}")
+        head.write.mode("overwrite").parquet(f"{self.root}/heads/slot={turn % self.keep}")
 
     def latest_version(self) -> int | None:
         """Newest complete version, or None before the first one."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/heads")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return None
-        heads = self.spark.read.schema(HEAD_SCHEMA).parquet(f"{self.root}/heads/head=*")
-        return heads.agg(F.max("version").alias("version")).first()["version"]
+        newest = self._newest_head()
+        return None if newest is None else newest["version"]
 
     def latest(self) -> DataFrame:
         """The last complete snapshot, without recomputing it."""
-        version = self.latest_version()
-        if version is None:
+        newest = self._newest_head()
+        if newest is None:
             raise LookupError(f"no snapshot under {self.root}")
-        return self.spark.read.parquet(self._data(version))
+        return self.spark.read.parquet(self._data(newest["turn"]))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from sigloom.sources.sinks import SnapshotTable
+from sigloom.sources.sinks import SnapshotTable, read_if_present
 
 
 @dataclass(frozen=True)
@@ -40,20 +40,23 @@ def check_gate(probe: Row | None, state: GateState, by_time: bool = True) -> tup
 
 
 class GateStore:
-    """One small state row per micro-batch, so that a repeated batch starts from the same state."""
+    """One small state row per micro-batch, so that a repeated batch starts from the same state.
+
+    The rows rotate through ``keep`` folders; only the ones just before a batch are ever needed.
+    """
 
     SCHEMA = "batch_id bigint, max_id bigint, max_timestamp timestamp, refreshed_at timestamp"
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, keep: int = 16):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.keep = keep
 
     def before(self, batch_id: int) -> GateState:
         """State left by the batches before ``batch_id``."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
+        rows = read_if_present(self.spark, f"{self.root}/slot=*", self.SCHEMA)
+        if rows is None:
             return GateState()
-        rows = self.spark.read.schema(self.SCHEMA).parquet(f"{self.root}/batch=*")
         last = rows.filter(F.col("batch_id") < batch_id).orderBy(F.desc("batch_id")).first()
         if last is None:
             return GateState()
@@ -62,7 +65,7 @@ class GateStore:
     def put(self, batch_id: int, state: GateState) -> None:
         row = [(batch_id, state.max_id, state.max_timestamp, state.refreshed_at)]
         frame = self.spark.createDataFrame(row, self.SCHEMA).coalesce(1)
-        frame.write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
+        frame.write.mode("overwrite").parquet(f"{self.root}/slot={batch_id % self.keep}")
 
 
 @dataclass(frozen=True)
