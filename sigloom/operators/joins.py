@@ -216,31 +216,34 @@ def interval_labels(
     return bucketed.join(cover, "_bucket").filter(inside).drop("_bucket", "_from", "_until")
 
 
-def _signature(required: Column) -> Column:
-    """The two smallest required patterns; fewer leave empty places."""
-    ordered = F.array_sort(F.array_distinct(required))
-    return F.struct(
-        F.get(ordered, F.lit(0)).alias("a"),
-        F.get(ordered, F.lit(1)).alias("b"),
+def _with_signature(strategies: DataFrame) -> DataFrame:
+    """The two smallest required patterns as ``_a`` and ``_b``; fewer leave NULLs."""
+    ordered = F.sort_array(F.array_distinct("required_patterns"))
+    return strategies.filter(F.col("required_patterns").isNotNull()).select(
+        *strategies.columns,
+        F.get(ordered, F.lit(0)).alias("_a"),
+        F.get(ordered, F.lit(1)).alias("_b"),
     )
 
 
-def _signatures_of(patterns: Column) -> Column:
-    """Every signature a required list contained in ``patterns`` can have."""
-    known = F.array_sort(F.array_distinct(F.array_compact(patterns)))
-    absent = F.lit(None).cast("string")
+def _with_signatures(signals: DataFrame) -> DataFrame:
+    """Each signal with every signature a required list within its patterns can have.
 
-    def pair(a: Column, b: Column) -> Column:
-        return F.struct(a.alias("a"), b.alias("b"))
-
-    pairs = F.flatten(
-        F.transform(
-            known,
-            lambda a: F.transform(F.filter(known, lambda b: b > a), lambda b: pair(a, b)),
-        )
+    With the patterns sorted, these are all pairs in order, all single ones, and the empty one.
+    The list gets two NULLs at its end; ``_a`` runs over all but the last place and ``_b`` over
+    the places behind it, the second NULL serving only the first one.
+    """
+    nothing = F.lit(None).cast("string")
+    known = F.sort_array(F.array_except("patterns", F.array(nothing)))
+    padded = signals.withColumn("_list", F.concat(known, F.array(nothing, nothing)))
+    first = F.slice("_list", F.lit(1), F.size("_list") - 1)
+    begun = padded.select("*", F.posexplode(first).alias("_place", "_a"))
+    behind = F.greatest(F.size("_list") - 2 - F.col("_place"), F.lit(1))
+    return begun.select(
+        *signals.columns,
+        "_a",
+        F.explode(F.slice("_list", F.col("_place") + 2, behind)).alias("_b"),
     )
-    singles = F.transform(known, lambda a: pair(a, absent))
-    return F.concat(pairs, singles, F.array(pair(absent, absent)))
 
 
 def match_strategy(
@@ -256,15 +259,10 @@ def match_strategy(
     all signatures its patterns allow; the equi-join on keys and signature meets a matching pair
     exactly once, and only lists longer than two need the residual test.
     """
-    needed = strategies.filter(F.col("required_patterns").isNotNull()).withColumn(
-        "_signature", _signature(F.col("required_patterns"))
-    )
-    offered = signals.withColumn("_signature", F.explode(_signatures_of(F.col("patterns"))))
     same = [F.col(f"signal.{k}") == F.col(f"strategy.{k}") for k in keys]
-    for place in ("a", "b"):
-        offer, need = (F.col(f"{side}._signature.{place}") for side in ("signal", "strategy"))
-        same.append(offer.eqNullSafe(need))
-    joined = offered.alias("signal").join(needed.alias("strategy"), same)
+    same += [F.col(f"signal.{p}").eqNullSafe(F.col(f"strategy.{p}")) for p in ("_a", "_b")]
+    offered = _with_signatures(signals).alias("signal")
+    joined = offered.join(_with_signature(strategies).alias("strategy"), same)
     longer = F.size("strategy.required_patterns") > 2
     joined = joined.filter(
         ~longer | contains_all("signal.patterns", "strategy.required_patterns")

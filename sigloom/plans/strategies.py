@@ -39,7 +39,7 @@ def strategy_candidates(
             "ts_activation_pct",
             "ts_callback_pct",
             F.col("total_pnl_pct").alias("strategy_pnl"),
-            F.array_sort(F.array_distinct(strategy_patterns("strategy_name"))).alias(
+            F.sort_array(F.array_distinct(strategy_patterns("strategy_name"))).alias(
                 "required_patterns"
             ),
         )

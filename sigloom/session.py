@@ -20,6 +20,8 @@ DEFAULTS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # Call sites of column expressions are for interactive use; noting them slows plan building.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -174,17 +174,18 @@ def derive(rows: DataFrame, name: str) -> DataFrame:
     return frame.distinct() if distinct else frame
 
 
+@functools.lru_cache(maxsize=64)
+def _source(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
 def standin_catalog(spark: SparkSession, folder: str) -> Catalog:
     """The signal tables over the test data in ``folder``; a table is read when first asked for."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
-    @functools.cache
-    def source(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder}/{name}.parquet")
-
     @functools.cache
     def table(name: str) -> DataFrame:
-        return derive(source(DEFINITIONS[name][0]), name)
+        return derive(_source(spark, folder, DEFINITIONS[name][0]), name)
 
     return Catalog(spark, {name: functools.partial(table, name) for name in DEFINITIONS})
 
