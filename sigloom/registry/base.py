@@ -99,9 +99,10 @@ FRAGMENTS: dict[str, str] = {
         "order by win_rate desc nulls first, summary_id limit 1"
     ),
     "best_strategies": (
-        "select distinct on (strategy_name, signal_type, market_regime) *, "
-        "string_split(regexp_replace(split_part(strategy_name, '|', 1), '[\\[\\]'']', '', 'g'), "
-        "', ') as required_patterns from best_parameters where total_pnl_pct > 180 "
+        "select distinct on (strategy_name, signal_type, market_regime) *, case when head = '' "
+        "then cast([] as varchar[]) else string_split(head, ', ') end as required_patterns "
+        "from (select *, regexp_replace(split_part(strategy_name, '|', 1), '[\\[\\]'']', '', 'g') "
+        "as head from best_parameters) where total_pnl_pct > 180 "
         "order by strategy_name, signal_type, market_regime, total_pnl_pct desc, sl_pct, "
         "ts_activation_pct, ts_callback_pct"
     ),
@@ -147,9 +148,13 @@ FRAGMENTS: dict[str, str] = {
 }
 
 
-def assemble(sql: str) -> str:
-    """Put the stand-in tables and fragments a statement uses in front of it."""
-    parts = {**{name: standin_sql(name) for name in DEFINITIONS}, **FRAGMENTS}
+def assemble(sql: str, standins: bool = True) -> str:
+    """Put the stand-in tables and fragments a statement uses in front of it.
+
+    Without stand-ins the signal tables have to exist under their own names.
+    """
+    tables = {name: standin_sql(name) for name in DEFINITIONS} if standins else {}
+    parts = {**tables, **FRAGMENTS}
     used: set[str] = set()
 
     def visit(text: str) -> None:
