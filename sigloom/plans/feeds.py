@@ -76,9 +76,12 @@ def optimized_rows(
     meet; joining first would multiply every signal by patterns times regimes.
     """
     recent = _recent(catalog, config, as_of)
-    signals = joins.join_pair_by_symbol(
-        recent.drop("trading_pair_id"), _eligible_pairs(catalog)
-    ).select(
+    # Pairs of one symbol match the same strategies and the smallest number wins, so one per symbol
+    # is enough, however many pairs share it.
+    pairs = _eligible_pairs(catalog).groupBy("pair_symbol", "exchange_id").agg(
+        F.min("id").alias("id")
+    )
+    signals = joins.join_pair_by_symbol(recent.drop("trading_pair_id"), pairs).select(
         "id",
         "pair_symbol",
         F.col("timestamp").alias("signal_timestamp"),
