@@ -79,14 +79,24 @@ def reversed_feed_order() -> list[Column]:
     return [F.asc_nulls_first("score_week"), F.asc_nulls_last("timestamp"), F.desc("id")]
 
 
+def sort_finished(df: DataFrame, key: str, *order: Column) -> DataFrame:
+    """A global sort of rows that were costly to make.
+
+    Spark samples the input of a global sort to find its ranges, which runs the stage in front of it
+    twice.  Spreading the finished rows by their unique ``key`` first makes that stage a shuffle to
+    read back; the rows are few compared with what they were made from.  A hash of the key is
+    used, since a shuffle on the key itself would be planned away if the rows already lie that way.
+    """
+    return df.repartition(F.xxhash64(key)).orderBy(*order)
+
+
 def order_feed(df: DataFrame) -> DataFrame:
-    return df.orderBy(*feed_order())
+    return sort_finished(df, "id", *feed_order())
 
 
 def order_high(df: DataFrame) -> DataFrame:
-    return df.orderBy(
-        F.desc_nulls_first("total_score"), F.desc_nulls_first("timestamp"), F.asc("id")
-    )
+    order = [F.desc_nulls_first("total_score"), F.desc_nulls_first("timestamp"), F.asc("id")]
+    return sort_finished(df, "id", *order)
 
 
 def limit_feed(df: DataFrame, n: int = 5) -> DataFrame:
@@ -128,7 +138,7 @@ def batch_positions(df: DataFrame, batch: str, order: Sequence[Column], first: i
 
 
 def replay_order(df: DataFrame, column: str = "signal_timestamp") -> DataFrame:
-    return df.orderBy(F.asc(column), F.asc("signal_id"))
+    return sort_finished(df, "signal_id", F.asc(column), F.asc("signal_id"))
 
 
 def order_violations(df: DataFrame, position: str = "pos", batch: str | None = None) -> DataFrame:

@@ -124,7 +124,8 @@ def optimized_rows(
 def optimized_feed(
     catalog: Catalog, config: FeedConfig = OPTIMIZED, as_of: AsOf = None
 ) -> DataFrame:
-    return shaping.optimized_record(optimized_rows(catalog, config, as_of).orderBy("signal_id"))
+    rows = optimized_rows(catalog, config, as_of)
+    return shaping.optimized_record(ranking.sort_finished(rows, "signal_id", F.asc("signal_id")))
 
 
 def best_signals(

@@ -44,8 +44,10 @@ def strategy_candidates(
             ),
         )
     )
+    # No pattern holds the separator it was cut at, so the joined text stands for the set.
+    named = shaped.withColumn("_set", F.array_join("required_patterns", ", "))
     order = [*ranking.strategy_preference(), *ranking.variant_preference()]
-    return ranking.distinct_on(shaped, [*keys, "required_patterns"], order)
+    return ranking.distinct_on(named, ["_set", *keys], order).drop("_set")
 
 
 def since_first_id(
