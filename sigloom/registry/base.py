@@ -67,83 +67,78 @@ def _best_of(table: str) -> str:
     ).format(table)
 
 
-_SIGNAL = "select sh.id as signal_id, sh.pair_symbol, sh.timestamp as signal_timestamp, sh.total_score"
-_KEYS = "list(distinct sp.pattern_type || '_' || sp.timeframe)"
-_BRIDGED = (
-    "from scoring_history sh join sh_patterns shp on shp.scoring_history_id = sh.id "
-    "join signal_patterns sp on sp.id = shp.signal_patterns_id "
-    "join trading_pairs tp on tp.pair_symbol = sh.pair_symbol "
+# Columns of a signal, grouped by them, and the filters on its symbol's listings.
+_SHOWN = "f.id as signal_id, f.pair_symbol, f.timestamp as signal_timestamp, f.total_score"
+_LISTED = (
+    "(select id as pair_id, pair_symbol, exchange_id from trading_pairs "
+    "where is_active and exchange_id = 1 and contract_type_id = 1) c using (pair_symbol)"
+)
+_RECENT_FACTS = f"(select * exclude (trading_pair_id) from scoring_history where {RECENT}) f"
+_LISTED_PATTERN = (
+    "pattern_type in ('OI_EXPLOSION', 'SQUEEZE_IGNITION') and timeframe in ('15m', '1h', '4h')"
 )
-_SCOPE = "tp.exchange_id = 1 and tp.contract_type_id = 1 and tp.is_active"
 
 # Named selects the check SQL may use; each may use the ones before it.
 FRAGMENTS: dict[str, str] = {
     "paired": (
-        "select sh.*, tp.exchange_id, tp.contract_type_id, tp.is_active as pair_is_active, "
-        "tp.pair_symbol as listed_symbol, tp.last_24h_volume from scoring_history sh "
-        "join trading_pairs tp on sh.trading_pair_id = tp.id"
+        "select f.*, c.exchange_id, c.contract_type_id, c.is_active as pair_is_active, "
+        "c.pair_symbol as listed_symbol, c.last_24h_volume "
+        "from scoring_history f join trading_pairs c on c.id = f.trading_pair_id"
     ),
     "best_first": _best_of("backtest_summary_binance"),
     "best_second": _best_of("backtest_summary_bybit"),
     "exchange_params": (
         f"select 1 as exchange_id, {PARAMETERS} from backtest_summary_binance "
-        "where summary_id = (select summary_id from best_first) union all "
+        "semi join best_first using (summary_id) union all "
         f"select 2 as exchange_id, {PARAMETERS} from backtest_summary_bybit "
-        "where summary_id = (select summary_id from best_second)"
+        "semi join best_second using (summary_id)"
     ),
-    "with_params": "select p.*, q.* exclude (exchange_id) from paired p join exchange_params q "
-    "on p.exchange_id = q.exchange_id",
+    "with_params": "select * from paired join exchange_params using (exchange_id)",
     "legacy_best": (
-        "select * from backtest_summary where summary_id in (select summary_id from "
-        "backtest_summary order by final_equity desc nulls first, summary_id limit 5) "
-        "order by win_rate desc nulls first, summary_id limit 1"
+        "select * from (select * from backtest_summary order by final_equity desc nulls first, "
+        "summary_id limit 5) order by win_rate desc nulls first, summary_id limit 1"
     ),
-    "best_strategies": (
+    "chosen_strategies": (
         "select distinct on (strategy_name, signal_type, market_regime) *, case when head = '' "
-        "then cast([] as varchar[]) else string_split(head, ', ') end as required_patterns "
+        "then cast([] as varchar[]) else string_split(head, ', ') end as needed "
         "from (select *, regexp_replace(split_part(strategy_name, '|', 1), '[\\[\\]'']', '', 'g') "
         "as head from best_parameters) where total_pnl_pct > 180 "
         "order by strategy_name, signal_type, market_regime, total_pnl_pct desc, sl_pct, "
         "ts_activation_pct, ts_callback_pct"
     ),
+    "keyed": (
+        "select l.scoring_history_id, l.signal_patterns_id, p.pattern_type, p.timeframe, "
+        "p.pattern_type || '_' || p.timeframe as pattern_key "
+        "from sh_patterns l join signal_patterns p on l.signal_patterns_id = p.id"
+    ),
     "optimized_signals": (
-        f"{_SIGNAL}, sh.score_week, sh.score_month, sh.created_at, tp.id as trading_pair_id, "
-        f"tp.exchange_id, {_KEYS} as patterns, mr.regime as market_regime {_BRIDGED} "
-        "left join sh_regime srg on srg.scoring_history_id = sh.id "
-        "left join market_regime mr on mr.id = srg.signal_regime_id "
-        f"where sh.{RECENT} and {_SCOPE} group by all having count(distinct sp.id) >= 2"
+        f"select {_SHOWN}, f.score_week, f.score_month, f.created_at, c.pair_id as "
+        "trading_pair_id, c.exchange_id, w.regime as market_regime, "
+        f"list(distinct k.pattern_key) as owned from {_RECENT_FACTS} join {_LISTED} "
+        "join keyed k on f.id = k.scoring_history_id "
+        "left join sh_regime v on f.id = v.scoring_history_id "
+        "left join market_regime w on v.signal_regime_id = w.id "
+        "group by all having count(distinct k.signal_patterns_id) > 1"
     ),
     "typed_signals": (
-        f"{_SIGNAL}, tp.exchange_id, {_KEYS} as patterns, shr.signal_type, "
-        f"mr.regime as market_regime {_BRIDGED} "
-        "left join scoring_history_results_v2 shr on shr.scoring_history_id = sh.id "
-        "left join market_regime mr on (mr.timeframe = '15m' and mr.timestamp <= sh.timestamp "
-        "and mr.timestamp > sh.timestamp - interval '1' hour) "
-        f"where sh.{RECENT} and {_SCOPE} and shr.signal_type is not null "
-        "group by all having count(distinct sp.id) >= 2"
-    ),
-    "keyed": (
-        "select shp.scoring_history_id, shp.signal_patterns_id, sp.pattern_type, sp.timeframe, "
-        "sp.pattern_type || '_' || sp.timeframe as pattern_key from sh_patterns shp "
-        "join signal_patterns sp on sp.id = shp.signal_patterns_id"
+        f"select {_SHOWN}, o.signal_type, w.regime as market_regime, "
+        f"list(distinct k.pattern_key) as owned from {_RECENT_FACTS} join {_LISTED} "
+        "join keyed k on f.id = k.scoring_history_id "
+        "join scoring_history_results_v2 o on f.id = o.scoring_history_id "
+        "left join market_regime w on w.timeframe = '15m' and w.timestamp <= f.timestamp "
+        "and f.timestamp < w.timestamp + interval '60' minute "
+        "where o.signal_type is not null "
+        "group by all having count(distinct k.signal_patterns_id) > 1"
     ),
     "high_rows": (
-        "select sh.id, sh.trading_pair_id, tp.pair_symbol, sh.total_score, sh.score_week, "
-        "sh.score_month, sh.timestamp, sh.created_at, tp.exchange_id, tp.contract_type_id, "
-        "list_sort(list(distinct sp.pattern_type) filter (where sp.pattern_type is not null)) "
-        "as patterns, list_sort(list(distinct sp.timeframe) filter (where sp.timeframe is not "
-        "null)) as timeframes from scoring_history sh "
-        "join trading_pairs tp on sh.trading_pair_id = tp.id "
-        "left join sh_patterns shp on shp.scoring_history_id = sh.id "
-        "left join signal_patterns sp on shp.signal_patterns_id = sp.id "
-        "and sp.pattern_type in ('SQUEEZE_IGNITION', 'OI_EXPLOSION') "
-        "and sp.timeframe in ('15m', '1h', '4h') "
-        "where sh.total_score > 250 and tp.contract_type_id = 1 and tp.exchange_id = 1 "
-        f"and tp.is_active and sh.is_active and sh.{RECENT} "
-        "and exists (select 1 from sh_patterns b join signal_patterns c on "
-        "b.signal_patterns_id = c.id where b.scoring_history_id = sh.id "
-        "and c.pattern_type in ('SQUEEZE_IGNITION', 'OI_EXPLOSION') "
-        "and c.timeframe in ('15m', '1h', '4h')) group by all"
+        "select f.id, f.trading_pair_id, f.listed_symbol as pair_symbol, f.total_score, "
+        "f.score_week, f.score_month, f.timestamp, f.created_at, f.exchange_id, "
+        "f.contract_type_id, list_sort(list(distinct k.pattern_type)) as patterns, "
+        "list_sort(list(distinct k.timeframe)) as timeframes from paired f left join "
+        f"(select * from keyed where {_LISTED_PATTERN}) k on k.scoring_history_id = f.id "
+        f"where f.total_score > 250 and f.is_active and f.pair_is_active and f.{RECENT} "
+        "and f.exchange_id = 1 and f.contract_type_id = 1 and f.id in "
+        f"(select scoring_history_id from keyed where {_LISTED_PATTERN}) group by all"
     ),
 }
 

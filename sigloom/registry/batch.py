@@ -114,7 +114,7 @@ def s7(t):
 
 @query(
     "S7_malformed",
-    "select '{\"type\": \"signals\", \"data\": [' || cast(id as varchar) as head "
+    "select '{\"type\": \"signals\", \"data\": [' || cast(id as varchar) as text "
     "from scoring_history where recommended_action = 'SELL' and not is_active",
 )
 def s7_bad(t):
@@ -272,10 +272,10 @@ def f10(t):
 
 
 TYPED_REGIMES = (
-    "select sh.id, r.signal_type, mr.regime as market_regime from scoring_history sh "
-    "left join scoring_history_results_v2 r on r.scoring_history_id = sh.id "
-    "left join sh_regime g on g.scoring_history_id = sh.id "
-    "left join market_regime mr on mr.id = g.signal_regime_id"
+    "select f.id, o.signal_type, w.regime as market_regime from scoring_history f "
+    "left join scoring_history_results_v2 o on f.id = o.scoring_history_id "
+    "left join sh_regime v on f.id = v.scoring_history_id "
+    "left join market_regime w on v.signal_regime_id = w.id"
 )
 
 
@@ -317,8 +317,8 @@ def j1(t):
 
 @query(
     "J2_join_pair_by_symbol",
-    "select sh.id, tp.id as matched_pair_id, tp.exchange_id from scoring_history sh join "
-    "trading_pairs tp on tp.pair_symbol = sh.pair_symbol",
+    "select f.id, c.pair_id as matched_pair_id, c.exchange_id from scoring_history f join "
+    "(select id as pair_id, pair_symbol, exchange_id from trading_pairs) c using (pair_symbol)",
 )
 def j2(t):
     rows = joins.join_pair_by_symbol(t("scoring_history"), t("trading_pairs"))
@@ -332,7 +332,7 @@ def j3(t):
 
 @query(
     "J4_cross_best_params",
-    f"select sh.id, {PARAMETERS} from scoring_history sh cross join legacy_best",
+    f"select f.id, {PARAMETERS} from scoring_history f, legacy_best",
 )
 def j4(t):
     best = best_params.legacy_best_row(t("backtest_summary"))
@@ -341,9 +341,8 @@ def j4(t):
 
 @query(
     "J5_exists_pattern",
-    "select id from scoring_history sh where exists (select 1 from keyed k where "
-    "k.scoring_history_id = sh.id and k.pattern_type in ('SQUEEZE_IGNITION', 'OI_EXPLOSION') "
-    "and k.timeframe in ('15m', '1h', '4h'))",
+    "select id from scoring_history where id in (select scoring_history_id from keyed where "
+    "pattern_type in ('OI_EXPLOSION', 'SQUEEZE_IGNITION') and timeframe in ('15m', '1h', '4h'))",
 )
 def j5(t):
     listed = filters.pattern_whitelist(t("signal_patterns"))
@@ -363,7 +362,7 @@ def j6(t):
 @query(
     "J7_lookup_by_best_id",
     f"select summary_id, {PARAMETERS} from backtest_summary_binance where summary_id = "
-    "(select summary_id from best_first)",
+    "any (select summary_id from best_first)",
 )
 def j7(t):
     summary = t("backtest_summary_binance")
@@ -373,10 +372,10 @@ def j7(t):
 
 @query(
     "J8_left_join_with_on_filter",
-    "select sh.id, shp.signal_patterns_id, sp.pattern_type, sp.timeframe from scoring_history sh "
-    "left join sh_patterns shp on shp.scoring_history_id = sh.id left join signal_patterns sp "
-    "on sp.id = shp.signal_patterns_id and sp.pattern_type in ('SQUEEZE_IGNITION', "
-    "'OI_EXPLOSION') and sp.timeframe in ('15m', '1h', '4h')",
+    "select f.id, l.signal_patterns_id, p.pattern_type, p.timeframe from scoring_history f "
+    "left join sh_patterns l on f.id = l.scoring_history_id left join (select * from "
+    "signal_patterns where pattern_type in ('OI_EXPLOSION', 'SQUEEZE_IGNITION') "
+    "and timeframe in ('15m', '1h', '4h')) p on l.signal_patterns_id = p.id",
 )
 def j8(t):
     listed = filters.pattern_whitelist(t("signal_patterns"))
@@ -386,8 +385,8 @@ def j8(t):
 
 @query(
     "J9_bridge_join",
-    "select sh.id, k.pattern_type, k.timeframe from scoring_history sh join keyed k "
-    "on k.scoring_history_id = sh.id",
+    "select f.id, k.pattern_type, k.timeframe from scoring_history f join keyed k "
+    "on f.id = k.scoring_history_id",
 )
 def j9(t):
     rows = joins.bridge_join(t("scoring_history"), t("sh_patterns"), t("signal_patterns"))
@@ -403,8 +402,8 @@ def j10(t):
 
 
 INTERVAL = (
-    "from scoring_history sh left join market_regime mr on mr.timeframe = '15m' and "
-    "mr.timestamp <= sh.timestamp and mr.timestamp > sh.timestamp - interval '1' hour"
+    "from scoring_history f left join (select * from market_regime where timeframe = '15m') w "
+    "on w.timestamp <= f.timestamp and f.timestamp < w.timestamp + interval '60' minute"
 )
 
 
@@ -418,7 +417,7 @@ def quarter_hour_regimes(t):
 
 @query(
     "J11_regime_interval",
-    f"select sh.id, mr.id as regime_id, mr.regime as market_regime {INTERVAL}",
+    f"select f.id, w.id as regime_id, w.regime as market_regime {INTERVAL}",
 )
 def j11(t):
     facts = t("scoring_history").select("id", "timestamp")
@@ -428,7 +427,7 @@ def j11(t):
 
 @query(
     "J11_interval_labels",
-    f"select distinct sh.id, mr.regime as market_regime {INTERVAL} where mr.regime is not null",
+    f"select distinct f.id, w.regime as market_regime {INTERVAL} where w.regime is not null",
 )
 def j11_labels(t):
     facts = t("scoring_history").select("id", "timestamp")
@@ -438,8 +437,8 @@ def j11_labels(t):
 
 @query(
     "J12_result_type_join",
-    "select sh.id, r.signal_type from scoring_history sh left join scoring_history_results_v2 r "
-    "on r.scoring_history_id = sh.id where r.signal_type is not null",
+    "select f.id, o.signal_type from scoring_history f join scoring_history_results_v2 o "
+    "on f.id = o.scoring_history_id where o.signal_type is not null",
 )
 def j12(t):
     return joins.result_type_join(t("scoring_history"), t("scoring_history_results_v2")).select(
@@ -448,11 +447,11 @@ def j12(t):
 
 
 PROFILED = (
-    "select k.scoring_history_id as signal_id, list(distinct k.pattern_key) as patterns, "
-    "r.signal_type, mr.regime as market_regime from keyed k "
-    "join scoring_history_results_v2 r on r.scoring_history_id = k.scoring_history_id "
-    "join sh_regime g on g.scoring_history_id = k.scoring_history_id "
-    "join market_regime mr on mr.id = g.signal_regime_id group by all"
+    "select k.scoring_history_id as signal_id, list(distinct k.pattern_key) as owned, "
+    "o.signal_type, w.regime as market_regime from keyed k "
+    "join scoring_history_results_v2 o using (scoring_history_id) "
+    "join sh_regime v using (scoring_history_id) "
+    "join market_regime w on v.signal_regime_id = w.id group by all"
 )
 
 
@@ -473,15 +472,15 @@ def profiled(t):
 
 
 MATCHED = (
-    f"from ({PROFILED}) rs join best_strategies bs on bs.market_regime = rs.market_regime "
-    "and rs.patterns @> bs.required_patterns"
+    f"from ({PROFILED}) s join chosen_strategies g on g.market_regime = s.market_regime "
+    "and list_has_all(s.owned, g.needed)"
 )
 
 
 @query(
     "J13_match_strategy",
-    "select rs.signal_id, rs.market_regime, bs.strategy_name, bs.signal_type as "
-    f"strategy_signal_type, bs.total_pnl_pct {MATCHED}",
+    "select s.signal_id, s.market_regime, g.strategy_name, g.signal_type as "
+    f"strategy_signal_type, g.total_pnl_pct {MATCHED}",
 )
 def j13(t):
     signals = profiled(t).drop("signal_type")
@@ -497,8 +496,8 @@ def j13(t):
 
 @query(
     "J14_match_strategy_typed",
-    "select rs.signal_id, rs.signal_type, rs.market_regime, bs.strategy_name, bs.total_pnl_pct "
-    f"{MATCHED} and bs.signal_type = rs.signal_type",
+    "select s.signal_id, s.signal_type, s.market_regime, g.strategy_name, g.total_pnl_pct "
+    f"{MATCHED} and g.signal_type = s.signal_type",
 )
 def j14(t):
     rows = joins.match_strategy_typed(profiled(t), best_strategy_rows(t))
@@ -509,8 +508,8 @@ def j14(t):
 
 @query(
     "J15_event_pair_lookup",
-    "select sh.id, tp.is_active as pair_is_active from scoring_history sh left join "
-    "trading_pairs tp on tp.id = sh.trading_pair_id",
+    "select f.id, c.is_active as pair_is_active from scoring_history f left join "
+    "trading_pairs c on f.trading_pair_id = c.id",
 )
 def j15(t):
     rows = joins.event_pair_lookup(t("scoring_history"), t("trading_pairs"))
@@ -738,9 +737,9 @@ def w2(t):
 
 @query(
     "W3_best_match_per_signal",
-    "select distinct on (rs.signal_id) rs.signal_id, rs.market_regime, bs.strategy_name, "
-    f"bs.total_pnl_pct as strategy_pnl {MATCHED} and bs.signal_type = rs.signal_type order by "
-    "rs.signal_id, bs.total_pnl_pct desc, bs.strategy_name, bs.signal_type, bs.market_regime",
+    "select distinct on (s.signal_id) s.signal_id, s.market_regime, g.strategy_name, "
+    f"g.total_pnl_pct as strategy_pnl {MATCHED} and g.signal_type = s.signal_type order by "
+    "s.signal_id, strategy_pnl desc, g.strategy_name, g.signal_type, g.market_regime",
 )
 def w3(t):
     rows = joins.match_strategy_typed(profiled(t), best_strategy_rows(t))

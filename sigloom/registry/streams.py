@@ -179,8 +179,8 @@ def s8(spark, folder, t):
 
 @stream_query(
     "T6_dedup_seen",
-    f"select distinct sh.id as signal_id, {stamp('sh.timestamp')} as signal_timestamp "
-    "from scoring_history sh join sh_patterns b on b.scoring_history_id = sh.id",
+    f"select id as signal_id, {stamp('timestamp')} as signal_timestamp from scoring_history "
+    "where id in (select scoring_history_id from sh_patterns)",
 )
 def t6(spark, folder, t):
     alerts = (

@@ -23,8 +23,8 @@ def json_text(df: DataFrame, columns: list[str] | None = None) -> Column:
 def envelope(df: DataFrame, as_of: datetime) -> DataFrame:
     """A snapshot as messages: one ``signals`` header row with the count, one row per record.
 
-    The reference form nests the records in the header.  Kept flat, a snapshot of any size is
-    published without being gathered in one row.
+    A message that holds its records as an array would gather them in one row; kept flat, a snapshot
+    of any size can be published.
     """
     stamp = F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
     header = df.agg(F.count(F.lit(1)).cast("int").alias("count")).select(
@@ -70,11 +70,11 @@ def messages_of_type(messages: DataFrame, kind: str, value: str = "value") -> Da
 
 
 def malformed_messages(messages: DataFrame, value: str = "value") -> DataFrame:
-    """Texts that are not valid JSON, cut to their first 100 characters as a log line would be."""
+    """Texts that are not valid JSON."""
     bad = _parsed(messages, value, FEED_MESSAGE).filter(
         F.col(value).isNull() | F.col(f"message.{_CORRUPT}").isNotNull()
     )
-    return bad.select(F.substring(value, 1, 100).alias("head"))
+    return bad.select(F.col(value).alias("text"))
 
 
 def parse_events(messages: DataFrame, value: str = "value") -> DataFrame:

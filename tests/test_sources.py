@@ -38,9 +38,9 @@ def test_feed_messages(spark):
         (2, 55.0, None, 1),
     ]
     assert rows(messages.messages_of_type(received, "error"), "message") == [("late",)]
-    heads = [r[0] for r in rows(messages.malformed_messages(received))]
-    assert len(heads) == 2 and None in heads
-    assert max(len(h) for h in heads if h) == 100
+    broken_texts = [r[0] for r in rows(messages.malformed_messages(received))]
+    assert len(broken_texts) == 2 and None in broken_texts
+    assert max(len(text) for text in broken_texts if text) == 208
 
 
 def test_a_broken_event_still_announces_a_change(spark):
