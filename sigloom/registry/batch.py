@@ -68,9 +68,9 @@ def s2(t):
     "S6_envelope",
     f"select 'signals' as type, {iso(NOW)} as timestamp, cast(count(*) as int) as count, "
     "null as data from scoring_history union all "
-    f"select 'signal', {iso(NOW)}, null, to_json({{'id': id, 'pair_symbol': pair_symbol, "
+    f"select 'signal', {iso(NOW)}, null, cast(to_json({{'id': id, 'pair_symbol': pair_symbol, "
     "'recommended_action': recommended_action, 'score_week': score_week, "
-    "'score_month': score_month}) from scoring_history",
+    "'score_month': score_month}) as varchar) from scoring_history",
 )
 def s6(t):
     rows = t("scoring_history").select(
@@ -630,7 +630,7 @@ def a9(t):
 
 
 BATCHES = (
-    "select date_diff('day', date '2024-01-01', cast(timestamp as date)) as batch_id, "
+    "select cast(date_diff('day', date '2024-01-01', cast(timestamp as date)) as int) as batch_id, "
     "max(timestamp) as time, count(*) as count, "
     "sum(octet_length(encode(patterns_details))) as bytes, "
     "case when max(case when is_active then total_score end) > 1500 then 'late' end as error, "
@@ -801,10 +801,10 @@ def w10(t):
 
 @query(
     "W11_recent_ring",
-    "select batch_id, pos, id from (select id, cast(timestamp as date) as batch_day, "
-    "date_diff('day', date '2024-01-01', cast(timestamp as date)) as batch_id, "
-    f"row_number() over (partition by cast(timestamp as date) order by {FEED_SQL_ORDER}) - 1 as "
-    "pos from scoring_history) where pos < 10 order by batch_id desc, pos limit 50",
+    "select batch_id, pos, id from (select id, "
+    "cast(date_diff('day', date '2024-01-01', cast(timestamp as date)) as int) as batch_id, "
+    f"cast(row_number() over (partition by cast(timestamp as date) order by {FEED_SQL_ORDER}) - 1 "
+    "as int) as pos from scoring_history) where pos < 10 order by batch_id desc, pos limit 50",
 )
 def w11(t):
     day = F.datediff(F.to_date("timestamp"), F.lit("2024-01-01").cast("date"))

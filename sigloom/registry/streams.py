@@ -70,9 +70,9 @@ def change_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 EVENT_TEXT = (
-    "to_json({{'event': '{0}', 'id': id, 'pair_symbol': pair_symbol, 'score_week': score_week, "
+    "cast(to_json({{'event': '{0}', 'id': id, 'pair_symbol': pair_symbol, 'score_week': score_week, "
     f"'score_month': score_month, 'timestamp': {iso('timestamp')}, "
-    "'action': recommended_action}})"
+    "'action': recommended_action}}) as varchar)"
 )
 QUALIFYING = (
     f"is_active and pair_is_active and score_week > 50 and score_month > 50 and {RECENT}"
