@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,18 +37,28 @@ def process_rows(rows: DataFrame, handler: Callable[[dict[str, Any]], None]) ->
     for a row if a task is retried.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            outcomes = []
-            for record in batch.to_dict("records"):
+            ids, statuses, errors = [], [], []
+            for record in batch.to_pylist():
                 try:
                     handler(record)
-                    outcomes.append((record["id"], "processed", None))
+                    status, error = "processed", None
                 except Exception as problem:  # noqa: BLE001 - any failure of user code counts
-                    outcomes.append((record["id"], "error", str(problem)))
-            yield pd.DataFrame(outcomes, columns=["id", "status", "error"])
+                    status, error = "error", str(problem)
+                ids.append(record.get("id"))
+                statuses.append(status)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(ids, pa.int64()),
+                    pa.array(statuses, pa.string()),
+                    pa.array(errors, pa.string()),
+                ],
+                names=["id", "status", "error"],
+            )
 
-    return rows.mapInPandas(run, OUTCOME_SCHEMA)
+    return rows.mapInArrow(run, OUTCOME_SCHEMA)
 
 
 def processing_totals(received: DataFrame, kept: DataFrame, outcomes: DataFrame) -> DataFrame:

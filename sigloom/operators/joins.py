@@ -152,24 +152,35 @@ def interval_join(
     left_time: str = "timestamp",
     right_time: str = "regime_time",
     how: str = "left",
+    salts: int = 1,
 ) -> DataFrame:
     """Left rows with every right row not later than them and less than ``length`` earlier.
 
     Time is cut into buckets of the interval's length.  A right row goes to its own bucket and the
     next one; a left row only to its own.  That gives an equi-join on the bucket with the exact
     range as residual, and no pair twice.
+
+    AQE splits a crowded bucket of a batch join.  Where it does not act, as in stateful streams,
+    ``salts`` deals the left rows of every bucket to that many tasks and copies the right rows.
     """
-    bucketed = left.withColumn("_bucket", _bucket(F.col(left_time), length))
+    bucket = _bucket(F.col(left_time), length)
     home = _bucket(F.col(right_time), length)
-    spread = right.filter(F.col(right_time).isNotNull()).withColumn(
-        "_right_bucket", F.explode(F.array(home, home + 1))
+    salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)) if salts > 1 else F.lit(0)
+    bucketed = left.select("*", bucket.alias("_bucket"), salt.cast("int").alias("_salt"))
+    dealt = F.explode(F.array(*[F.lit(i) for i in range(salts)]))
+    spread = (
+        right.filter(F.col(right_time).isNotNull())
+        .select("*", F.explode(F.array(home, home + 1)).alias("_right_bucket"))
+        .select("*", dealt.alias("_right_salt"))
     )
     condition = (
         (F.col("_bucket") == F.col("_right_bucket"))
+        & (F.col("_salt") == F.col("_right_salt"))
         & (F.col(right_time) <= F.col(left_time))
         & (F.col(right_time) > F.col(left_time) - _interval(length))
     )
-    return bucketed.join(spread, condition, how).drop("_bucket", "_right_bucket")
+    helpers = ["_bucket", "_salt", "_right_bucket", "_right_salt"]
+    return bucketed.join(spread, condition, how).drop(*helpers)
 
 
 def interval_labels(

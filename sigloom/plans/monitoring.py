@@ -23,8 +23,9 @@ def gate_history(
     id earlier in the same stretch of equal times.  Probes of an empty window are no change and
     leave the kept values alone.
 
-    No task has to see a whole history.  Windows cover one feed and one ``span`` of time; what a
-    span takes over from the ones before it is worked out on one row per span.
+    No task has to see a whole history.  Windows cover one feed and one ``span`` of time, so a group
+    is at most the probes made in it (3,600 an hour at one a second; take a shorter span for faster
+    probing).  What a span takes over from the ones before it is worked out on one row per span.
     """
     empty = F.coalesce("max_id", F.lit(0)) == 0
     filled = probes.filter(~empty).withColumn("_span", F.date_trunc(span, time))

@@ -47,3 +47,15 @@ def test_errors_stop_nothing(spark):
     ]
     totals = consumer.processing_totals(feed(spark), kept, outcomes)
     assert rows(totals) == [(7, 4, 2, 1)]
+
+
+def test_handlers_see_plain_values(spark):
+    seen_types = {"id": int, "exchange_id": int, "score": float}
+
+    def handle(signal):
+        for name, kind in seen_types.items():
+            assert type(signal[name]) is kind, name
+        assert signal["score_week"] is None
+
+    rows_in = feed(spark).filter("id = 3")
+    assert rows(consumer.process_rows(rows_in, handle)) == [(3, "processed", None)]

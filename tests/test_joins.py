@@ -4,8 +4,6 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
-from pyspark.sql import functions as F
-
 from sigloom.operators import joins
 from sigloom.operators.ranking import distinct_on, strategy_preference
 from sigloom.plans.strategies import best_strategies, since_first_id, strategy_candidates
@@ -41,10 +39,12 @@ def test_interval_joins_equal_brute_force(spark, seed, length):
         regimes, "regime_id int, regime_time timestamp_ntz, market_regime string"
     )
     pairs = [(i, r, m) for i, t in facts for r, s, m in regimes if t - length < s <= t]
-    got = rows(joins.interval_join(left, right, length, how="inner"), "id", "regime_id")
-    assert got == sorted(((i, r) for i, r, _ in pairs), key=repr)
+    for salts in (1, 3):
+        joined = joins.interval_join(left, right, length, how="inner", salts=salts)
+        expected = sorted(((i, r) for i, r, _ in pairs), key=repr)
+        assert rows(joined, "id", "regime_id") == expected
 
-    outer = joins.interval_join(left, right, length).filter(F.col("regime_id").isNull())
+    outer = joins.interval_join(left, right, length, salts=2).filter("regime_id is null")
     assert {r["id"] for r in outer.collect()} == {i for i, _ in facts} - {i for i, *_ in pairs}
 
     labels = joins.interval_labels(left, right, "market_regime", length)
