@@ -270,6 +270,9 @@ def match_strategy(
     all signatures its patterns allow; the equi-join on keys and signature meets a matching pair
     exactly once, and only lists longer than two need the residual test.
     """
+    clash = (set(signals.columns) & set(strategies.columns)) - set(keys)
+    if clash:
+        raise ValueError(f"columns on both sides: {sorted(clash)}")
     same = [F.col(f"signal.{k}") == F.col(f"strategy.{k}") for k in keys]
     same += [F.col(f"signal.{p}").eqNullSafe(F.col(f"strategy.{p}")) for p in ("_a", "_b")]
     offered = _with_signatures(signals).alias("signal")

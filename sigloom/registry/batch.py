@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from sigloom.config import enabled_exchanges
 from sigloom.functions import float_or_zero, iso_text, pattern_key, strategy_patterns
 from sigloom.operators import aggregates, consumer, filters, joins, ranking, sets, shaping
 from sigloom.plans import best_params, feeds, monitoring, strategies
@@ -26,12 +27,15 @@ from sigloom.registry.feeds import (
     SCORES,
     priced_signals,
 )
+from sigloom.registry.streams import updates
 from sigloom.schemas import PARAMETER_COLUMNS
 from sigloom.sources import messages
 from sigloom.sources.catalog import scan_tables
 from sigloom.standins import AS_OF, DEFINITIONS
 
-LIST_OF = "string_split(regexp_replace(split_part(strategy_name, '|', 1), '[\\[\\]'']', '', 'g'), ', ')"
+LIST_OF = (
+    "string_split(regexp_replace(split_part(strategy_name, '|', 1), '[\\[\\]'']', '', 'g'), ', ')"
+)
 
 
 def paired(t):
@@ -59,9 +63,13 @@ def s1(t):
     return scan_tables(t)
 
 
-@query("S2_recent_window", f"select id, {stamp('timestamp')} as timestamp from scoring_history where {RECENT}")
+@query(
+    "S2_recent_window",
+    f"select id, {stamp('timestamp')} as timestamp from scoring_history where {RECENT}",
+)
 def s2(t):
-    return filters.recent_window(t("scoring_history"), WINDOW_MINUTES, AS_OF).select("id", "timestamp")
+    facts = t("scoring_history").select("id", "timestamp")
+    return filters.recent_window(facts, WINDOW_MINUTES, AS_OF)
 
 
 @query(
@@ -215,8 +223,6 @@ def f2(t):
 
 @query("F3_enabled_exchanges", "select id, exchange_id from trading_pairs where exchange_id in (2)")
 def f3(t):
-    from sigloom.config import enabled_exchanges
-
     chosen = enabled_exchanges(first=False, second=True)
     return filters.on_exchanges(t("trading_pairs"), chosen).select("id", "exchange_id")
 
@@ -891,8 +897,6 @@ CHANGED_BEFORE = (
     "(score_week is distinct from old_score_week or is_active is distinct from old_is_active)",
 )
 def f13(t):
-    from sigloom.registry.streams import updates
-
     return filters.changed_scores(updates(t("scoring_history"))).select("new.id")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sigloom.operators import ranking, shaping
+from sigloom.operators import filters, joins, ranking, shaping
 from sigloom.plans import feeds
 from sigloom.registry.base import CONFIG, LEGACY_CONFIG, RECENT, iso, joined_list, query, stamp
 from sigloom.standins import AS_OF
@@ -155,8 +155,6 @@ def consume(t):
 
 def priced_signals(t, recent=False):
     """Signals with the two columns consumers filter on."""
-    from sigloom.operators import filters, joins
-
     facts = t("scoring_history")
     if recent:
         facts = filters.recent_window(facts, CONFIG.window_minutes, AS_OF)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from sigloom.operators import aggregates, joins, ranking
+from sigloom.operators import aggregates, filters, joins, ranking
 from sigloom.plans import feeds
 from sigloom.registry.base import CONFIG, RECENT, WINDOW_MINUTES, iso, stamp, stream_query
 from sigloom.registry.feeds import DIAGNOSTIC, RECORD
@@ -88,7 +88,10 @@ MOVED = "id % 4 <> 0 or id % 8 = 0"
 )
 def s3(spark, folder, t):
     rows = change_stream(spark, folder).select(
-        "op", "new.id", F.col("new.score_week").alias("new_score"), F.col("old.score_week").alias("old_score")
+        "op",
+        "new.id",
+        F.col("new.score_week").alias("new_score"),
+        F.col("old.score_week").alias("old_score"),
     )
     return drained(spark, rows, "changes")
 
@@ -168,8 +171,6 @@ def s5(spark, folder, t):
     f"select id, {stamp('timestamp')} as timestamp from scoring_history where {RECENT}",
 )
 def s8(spark, folder, t):
-    from sigloom.operators import filters
-
     facts = t("scoring_history").select("id", "timestamp")
     table = sinks.SnapshotTable(spark, working_folder(spark, "snapshot"))
     table.replace(facts, 0)

@@ -155,6 +155,13 @@ def test_reduced_strategies_show_the_same_best_match(spark):
     assert len(expected) == 3
 
 
+def test_strategy_match_refuses_ambiguous_columns(spark):
+    left = spark.createDataFrame([], "market_regime string, patterns array<string>, x int")
+    right = spark.createDataFrame([], "market_regime string, required_patterns array<string>, x int")
+    with pytest.raises(ValueError):
+        joins.match_strategy(left, right)
+
+
 def test_one_row_parameters_without_a_join(spark):
     facts = spark.createDataFrame([(1,), (2,)], "id int")
     best = spark.createDataFrame([(7, 0.5)], "a int, b double").limit(1)
