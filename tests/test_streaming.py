@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import os
 from datetime import datetime, timedelta
 
 import pytest
@@ -262,7 +263,9 @@ def test_pattern_counts_by_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for number, patterns in enumerate([[["A"], ["A", "B"]], [["B"]]]):
         lines = [json.dumps({"patterns": p}) for p in patterns]
-        (tmp_path / "in" / f"{number}.json").write_text("\n".join(lines))
+        file = tmp_path / "in" / f"{number}.json"
+        file.write_text("\n".join(lines))
+        os.utime(file, (1_700_000_000 + number,) * 2)  # files are taken in order of their age
     stream = (
         spark.readStream.schema("patterns array<string>")
         .option("maxFilesPerTrigger", 1)
