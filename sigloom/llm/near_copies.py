@@ -7,10 +7,10 @@ shingle and cell only.  Every dart is hashed to a coordinate, and the earliest r
 coordinate is the signature, so two documents agree in a coordinate with the probability of
 their similarity.  Coordinates are joined in bands.
 
-Equal texts are one node.  Within a bucket of a band, members are compared with a centre, not with
-each other; components of what proved similar are merged, and only members of different
-components meet again, with other centres, at last with all of the other components of a size that
-could still be similar.  Every comparison is exact, on the texts.  A class is a component.
+Equal texts are one node.  Within a bucket, members are compared with a centre, not with each other:
+first in buckets of one band, then in those of two bands at once, where the nearest meet.  What
+proved similar is merged, and only members of different components meet again, at last all of
+them that have a size at which they could still be similar.  Every comparison is exact, on the texts.  A class is a component.
 
 Null text, or one without words, is a class of its own.  A text of fewer than five words is one
 shingle.  Rows of one id count as one document; a null id is replaced by a hash of the text.
@@ -33,8 +33,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 COORDINATES = BANDS * ROWS
-#: Rounds of comparing with one centre per bucket before all remaining pairs are compared.
-CENTRE_ROUNDS = 3
 _CELL = 0xA0761D6478BD642F
 _DART = np.uint64(0xE7037ED1A0B428DB)
 _WEIGHT = np.uint64(0x8EBC6AF09C88C6E3)
@@ -194,6 +192,63 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _in_company(buckets: DataFrame) -> DataFrame:
+    """Members of buckets that hold two or more, with ``others``: in how much company a key is."""
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    held = saved(buckets.join(sizes, "bucket"), "buckets")
+    company = held.groupBy("key").agg(F.sum("n").alias("others"))
+    return saved(held.drop("n").join(company, "key"), "company")
+
+
+def _apart(pairs: DataFrame) -> DataFrame:
+    """Pairs of different classes whose sizes allow the similarity, each once."""
+    fits = F.least("weight", "weight_b") >= SIMILARITY * F.greatest("weight", "weight_b")
+    return (
+        pairs.where((F.col("class") != F.col("class_b")) & fits)
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        .distinct()
+    )
+
+
+def _with_centre(placed: DataFrame) -> DataFrame:
+    """Each member of a bucket with the one that has most company, if its class is another.
+
+    The text that others were copied from shares buckets with most of them, so it is the centre
+    of most buckets it is in.
+    """
+    rank = F.struct("others", "key", "class", "weight")
+    centre = placed.groupBy("bucket").agg(F.max(rank).alias("c"))
+    return _apart(
+        placed.join(centre, "bucket").select(
+            F.col("key").alias("a"),
+            F.col("c.key").alias("b"),
+            "class",
+            F.col("c.class").alias("class_b"),
+            "weight",
+            F.col("c.weight").alias("weight_b"),
+        )
+    )
+
+
+def _across_classes(placed: DataFrame) -> DataFrame:
+    """All pairs of a bucket that are in different classes."""
+    several = (
+        placed.groupBy("bucket")
+        .agg(F.min("class").alias("least"), F.max("class").alias("most"))
+        .where(F.col("least") < F.col("most"))
+        .select("bucket")
+    )
+    rest = placed.join(several, "bucket").select("bucket", F.col("key").alias("a"), "class", "weight")
+    other = rest.toDF("bucket_b", "b", "class_b", "weight_b")
+    fits = F.least("weight", "weight_b") >= SIMILARITY * F.greatest("weight", "weight_b")
+    return _apart(
+        rest.join(
+            other,
+            (F.col("bucket") == F.col("bucket_b")) & (F.col("class") < F.col("class_b")) & fits,
+        )
+    )
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id): class_id is the smallest id of the documents in the class."""
     keyed = docs.select(
@@ -210,14 +265,16 @@ def near_classes(docs: DataFrame) -> DataFrame:
     spoken = sketches.where(F.size("bands") > 0)
     nodes = saved(spoken.groupBy("content").agg(F.min("key").alias("node")), "nodes")
     represent = nodes.select(F.col("node").alias("key")).distinct()
-    members = saved(
-        spoken.join(represent, "key", "left_semi")
-        .select("key", "weight", F.explode("bands").alias("bucket"))
-        .distinct(),
-        "buckets",
+    own = saved(
+        spoken.join(represent, "key", "left_semi").select("key", "weight", "bands").distinct(),
+        "represented",
+    )
+    pairs_of_bands = F.transform(
+        F.sequence(F.lit(0), F.lit(BANDS - 2)),
+        lambda i: F.xxhash64(F.col("bands")[i], F.col("bands")[i + 1]),
     )
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = saved(members.join(shared.select("bucket"), "bucket"), "shared")
+    members = _in_company(own.select("key", "weight", F.explode("bands").alias("bucket")))
+    close = _in_company(own.select("key", "weight", F.explode(pairs_of_bands).alias("bucket")))
 
     # The texts that are compared at all; a filter of limited size keeps the others from moving.
     needed = members.select("key").distinct()
@@ -241,48 +298,20 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
     labels = needed.select("key", F.col("key").alias("class"))
     edges = None
-    for turn in range(CENTRE_ROUNDS + 1):
-        placed = members.join(labels, "key")
-        if turn < CENTRE_ROUNDS:
-            first = F.struct(F.xxhash64("key", F.lit(turn)), "key", "class", "weight")
-            centre = placed.groupBy("bucket").agg(F.min(first).alias("c"))
-            pairs = placed.join(centre, "bucket").select(
-                F.col("key").alias("a"),
-                F.col("c.key").alias("b"),
-                F.col("class"),
-                F.col("c.class").alias("other"),
-                F.col("weight"),
-                F.col("c.weight").alias("weight_b"),
-            )
-        else:
-            mixed_buckets = (
-                placed.groupBy("bucket")
-                .agg(F.min("class").alias("least"), F.max("class").alias("most"))
-                .where(F.col("least") < F.col("most"))
-                .select("bucket")
-            )
-            rest = placed.join(mixed_buckets, "bucket")
-            other = rest.select(
-                "bucket",
-                F.col("key").alias("b"),
-                F.col("class").alias("other"),
-                F.col("weight").alias("weight_b"),
-            )
-            pairs = rest.withColumnRenamed("key", "a").join(
-                other, (rest["bucket"] == other["bucket"]) & (F.col("class") < F.col("other"))
-            )
-        fits = F.least("weight", "weight_b") >= SIMILARITY * F.greatest("weight", "weight_b")
-        pairs = saved(
-            pairs.where((F.col("class") != F.col("other")) & fits)
-            .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            .distinct(),
-            "pairs",
-        )
+    # First with centres, in buckets of one band and of two; then whatever is still apart.
+    for buckets, pairing in [
+        (members, _with_centre),
+        (close, _with_centre),
+        (close, _with_centre),
+        (close, _across_classes),
+        (members, _across_classes),
+    ]:
+        pairs = saved(pairing(buckets.join(labels, "key")), "pairs")
         if pairs.isEmpty():
             continue
         found = _similar(pairs, candidates)
         edges = found if edges is None else edges.union(found)
-        if not edges.isEmpty():
+        if not found.isEmpty():
             labels = saved(
                 needed.join(components(edges), "key", "left").select(
                     "key", F.coalesce("class", "key").alias("class")
