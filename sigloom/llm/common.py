@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sigloom.session import working_folder
@@ -76,6 +76,6 @@ def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
-def crc32_of_id(column: str = "doc_id") -> F.Column:
+def crc32_of_id(column: str = "doc_id") -> Column:
     """CRC-32 of the id as text, as a long."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

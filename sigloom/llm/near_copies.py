@@ -22,7 +22,7 @@ import functools
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sigloom.llm.blooms import bloom_filter, holds
@@ -33,6 +33,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
 COORDINATES = BANDS * ROWS
+#: Bits kept of each coordinate, and how many coordinates of a similar pair may differ in them:
+#: the expected number at the least similarity and 3.5 standard deviations (one link in 4,000 at
+#: exactly that similarity is above it, and far fewer beyond).
+PLANES = 4
+_DIFFER = (1 - SIMILARITY) * (1 - 2**-PLANES)
+MOST_DIFFERENT = int(COORDINATES * _DIFFER + 3.5 * (COORDINATES * _DIFFER * (1 - _DIFFER)) ** 0.5)
 _CELL = 0xA0761D6478BD642F
 _DART = np.uint64(0xE7037ED1A0B428DB)
 _WEIGHT = np.uint64(0x8EBC6AF09C88C6E3)
@@ -113,15 +119,43 @@ def bands(signed: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def planes(signed: np.ndarray) -> np.ndarray:
+    """The high bits of all coordinates, one plane after the other, as 64-bit words.
+
+    The low bits of a dart are those of its coordinate's number.
+    """
+    bits = signed[None, :] >> np.arange(63, 63 - PLANES, -1, dtype=np.uint64)[:, None]
+    bits &= np.uint64(1)
+    padded = np.zeros((PLANES, -(-COORDINATES // 64) * 64), np.uint8)
+    padded[:, :COORDINATES] = bits
+    return np.packbits(padded, axis=1).view(np.int64).ravel()
+
+
+def _differing(x: Column, y: Column) -> Column:
+    """In how many coordinates two arrays of planes differ."""
+    words = -(-COORDINATES // 64)
+    total = F.lit(0)
+    for k in range(words):
+        any_plane = x[k].bitwiseXOR(y[k])
+        for p in range(1, PLANES):
+            any_plane = any_plane.bitwiseOR(x[p * words + k].bitwiseXOR(y[p * words + k]))
+        total = total + F.bit_count(any_plane)
+    return total
+
+
 def _sketched(batch) -> dict[str, list]:
-    out = {"key": batch.column("key"), "content": [], "weight": [], "bands": []}
+    out = {"key": batch.column("key"), "content": [], "weight": [], "bands": [], "planes": []}
     for text in texts(batch):
         hashes, counts = shingles(text)
         out["content"].append(xxhash.xxh3_128_hexdigest(b" ".join(text.encode().split())))
         out["weight"].append(int(counts.sum()))
-        out["bands"].append(
-            bands(signature(hashes, counts.astype(np.float64))).tolist() if len(hashes) else []
-        )
+        if len(hashes):
+            signed = signature(hashes, counts.astype(np.float64))
+            out["bands"].append(bands(signed).tolist())
+            out["planes"].append(planes(signed).tolist())
+        else:
+            out["bands"].append([])
+            out["planes"].append([])
     return out
 
 
@@ -192,8 +226,9 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _in_company(buckets: DataFrame) -> DataFrame:
+def _in_company(sketched: DataFrame) -> DataFrame:
     """Members of buckets that hold two or more, with ``others``: in how much company a key is."""
+    buckets = sketched.select("key", "weight", F.explode("buckets").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     held = saved(buckets.join(sizes, "bucket"), "buckets")
     company = held.groupBy("key").agg(F.sum("n").alias("others"))
@@ -210,7 +245,7 @@ def _apart(pairs: DataFrame) -> DataFrame:
     )
 
 
-def _with_centre(placed: DataFrame) -> DataFrame:
+def _with_centre(placed: DataFrame, sketched: DataFrame) -> DataFrame:
     """Each member of a bucket with the one that has most company, if its class is another.
 
     The text that others were copied from shares buckets with most of them, so it is the centre
@@ -230,21 +265,34 @@ def _with_centre(placed: DataFrame) -> DataFrame:
     )
 
 
-def _across_classes(placed: DataFrame) -> DataFrame:
-    """All pairs of a bucket that are in different classes."""
+def _across_classes(placed: DataFrame, sketched: DataFrame) -> DataFrame:
+    """Pairs of a bucket that are in different classes and whose sketches leave it open.
+
+    A pair with several common buckets comes from the first of them only.
+    """
     several = (
         placed.groupBy("bucket")
         .agg(F.min("class").alias("least"), F.max("class").alias("most"))
         .where(F.col("least") < F.col("most"))
         .select("bucket")
     )
-    rest = placed.join(several, "bucket").select("bucket", F.col("key").alias("a"), "class", "weight")
-    other = rest.toDF("bucket_b", "b", "class_b", "weight_b")
+    rest = (
+        placed.join(several, "bucket")
+        .join(sketched.select("key", "planes", "buckets"), "key")
+        .select("bucket", F.col("key").alias("a"), "class", "weight", "planes", "buckets")
+    )
+    other = rest.toDF("bucket_b", "b", "class_b", "weight_b", "planes_b", "buckets_b")
+    first = F.array_intersect("buckets", "buckets_b")[0] == F.col("bucket")
+    open_yet = _differing(F.col("planes"), F.col("planes_b")) <= MOST_DIFFERENT
     fits = F.least("weight", "weight_b") >= SIMILARITY * F.greatest("weight", "weight_b")
     return _apart(
         rest.join(
             other,
-            (F.col("bucket") == F.col("bucket_b")) & (F.col("class") < F.col("class_b")) & fits,
+            (F.col("bucket") == F.col("bucket_b"))
+            & (F.col("class") < F.col("class_b"))
+            & fits
+            & open_yet
+            & first,
         )
     )
 
@@ -257,7 +305,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     sketches = saved(
         by_batch(
             keyed.select("key", "text"),
-            "key long, content string, weight long, bands array<long>",
+            "key long, content string, weight long, bands array<long>, planes array<long>",
             _sketched,
         ),
         "sketches",
@@ -266,15 +314,18 @@ def near_classes(docs: DataFrame) -> DataFrame:
     nodes = saved(spoken.groupBy("content").agg(F.min("key").alias("node")), "nodes")
     represent = nodes.select(F.col("node").alias("key")).distinct()
     own = saved(
-        spoken.join(represent, "key", "left_semi").select("key", "weight", "bands").distinct(),
+        spoken.join(represent, "key", "left_semi")
+        .select("key", "weight", "bands", "planes")
+        .distinct(),
         "represented",
     )
     pairs_of_bands = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 2)),
         lambda i: F.xxhash64(F.col("bands")[i], F.col("bands")[i + 1]),
     )
-    members = _in_company(own.select("key", "weight", F.explode("bands").alias("bucket")))
-    close = _in_company(own.select("key", "weight", F.explode(pairs_of_bands).alias("bucket")))
+    wide = own.select("key", "weight", "planes", F.col("bands").alias("buckets"))
+    narrow = own.select("key", "weight", "planes", pairs_of_bands.alias("buckets"))
+    members, close = _in_company(wide), _in_company(narrow)
 
     # The texts that are compared at all; a filter of limited size keeps the others from moving.
     needed = members.select("key").distinct()
@@ -297,16 +348,17 @@ def near_classes(docs: DataFrame) -> DataFrame:
     )
 
     labels = needed.select("key", F.col("key").alias("class"))
-    edges = None
+    edges, done = None, None
     # First with centres, in buckets of one band and of two; then whatever is still apart.
-    for buckets, pairing in [
-        (members, _with_centre),
-        (close, _with_centre),
-        (close, _with_centre),
-        (close, _across_classes),
-        (members, _across_classes),
+    for buckets, sketched, pairing in [
+        (members, wide, _with_centre),
+        (close, narrow, _with_centre),
+        (close, narrow, _across_classes),
+        (members, wide, _across_classes),
     ]:
-        pairs = saved(pairing(buckets.join(labels, "key")), "pairs")
+        pairs = pairing(buckets.join(labels, "key"), sketched)
+        pairs = saved(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"), "pairs")
+        done = pairs if done is None else done.union(pairs)
         if pairs.isEmpty():
             continue
         found = _similar(pairs, candidates)
