@@ -105,8 +105,13 @@ def limit_feed(df: DataFrame, n: int = 5) -> DataFrame:
 
 
 def consumer_top(df: DataFrame, k: int = 5) -> DataFrame:
-    """The ``k`` rows with the highest weekly score, a missing score counting as 0."""
-    return df.orderBy(F.coalesce("score_week", F.lit(0.0)).desc(), F.asc("id")).limit(k)
+    """The ``k`` rows with the highest weekly score, a missing score counting as 0.
+
+    The rows come in feed order and the sort is stable: equal scores keep the newest first.
+    """
+    newest = [F.desc_nulls_first("timestamp")] if "timestamp" in df.columns else []
+    score = F.coalesce("score_week", F.lit(0.0))
+    return df.orderBy(score.desc(), *newest, F.asc("id")).limit(k)
 
 
 def tail_buffer(df: DataFrame, n: int = 100) -> DataFrame:

@@ -7,7 +7,6 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sigloom.operators import filters
 
 AsOf = datetime | Column | None
 
@@ -82,17 +81,22 @@ def refresh_due(changed: Column, seconds_since_last: Column, force_seconds: int
 
 
 def snapshot_at(df: DataFrame, minutes: int, moments: list[datetime]) -> DataFrame:
-    """The lookback window as seen at several times; rows leave it with age alone."""
-    snapshots = [
-        filters.recent_window(df, minutes, moment).withColumn(
-            "as_of", F.lit(moment.isoformat(sep=" "))
-        )
-        for moment in moments
-    ]
-    result = snapshots[0]
-    for snapshot in snapshots[1:]:
-        result = result.unionByName(snapshot)
-    return result
+    """The lookback window as seen at several times, from one scan.
+
+    At each time it holds the rows that are there by then and not older than the window.
+    """
+    kind = df.schema["timestamp"].dataType
+
+    def at(moment: datetime) -> Column:
+        return F.lit(moment.isoformat(sep=" ")).cast(kind)
+
+    width = F.make_dt_interval(mins=F.lit(minutes))
+    seen = df.filter(
+        F.col("timestamp").between(at(min(moments)) - width, at(max(moments)))
+    ).withColumn("as_of", F.explode(F.array(*(at(m) for m in moments))))
+    inside = F.col("timestamp").between(F.col("as_of") - width, F.col("as_of"))
+    text = F.date_format("as_of", "yyyy-MM-dd HH:mm:ss")
+    return seen.filter(inside).withColumn("as_of", text)
 
 
 def feed_stats(batches: DataFrame, as_of: datetime) -> DataFrame:

@@ -44,10 +44,9 @@ def strategy_candidates(
             ),
         )
     )
-    # No pattern holds the separator it was cut at, so the joined text stands for the set.
-    named = shaped.withColumn("_set", F.array_join("required_patterns", ", "))
+    # The array itself is the key: joined to text, [''] and [] would be the same set.
     order = [*ranking.strategy_preference(), *ranking.variant_preference()]
-    return ranking.distinct_on(named, ["_set", *keys], order).drop("_set")
+    return ranking.distinct_on(shaped, ["required_patterns", *keys], order)
 
 
 def since_first_id(

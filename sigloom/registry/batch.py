@@ -299,7 +299,7 @@ def f11(t):
 
 
 PRICED = (
-    "select id, exchange_id, score_week, score_month / 100 as score, last_24h_volume as "
+    "select id, timestamp, exchange_id, score_week, score_month / 100 as score, last_24h_volume as "
     "entry_price from paired"
 )
 CONSUMABLE = (
@@ -308,9 +308,9 @@ CONSUMABLE = (
 )
 
 
-@query("F12_consumer_filter", CONSUMABLE)
+@query("F12_consumer_filter", f"select * exclude (timestamp) from ({CONSUMABLE})")
 def f12(t):
-    return consumer.consumer_filter(priced_signals(t), 0.7, [1])
+    return consumer.consumer_filter(priced_signals(t), 0.7, [1]).drop("timestamp")
 
 
 # --- joins ----------------------------------------------------------------------------------
@@ -790,10 +790,12 @@ def w8(t):
 
 @query(
     "W9_consumer_topk",
-    "select id, score_week from scoring_history order by coalesce(score_week, 0) desc, id limit 5",
+    "select id, score_week from scoring_history order by coalesce(score_week, 0) desc, "
+    "timestamp desc nulls first, id limit 5",
 )
 def w9(t):
-    return ranking.consumer_top(t("scoring_history").select("id", "score_week"))
+    facts = t("scoring_history").select("id", "score_week", "timestamp")
+    return ranking.consumer_top(facts).drop("timestamp")
 
 
 @query(
@@ -861,25 +863,30 @@ def _handler():
     "X2_process_top",
     "select id, case when exchange_id = 2 then 'error' else 'processed' end as status, "
     "case when exchange_id = 2 then 'exchange closed' end as error from (select * from "
-    f"({PRICED}) order by coalesce(score_week, 0) desc, id limit 100)",
+    f"({PRICED}) order by coalesce(score_week, 0) desc, timestamp desc nulls first, id limit 100)",
 )
 def x2(t):
     top = ranking.consumer_top(priced_signals(t), 100)
     return consumer.process_rows(top, _handler())
 
 
+KEPT = CONSUMABLE.replace("in (1)", "in (1, 2)")
+
+
 @query(
     "X2_processing_totals",
     f"select (select count(*) from ({PRICED})) as total_received, "
-    f"(select count(*) from ({PRICED})) - count(*) as filtered_out, "
+    f"(select count(*) from ({PRICED})) - (select count(*) from ({KEPT})) as filtered_out, "
     "count(*) filter (where exchange_id <> 2) as processed, "
     "count(*) filter (where exchange_id = 2) as errors "
-    f"from ({CONSUMABLE.replace('in (1)', 'in (1, 2)')})",
+    f"from (select * from ({KEPT}) order by coalesce(score_week, 0) desc, "
+    "timestamp desc nulls first, id limit 100)",
 )
 def x2_totals(t):
     received = priced_signals(t)
     kept = consumer.consumer_filter(received, 0.7, [1, 2])
-    return consumer.processing_totals(received, kept, consumer.process_rows(kept, _handler()))
+    outcomes = consumer.process_rows(ranking.consumer_top(kept, 100), _handler())
+    return consumer.processing_totals(received, kept, outcomes)
 
 
 # --- change handling in batch form ----------------------------------------------------------
@@ -967,8 +974,10 @@ def t5(t):
 @query(
     "T8_sliding_lookback",
     f"select '2024-01-24 00:00:00' as as_of, id from scoring_history where timestamp >= "
-    f"timestamp '2024-01-24 00:00:00' - interval '{WINDOW_MINUTES}' minute union all "
-    f"select '2024-01-31 00:00:00', id from scoring_history where {RECENT}",
+    f"timestamp '2024-01-24 00:00:00' - interval '{WINDOW_MINUTES}' minute and timestamp <= "
+    "timestamp '2024-01-24 00:00:00' union all "
+    f"select '2024-01-31 00:00:00', id from scoring_history where {RECENT} and timestamp <= "
+    "timestamp '2024-01-31 00:00:00'",
 )
 def t8(t):
     moments = [datetime(2024, 1, 24), AS_OF]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sigloom.operators import filters, joins, ranking, shaping
+from sigloom.operators import joins, ranking, shaping
 from sigloom.plans import feeds
 from sigloom.registry.base import CONFIG, LEGACY_CONFIG, RECENT, iso, joined_list, query, stamp
 from sigloom.standins import AS_OF
@@ -145,21 +145,19 @@ def diagnostic(t):
 @query(
     "Q_CONSUME",
     "select id, exchange_id, score_week, score_month / 100 as score, last_24h_volume as "
-    f"entry_price from paired where {RECENT} and coalesce(score_month / 100, 0) >= 0.7 and "
+    f"entry_price from paired where coalesce(score_month / 100, 0) >= 0.7 and "
     "exchange_id in (1, 2) and coalesce(last_24h_volume, 0) <> 0 "
-    "order by coalesce(score_week, 0) desc, id limit 5",
+    "order by coalesce(score_week, 0) desc, timestamp desc nulls first, id limit 5",
 )
 def consume(t):
-    return feeds.consumer_feed(priced_signals(t, recent=True), 0.7, (1, 2))
+    return feeds.consumer_feed(priced_signals(t), 0.7, (1, 2)).drop("timestamp")
 
 
-def priced_signals(t, recent=False):
-    """Signals with the two columns consumers filter on."""
-    facts = t("scoring_history")
-    if recent:
-        facts = filters.recent_window(facts, CONFIG.window_minutes, AS_OF)
-    return joins.join_pair_by_id(facts, t("trading_pairs")).select(
+def priced_signals(t):
+    """Signals with the two columns consumers filter on and the time they are ordered by."""
+    return joins.join_pair_by_id(t("scoring_history"), t("trading_pairs")).select(
         "id",
+        "timestamp",
         "exchange_id",
         "score_week",
         (F.col("score_month") / 100).alias("score"),

@@ -18,15 +18,19 @@ from sigloom.streaming import dedup, events, rates, refresh, stats
 
 
 def streamed(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A stand-in table as a stream over its source file."""
+    """A stand-in table as a stream over its source, a single file or a folder of files.
+
+    A stored table is read whole in one micro-batch, so the number of its files changes nothing.
+    """
     source = DEFINITIONS[name][0]
     schema = spark.read.parquet(f"{folder}/{source}.parquet").schema
     rows = changes.change_source(
         spark,
-        folder,
+        # Only a pattern may name a single file as well as a folder.
+        f"{folder}/{source}.parque[t]",
         source_format="parquet",
         schema=schema,
-        pathGlobFilter=f"{source}.parquet",
+        max_files=None,
     )
     return derive(rows, name)
 

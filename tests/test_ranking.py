@@ -53,7 +53,7 @@ def test_feed_order_and_both_ends(spark):
     assert column(ranking.order_feed(df), "id") == order
     assert column(ranking.limit_feed(df, 2), "id") == order[:2]
     assert column(ranking.tail_buffer(df, 4), "id") == order[-4:]
-    assert column(ranking.consumer_top(df, 3), "id") == [3, 4, 5]
+    assert column(ranking.consumer_top(df, 3), "id") == [5, 4, 3]
     plan = ranking.limit_feed(df, 2)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
 
