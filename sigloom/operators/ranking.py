@@ -146,18 +146,44 @@ def replay_order(df: DataFrame, column: str = "signal_timestamp") -> DataFrame:
     return sort_finished(df, "signal_id", F.asc(column), F.asc("signal_id"))
 
 
-def order_violations(df: DataFrame, position: str = "pos", batch: str | None = None) -> DataFrame:
+def order_violations(
+    df: DataFrame, position: str = "pos", batch: str | None = None, span: int = 1000
+) -> DataFrame:
     """Rows whose weekly score is above that of the row just before them.
 
-    Positions are dense inside a batch, as in the array of a message.  The neighbour is found by
-    an equi-join on position, so one long batch is not gathered in one task.
+    Positions are distinct inside a batch and may have gaps.
     """
     keys = [batch] if batch else []
-    before = df.select(
-        *keys,
-        (F.col(position) + 1).alias(position),
-        F.col("score_week").alias("previous_score_week"),
+    return (
+        _with_previous(df, keys, position, "score_week", span)
+        .withColumn("previous_score_week", F.col("_previous.score_week"))
+        .drop("_previous")
+        .filter(F.col("score_week") > F.col("previous_score_week"))
     )
-    return df.join(before, [*keys, position]).filter(
-        F.col("score_week") > F.col("previous_score_week")
+
+
+def _with_previous(
+    df: DataFrame, keys: list[str], position: str, value: str, span: int, levels: int = 3
+) -> DataFrame:
+    """``_previous``: a struct with the value at the next lower position of the same keys.
+
+    Rows look inside their span of positions.  The first of a span takes the last value of the
+    span before, found the same way over spans of spans, so no task gets one long history.
+    """
+    lagged = F.lag(F.struct(value))
+    if not levels:
+        return df.withColumn("_previous", lagged.over(Window.partitionBy(*keys).orderBy(position)))
+    name = f"_span{levels}"
+    number = F.floor(F.col(position) / span).cast("bigint")
+    cut = df.withColumn(name, number)
+    last = cut.groupBy(*keys, name).agg(F.max_by(value, position).alias(value))
+    before = _with_previous(last, keys, name, value, span, levels - 1).select(
+        *keys, name, F.col("_previous").alias("_before")
+    )
+    inside = Window.partitionBy(*keys, name).orderBy(position)
+    return (
+        cut.withColumn("_previous", lagged.over(inside))
+        .join(before, [*keys, name])
+        .withColumn("_previous", F.coalesce("_previous", "_before"))
+        .drop(name, "_before")
     )

@@ -12,7 +12,11 @@ AsOf = datetime | Column | None
 
 
 def gate_history(
-    probes: DataFrame, feed: str = "feed", time: str = "probe_time", span: str = "hour"
+    probes: DataFrame,
+    feed: str = "feed",
+    time: str = "probe_time",
+    span: str = "hour",
+    number: str | None = None,
 ) -> DataFrame:
     """Which probes of a history announce a change.
 
@@ -20,20 +24,22 @@ def gate_history(
     differs or its newest id is larger.  While the newest time stays the same, the kept id is
     the largest one met so far.  So it is enough to know the previous probe's time and the largest
     id earlier in the same stretch of equal times.  Probes of an empty window are no change and
-    leave the kept values alone.
+    leave the kept values alone.  Probes of one time follow each other by the column ``number``, or
+    else by newest time and id.
 
     No task has to see a whole history.  Windows cover one feed and one ``span`` of time, so a group
     is at most the probes made in it (3,600 an hour at one a second; take a shorter span for faster
     probing).  What a span takes over from the ones before it is worked out on one row per span.
     """
+    order = [time, number] if number else [time, "max_timestamp", "max_id"]
     empty = F.coalesce("max_id", F.lit(0)) == 0
     filled = probes.filter(~empty).withColumn("_span", F.date_trunc(span, time))
     spans = Window.partitionBy(feed).orderBy("_span")
-    inside = Window.partitionBy(feed, "_span").orderBy(time)
+    inside = Window.partitionBy(feed, "_span").orderBy(*order)
 
     # Time before the first probe of a span, then stretches of equal times inside the span; stretch
     # 0 goes on from the span before.
-    ends = filled.groupBy(feed, "_span").agg(F.max_by("max_timestamp", time).alias("_end"))
+    ends = filled.groupBy(feed, "_span").agg(F.max_by("max_timestamp", F.struct(*order)).alias("_end"))
     starts = ends.select(feed, "_span", F.lag("_end").over(spans).alias("_start"))
     before = F.coalesce(F.lag("max_timestamp").over(inside), F.col("_start"))
     moved = filled.join(starts, [feed, "_span"]).withColumn(
@@ -57,7 +63,7 @@ def gate_history(
         feed, "_span", F.lag("_top").over(spans).alias("_handed")
     )
 
-    stretch = Window.partitionBy(feed, "_span", "_stretch").orderBy(time)
+    stretch = Window.partitionBy(feed, "_span", "_stretch").orderBy(*order)
     kept = F.greatest(
         F.max("max_id").over(stretch.rowsBetween(Window.unboundedPreceding, -1)),
         F.when(F.col("_stretch") == 0, F.col("_handed")),

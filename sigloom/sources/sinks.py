@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-HEAD_SCHEMA = "turn bigint, version bigint, row_count bigint"
+HEAD_SCHEMA = "turn bigint, version bigint, row_count bigint, place bigint, written double"
 
 
-def read_if_present(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+def read_if_present(
+    spark: SparkSession, path: str, schema: str, **options: bool | str
+) -> DataFrame | None:
     """The Parquet files below ``path``, or None as long as nothing has been written there."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.options(**options).schema(schema).parquet(path)
     except AnalysisException as problem:
         if problem.getCondition() == "PATH_NOT_FOUND":
             return None
@@ -48,46 +52,60 @@ def kafka_event_sink(events: DataFrame, servers: str, checkpoint: str) -> DataSt
 class SnapshotTable:
     """A table that is replaced as a whole and keeps serving its last complete version.
 
-    Versions rotate through ``keep`` folders, so nothing has to be listed or deleted as they come
-    and go.  A one-row head is written after the data; readers follow the newest head and never see
-    a half-written version.  A version broken off half-way has no head, and its folder is the
-    next one to be overwritten.  A reader may hold on to a version for ``keep - 1`` replacements.
+    Versions rotate through folders, so nothing has to be deleted as they come and go.  A folder is
+    used again once ``keep`` of them exist and its version was replaced ``hold_seconds`` ago or
+    earlier; until then a reader may hold on to it, however fast versions follow.  A one-row
+    head is written after the data; readers follow the newest head and never see a half-written
+    version.  A version broken off half-way has no head, and its folder is the next one to be
+    overwritten.  One writer at a time.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keep: int = 8):
+    def __init__(self, spark: SparkSession, root: str, keep: int = 8, hold_seconds: float = 600):
         if keep < 2:
             raise ValueError("keep at least two versions")
         self.spark = spark
         self.root = root.rstrip("/")
         self.keep = keep
+        self.hold_seconds = hold_seconds
+
+    def _data(self, place: int) -> str:
+        return f"{self.root}/data/slot={place}"
 
-    def _data(self, turn: int) -> str:
-        return f"{self.root}/data/slot={turn % self.keep}"
+    def _heads(self) -> list[Row]:
+        """Newest first; the oldest may be missing while it is being overwritten."""
+        heads = read_if_present(
+            self.spark, f"{self.root}/heads/slot=*", HEAD_SCHEMA, ignoreMissingFiles=True
+        )
+        return [] if heads is None else heads.orderBy(F.desc("turn")).collect()
 
-    def _newest_head(self) -> Row | None:
-        heads = read_if_present(self.spark, f"{self.root}/heads/slot=*", HEAD_SCHEMA)
-        return None if heads is None else heads.orderBy(F.desc("turn")).first()
+    def _next_place(self, heads: list[Row], now: float) -> int:
+        if len(heads) >= self.keep and heads[-2]["written"] <= now - self.hold_seconds:
+            return heads[-1]["place"]
+        return max((h["place"] for h in heads), default=-1) + 1
 
     def replace(self, snapshot: DataFrame, version: int) -> None:
         """Publish ``snapshot`` as ``version`` (a batch number; a repeated batch publishes again)."""
-        newest = self._newest_head()
-        turn = 0 if newest is None else newest["turn"] + 1
-        snapshot.write.mode("overwrite").parquet(self._data(turn))
-        head = self.spark.read.parquet(self._data(turn)).agg(
+        heads = self._heads()
+        turn = heads[0]["turn"] + 1 if heads else 0
+        place = self._next_place(heads, time.time())
+        snapshot.write.mode("overwrite").parquet(self._data(place))
+        head = self.spark.read.parquet(self._data(place)).agg(
             F.lit(turn).cast("bigint").alias("turn"),
             F.lit(version).cast("bigint").alias("version"),
             F.count(F.lit(1)).alias("row_count"),
+            F.lit(place).cast("bigint").alias("place"),
+            F.lit(time.time()).alias("written"),
         )
-        head.write.mode("overwrite").parquet(f"{self.root}/heads/slot={turn % self.keep}")
+        head.write.mode("overwrite").parquet(f"{self.root}/heads/slot={place}")
 
     def latest_version(self) -> int | None:
         """Newest complete version, or None before the first one."""
-        newest = self._newest_head()
-        return None if newest is None else newest["version"]
+        heads = self._heads()
+        return heads[0]["version"] if heads else None
 
     def latest(self) -> DataFrame:
         """The last complete snapshot, without recomputing it."""
-        newest = self._newest_head()
-        if newest is None:
+        heads = self._heads()
+        if not heads:
             raise LookupError(f"no snapshot under {self.root}")
-        return self.spark.read.parquet(self._data(newest["turn"]))
+        return self.spark.read.parquet(self._data(heads[0]["place"]))

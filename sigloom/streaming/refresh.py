@@ -152,11 +152,21 @@ def gated_refresh(
 
 
 def buffer_replace(
-    feed: DataFrame, shape: Callable[[DataFrame], DataFrame], table: SnapshotTable, checkpoint: str
+    feed: DataFrame,
+    shape: Callable[[DataFrame], DataFrame],
+    table: SnapshotTable,
+    checkpoint: str,
+    message: str | None = None,
 ) -> DataStreamWriter:
-    """Keep only the shaped rows of the newest micro-batch; nothing is appended to older ones."""
+    """Keep only the shaped rows of the newest message; nothing is appended to older ones.
+
+    The column ``message`` numbers the messages; without it a micro-batch counts as one.
+    """
 
     def swap(batch: DataFrame, batch_id: int) -> None:
+        if message is not None:
+            newest = batch.agg(F.max(message)).first()[0]
+            batch = batch.filter(F.col(message).eqNullSafe(F.lit(newest)))
         table.replace(shape(batch), batch_id)
 
     return feed.writeStream.foreachBatch(swap).option("checkpointLocation", checkpoint)

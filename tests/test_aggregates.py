@@ -118,3 +118,14 @@ def test_gate_over_a_history_equals_the_loop(spark, seed):
     assert [r["changed"] for r in got] == gate_by_loop(probes)
     by_day = monitoring.gate_history(df, span="day").orderBy("probe_time").collect()
     assert [r["changed"] for r in by_day] == gate_by_loop(probes)
+
+
+def test_probes_of_one_time_have_an_order(spark):
+    probes = [("f", T0, 5, T0, 0), ("f", T0, 3, T0, 1), ("f", T0, 4, T0, 2)]
+    kind = "feed string, probe_time timestamp_ntz, max_id long, max_timestamp timestamp_ntz, n int"
+    for order in (probes, probes[::-1]):
+        df = spark.createDataFrame(order, kind)
+        by_number = monitoring.gate_history(df, number="n").orderBy("n").collect()
+        assert [r["changed"] for r in by_number] == [True, False, False]
+        by_value = monitoring.gate_history(df).orderBy("max_id").collect()
+        assert [r["changed"] for r in by_value] == [True, True, True]

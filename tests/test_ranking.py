@@ -86,6 +86,21 @@ def test_violations_are_rises_only(spark):
     assert len(ranking.order_violations(batches, batch="batch_id").collect()) == 2
 
 
+def test_violations_across_gaps_and_spans(spark):
+    scores = [(k * k, float((k * 7) % 11) if k % 5 else None) for k in range(300)]
+    df = spark.createDataFrame(scores, "pos long, score_week double").repartition(4)
+    rises = [
+        b[0]
+        for a, b in zip(scores, scores[1:])
+        if a[1] is not None and b[1] is not None and b[1] > a[1]
+    ]
+    for span in (2, 1000):
+        found = ranking.order_violations(df, span=span)
+        assert found.columns == ["pos", "score_week", "previous_score_week"]
+        assert sorted(column(found, "pos")) == rises
+    assert ranking.order_violations(df.limit(0)).isEmpty()
+
+
 def test_ordered_feed_has_no_violations(spark):
     ordered = ranking.order_feed(feed(spark).filter("score_week is not null")).collect()
     df = spark.createDataFrame(

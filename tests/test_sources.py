@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 
@@ -113,6 +114,23 @@ def test_snapshot_is_replaced_not_appended(spark, folder):
         assert table.latest_version() == version * 16
 
 
+def test_versions_stay_readable_for_a_while(spark, folder):
+    table = SnapshotTable(spark, folder, keep=2)
+    table.replace(spark.range(7), 0)
+    held = table.latest()
+    for version in (1, 2, 3):
+        table.replace(spark.range(version), version)
+    assert held.count() == 7 and table.latest().count() == 3
+
+
+def test_folders_are_used_again_after_a_while(spark, folder):
+    table = SnapshotTable(spark, folder, keep=2, hold_seconds=0)
+    for version in range(4):
+        table.replace(spark.range(version), version)
+        assert table.latest().count() == version
+    assert sorted(p.name for p in (Path(folder) / "data").iterdir()) == ["slot=0", "slot=1"]
+
+
 def test_half_written_version_is_not_served(spark, folder):
     table = SnapshotTable(spark, folder)
     table.replace(spark.range(3), 1)

@@ -192,6 +192,28 @@ def test_buffer_holds_the_newest_batch_only(spark, tmp_path):
     assert sorted(column(table.latest(), "score_week")) == [70.0, 75.0]
 
 
+def test_buffer_holds_the_newest_message_of_a_batch(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for number, scores in enumerate([[60, 55], [75, 70]]):
+        lines = [
+            json.dumps(
+                {"id": s, "score_week": s, "timestamp": NOW.isoformat(), "message": number}
+            )
+            for s in scores
+        ]
+        (tmp_path / "in" / f"{number}.json").write_text("\n".join(lines))
+    feed = spark.readStream.schema(
+        "id long, score_week double, timestamp timestamp, message long"
+    ).json(str(tmp_path / "in"))
+    table = SnapshotTable(spark, str(tmp_path / "snapshot"))
+    run(
+        refresh.buffer_replace(
+            feed, ranking.tail_buffer, table, str(tmp_path / "checkpoint"), message="message"
+        )
+    )
+    assert sorted(column(table.latest(), "score_week")) == [70.0, 75.0]
+
+
 def test_signal_is_shown_once_across_batches(spark, tmp_path):
     (tmp_path / "in").mkdir()
     batches = [[(1, 0), (2, 5)], [(1, 0), (3, 50)], [(2, 5), (3, 50), (1, 0)]]
