@@ -268,7 +268,8 @@ def _with_centre(placed: DataFrame, sketched: DataFrame) -> DataFrame:
 def _across_classes(placed: DataFrame, sketched: DataFrame) -> DataFrame:
     """Pairs of a bucket that are in different classes and whose sketches leave it open.
 
-    A pair with several common buckets comes from the first of them only.
+    A pair with several common buckets comes from the first of them only, and a pair with a common
+    bucket among ``compared`` was made in an earlier step: if it is still apart, it is dissimilar.
     """
     several = (
         placed.groupBy("bucket")
@@ -278,10 +279,10 @@ def _across_classes(placed: DataFrame, sketched: DataFrame) -> DataFrame:
     )
     rest = (
         placed.join(several, "bucket")
-        .join(sketched.select("key", "planes", "buckets"), "key")
-        .select("bucket", F.col("key").alias("a"), "class", "weight", "planes", "buckets")
+        .join(sketched.select("key", "planes", "buckets", "compared"), "key")
+        .select("bucket", F.col("key").alias("a"), "class", "weight", "planes", "buckets", "compared")
     )
-    other = rest.toDF("bucket_b", "b", "class_b", "weight_b", "planes_b", "buckets_b")
+    other = rest.toDF(*"bucket_b b class_b weight_b planes_b buckets_b compared_b".split())
     first = F.array_intersect("buckets", "buckets_b")[0] == F.col("bucket")
     open_yet = _differing(F.col("planes"), F.col("planes_b")) <= MOST_DIFFERENT
     fits = F.least("weight", "weight_b") >= SIMILARITY * F.greatest("weight", "weight_b")
@@ -292,7 +293,8 @@ def _across_classes(placed: DataFrame, sketched: DataFrame) -> DataFrame:
             & (F.col("class") < F.col("class_b"))
             & fits
             & open_yet
-            & first,
+            & first
+            & ~F.arrays_overlap("compared", "compared_b"),
         )
     )
 
@@ -323,8 +325,16 @@ def near_classes(docs: DataFrame) -> DataFrame:
         F.sequence(F.lit(0), F.lit(BANDS - 2)),
         lambda i: F.xxhash64(F.col("bands")[i], F.col("bands")[i + 1]),
     )
-    wide = own.select("key", "weight", "planes", F.col("bands").alias("buckets"))
-    narrow = own.select("key", "weight", "planes", pairs_of_bands.alias("buckets"))
+    wide = own.select(
+        "key", "weight", "planes", F.col("bands").alias("buckets"), pairs_of_bands.alias("compared")
+    )
+    narrow = own.select(
+        "key",
+        "weight",
+        "planes",
+        pairs_of_bands.alias("buckets"),
+        F.array().cast("array<long>").alias("compared"),
+    )
     members, close = _in_company(wide), _in_company(narrow)
 
     # The texts that are compared at all; a filter of limited size keeps the others from moving.
