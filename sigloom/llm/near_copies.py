@@ -39,6 +39,8 @@ COORDINATES = BANDS * ROWS
 PLANES = 4
 _DIFFER = (1 - SIMILARITY) * (1 - 2**-PLANES)
 MOST_DIFFERENT = int(COORDINATES * _DIFFER + 3.5 * (COORDINATES * _DIFFER * (1 - _DIFFER)) ** 0.5)
+#: Places that the shingles of a text are hashed to, a multiple of 64.
+PLACES = 1024
 _CELL = 0xA0761D6478BD642F
 _DART = np.uint64(0xE7037ED1A0B428DB)
 _WEIGHT = np.uint64(0x8EBC6AF09C88C6E3)
@@ -131,6 +133,23 @@ def planes(signed: np.ndarray) -> np.ndarray:
     return np.packbits(padded, axis=1).view(np.int64).ravel()
 
 
+def places(hashes: np.ndarray) -> np.ndarray:
+    """Which places hold a shingle, one bit each, as 64-bit words."""
+    held = np.zeros(PLACES, np.uint8)
+    held[(mixed(hashes) % np.uint64(PLACES)).astype(np.int64)] = 1
+    return np.packbits(held).view(np.int64)
+
+
+def _reachable(x: Column, y: Column, total: Column) -> Column:
+    """Whether two texts with ``total`` shingles in all can be similar, by their places.
+
+    A place held in one text only has a shingle that the other lacks.  With d such places at most
+    (total - d) / 2 shingles are shared, so this never rules out a similar pair.
+    """
+    single = sum(F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(PLACES // 64))
+    return single * (1 + SIMILARITY) <= total * (1 - SIMILARITY) + 1e-6
+
+
 def _differing(x: Column, y: Column) -> Column:
     """In how many coordinates two arrays of planes differ."""
     words = -(-COORDINATES // 64)
@@ -144,7 +163,7 @@ def _differing(x: Column, y: Column) -> Column:
 
 
 def _sketched(batch) -> dict[str, list]:
-    out = {"key": batch.column("key"), "content": [], "weight": [], "bands": [], "planes": []}
+    out = {"key": batch.column("key"), "content": [], "weight": [], "bands": [], "planes": [], "places": []}
     for text in texts(batch):
         hashes, counts = shingles(text)
         out["content"].append(xxhash.xxh3_128_hexdigest(b" ".join(text.encode().split())))
@@ -153,9 +172,11 @@ def _sketched(batch) -> dict[str, list]:
             signed = signature(hashes, counts.astype(np.float64))
             out["bands"].append(bands(signed).tolist())
             out["planes"].append(planes(signed).tolist())
+            out["places"].append(places(hashes).tolist())
         else:
             out["bands"].append([])
             out["planes"].append([])
+            out["places"].append([])
     return out
 
 
@@ -266,7 +287,7 @@ def _with_centre(placed: DataFrame, sketched: DataFrame) -> DataFrame:
 
 
 def _across_classes(placed: DataFrame, sketched: DataFrame) -> DataFrame:
-    """Pairs of a bucket that are in different classes and whose sketches leave it open.
+    """Pairs of a bucket that are in different classes and whose sketches and places leave it open.
 
     A pair with several common buckets comes from the first of them only, and a pair with a common
     bucket among ``compared`` was made in an earlier step: if it is still apart, it is dissimilar.
@@ -279,13 +300,21 @@ def _across_classes(placed: DataFrame, sketched: DataFrame) -> DataFrame:
     )
     rest = (
         placed.join(several, "bucket")
-        .join(sketched.select("key", "planes", "buckets", "compared"), "key")
-        .select("bucket", F.col("key").alias("a"), "class", "weight", "planes", "buckets", "compared")
+        .join(sketched.select("key", "planes", "places", "buckets", "compared"), "key")
+        .select(
+            "bucket",
+            F.col("key").alias("a"),
+            *"class weight planes places buckets compared".split(),
+        )
+    )
+    other = rest.toDF(
+        *"bucket_b b class_b weight_b planes_b places_b buckets_b compared_b".split()
     )
-    other = rest.toDF(*"bucket_b b class_b weight_b planes_b buckets_b compared_b".split())
     first = F.array_intersect("buckets", "buckets_b")[0] == F.col("bucket")
     open_yet = _differing(F.col("planes"), F.col("planes_b")) <= MOST_DIFFERENT
     fits = F.least("weight", "weight_b") >= SIMILARITY * F.greatest("weight", "weight_b")
+    total = F.col("weight") + F.col("weight_b")
+    reachable = _reachable(F.col("places"), F.col("places_b"), total)
     return _apart(
         rest.join(
             other,
@@ -293,6 +322,7 @@ def _across_classes(placed: DataFrame, sketched: DataFrame) -> DataFrame:
             & (F.col("class") < F.col("class_b"))
             & fits
             & open_yet
+            & reachable
             & first
             & ~F.arrays_overlap("compared", "compared_b"),
         )
@@ -307,7 +337,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     sketches = saved(
         by_batch(
             keyed.select("key", "text"),
-            "key long, content string, weight long, bands array<long>, planes array<long>",
+            "key long, content string, weight long, bands array<long>, planes array<long>, places array<long>",
             _sketched,
         ),
         "sketches",
@@ -317,7 +347,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
     represent = nodes.select(F.col("node").alias("key")).distinct()
     own = saved(
         spoken.join(represent, "key", "left_semi")
-        .select("key", "weight", "bands", "planes")
+        .select("key", "weight", "bands", "planes", "places")
         .distinct(),
         "represented",
     )
@@ -326,12 +356,18 @@ def near_classes(docs: DataFrame) -> DataFrame:
         lambda i: F.xxhash64(F.col("bands")[i], F.col("bands")[i + 1]),
     )
     wide = own.select(
-        "key", "weight", "planes", F.col("bands").alias("buckets"), pairs_of_bands.alias("compared")
+        "key",
+        "weight",
+        "planes",
+        "places",
+        F.col("bands").alias("buckets"),
+        pairs_of_bands.alias("compared"),
     )
     narrow = own.select(
         "key",
         "weight",
         "planes",
+        "places",
         pairs_of_bands.alias("buckets"),
         F.array().cast("array<long>").alias("compared"),
     )
