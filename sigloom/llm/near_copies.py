@@ -146,7 +146,8 @@ def _reachable(x: Column, y: Column, total: Column) -> Column:
     A place held in one text only has a shingle that the other lacks.  With d such places at most
     (total - d) / 2 shingles are shared, so this never rules out a similar pair.
     """
-    single = sum(F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(PLACES // 64))
+    bits = F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+    single = F.aggregate(bits, F.lit(0), lambda n, more: n + more)
     return single * (1 + SIMILARITY) <= total * (1 - SIMILARITY) + 1e-6
 
 
