@@ -7,7 +7,8 @@ site and are deleted, wherever they stand outside the page's own article; inside
 ``main`` element they stay, because copies of an article would otherwise delete each other.
 What one pair cannot show is decided by the markup: elements that by name or class hold
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments
-never give text, and if a page has an article, only that gives text.
+never give text, and if a page has an article, only that gives text.  A class counts by its full
+name, and never for an element that is or contains the page's body, ``main`` or ``article``.
 
 Null html is empty: empty text.  A null or odd URL has an empty host and path and is paired among
 its like.  A page whose neighbours are copies of itself, or that has none, loses no line.  Repeated
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from sigloom.llm.common import by_batch, saved, shuffle_partitions
 
-# HTML element names by their meaning, and class words of page furniture.
+# HTML element names by their meaning, and class names of page furniture.
 RAW = {"script", "style", "template", "noscript", "textarea", "iframe", "svg", "title", "xmp"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set(
@@ -38,9 +39,22 @@ FURNITURE_CLASSES = set(
     "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent "
     "cookie cookies disclaimer footer menu modal nav navbar navigation newsletter notice popup "
     "promo promoted related share sharing sidebar social sponsor sponsored subscribe toolbar "
-    "widget".split()
+    "widget "
+    "ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper adsbygoogle banner-ad "
+    "breadcrumb-nav comment-form comment-list comment-section comments-area comments-list "
+    "comments-section consent-banner cookie-banner cookie-bar cookie-consent cookie-notice "
+    "cookie-popup dropdown-menu footer-links footer-menu footer-nav footer-widgets global-footer "
+    "global-nav left-sidebar main-menu main-nav main-navigation menu-bar mobile-menu mobile-nav "
+    "nav-bar nav-links nav-menu navbar-nav newsletter-form newsletter-signup page-footer "
+    "popup-overlay primary-menu primary-nav related-articles related-links related-posts "
+    "right-sidebar share-bar share-buttons share-links sidebar-left sidebar-right site-footer "
+    "site-nav site-navigation social-icons social-links social-media social-share "
+    "sponsored-content sub-menu top-nav widget-area".split()
 )
+HEADER_CLASSES = set("header global-header page-header site-header".split())
 CONTENT = {"article", "main"}
+#: Elements that are never furniture by class, nor is any element around them.
+WHOLE = {"html", "body", *CONTENT}
 
 #: Neighbours sharing at least this part of a page's lines are taken for copies of it.
 COPY_SHARE = 0.9
@@ -50,26 +64,57 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>",
     re.S,
 )
-_CLASS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 _URL = re.compile(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)")
 
 
+class Element:
+    """An open element; ``marked`` are the elements around it, or itself, that a class makes furniture."""
+
+    __slots__ = ("name", "content", "furniture", "marked", "cleared")
+
+    def __init__(self, name: str, content: bool, furniture: bool, marked: tuple[Element, ...]):
+        self.name, self.content, self.furniture, self.marked = name, content, furniture, marked
+        self.cleared = False
+
+
 class Line:
-    __slots__ = ("text", "tag", "content", "furniture")
+    __slots__ = ("text", "owner")
+
+    def __init__(self, text: str, owner: Element):
+        self.text, self.owner = text, owner
 
-    def __init__(self, text: str, tag: str, content: bool, furniture: bool):
-        self.text, self.tag, self.content, self.furniture = text, tag, content, furniture
+    @property
+    def tag(self) -> str:
+        return self.owner.name
+
+    @property
+    def content(self) -> bool:
+        return self.owner.content
+
+    @property
+    def furniture(self) -> bool:
+        return self.owner.furniture or any(not x.cleared for x in self.owner.marked)
 
     def digest(self) -> int:
         return xxhash.xxh3_64_intdigest(f"{self.tag}\n{self.text}") - (1 << 63)
 
 
+def class_names(attributes: str) -> set[str]:
+    """The whole names in the attributes class, id and role."""
+    found: set[str] = set()
+    if "=" in attributes:
+        for name, *values in _ATTRIBUTE.findall(attributes):
+            if name.lower() in ("class", "id", "role"):
+                found.update("".join(values).lower().split())
+    return found
+
+
 def lines(html: str) -> list[Line]:
     """The blocks of a page that have text, in page order."""
     out: list[Line] = []
-    # Open elements: name, and whether they are inside an article or page furniture.
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]
+    stack = [Element("", False, False, ())]
     parts: list[str] = []
     at, n = 0, len(html)
 
@@ -78,8 +123,7 @@ def lines(html: str) -> list[Line]:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                tag, content, furniture = stack[-1]
-                out.append(Line(text, tag, content, furniture))
+                out.append(Line(text, stack[-1]))
 
     while at < n:
         m = _TAG.search(html, at)
@@ -92,13 +136,12 @@ def lines(html: str) -> list[Line]:
             continue
         name = m.group(2).lower()
         if m.group(1):
-            if name in INLINE:
-                continue
-            if name in (x[0] for x in stack):
+            # Inline elements are open only as furniture, or inside such of their name.
+            if name in (x.name for x in stack):
                 close()
-                while stack.pop()[0] != name:
+                while stack.pop().name != name:
                     pass
-            elif name not in VOID:
+            elif name not in VOID and name not in INLINE:
                 close()
             continue
         if name in RAW:
@@ -109,20 +152,30 @@ def lines(html: str) -> list[Line]:
         if name == "br":
             parts.append(" ")
             continue
-        marks = _CLASS.findall(m.group(3)) if "=" in m.group(3) else ()
-        words = {w for x in marks for w in re.split(r"[^a-z]+", "".join(x).lower())}
-        furniture = name in FURNITURE or bool(words & FURNITURE_CLASSES)
-        if name in INLINE and not furniture:
+        names = class_names(m.group(3)) if name not in WHOLE else ()
+        by_class = not FURNITURE_CLASSES.isdisjoint(names)
+        furniture = name in FURNITURE
+        if name in INLINE and not by_class and all(x.name != name for x in stack):
             continue
         if name == "hr" or name not in VOID:
             close()
         if name in VOID:
             continue
-        if stack[-1][0] == "p" or stack[-1][0] == name and name in ("li", "dt", "dd", "tr", "td"):
+        top = stack[-1].name
+        if top == "p" and name not in INLINE or top == name and name in ("li", "dt", "dd", "tr", "td"):
             stack.pop()
-        _, content, inside = stack[-1]
-        furniture = furniture or (name == "header" or "header" in words) and not content
-        stack.append((name, content or name in CONTENT, inside or furniture))
+        around = stack[-1]
+        if name in WHOLE:
+            for x in around.marked:
+                x.cleared = True
+        furniture = furniture or name == "header" and not around.content
+        by_class = by_class or not around.content and not HEADER_CLASSES.isdisjoint(names)
+        opened = Element(
+            name, around.content or name in CONTENT, around.furniture or furniture, around.marked
+        )
+        if by_class:
+            opened.marked += (opened,)
+        stack.append(opened)
         if m.group(3).endswith("/"):
             stack.pop()
     close()

@@ -336,6 +336,29 @@ def test_pages_differ_from_their_neighbours(spark):
     ).count() == 0
 
 
+def test_classes_of_furniture_count_by_full_name():
+    def text(body):
+        return pages.main_text(body, []).split("\n\n")
+
+    for body in (
+        '<body class="has-sidebar"><p>Own</p></body>',
+        '<main class="with-sidebar"><p>Own</p></main>',
+        '<article class="post no-comments"><p>Own</p></article>',
+        '<div class="social-studies"><p>Own</p></div>',
+        '<article data-id="ad-42" data-class="ad"><p>Own</p></article>',
+        '<article class="ad"><p>Own</p></article>',
+        '<body id="menu"><div class="widget"><div>Own</div></div><main>Own</main></body>',
+        '<div class="sidebar layout"><article><p>Own</p></article></div>',
+        '<div title="a class=ad"><p>Own</p></div>',
+        '<div class="post ad"><p>Gone</p></div><div ID=menu>Gone</div><p>Own</p>',
+        '<article><div class="share">Gone</div><p>Own</p></article>',
+    ):
+        assert text(body) == ["Own"], body
+    assert text('<p>Before <span class="share">a <span>b</span> c</span> after</p><p>Own</p>') == [
+        "Before", "after", "Own",
+    ]
+
+
 def test_fingerprints(spark, docs):
     unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     rows = sorted(((r["doc_id"], r["text"] or "") for r in unique.collect()), reverse=True)
