@@ -1,26 +1,31 @@
 """Main text of web pages, by differencing with the page of the nearest URL.
 
 A page becomes lines, one per block of its markup.  Pages of one host are put in the order of their
-paths; each is paired with the neighbour whose path shares most with its own, and the two
-sequences of lines are aligned by a longest common subsequence.  Lines that both have belong to the
-site and are deleted, wherever they stand outside the page's own article; inside an ``article`` or
-``main`` element they stay, because copies of an article would otherwise delete each other.
+paths, and those in a row that have the same lines count as one; each is paired with the neighbour of
+other lines whose path shares most with its own, and the two sequences of lines are aligned by
+a longest common subsequence.  Lines that both have belong to the site and are deleted, wherever they
+stand outside the page's own article; inside an ``article`` or ``main`` element they stay, because
+copies of an article would otherwise delete each other.
 What one pair cannot show is decided by the markup: elements that by name or class hold
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments
-never give text, and if a page has an article, only that gives text.  A class counts by its full
-name, and never for an element that is or contains the page's body, ``main`` or ``article``.
+never give text and take no part in the alignment, and if a page has an article, only that gives
+text.  A class counts by its full name, and never for an element that is or contains the page's body,
+``main`` or ``article``.
 
 Null html is empty: empty text.  A null or odd URL has an empty host and path and is paired among
-its like.  A page whose neighbours are copies of itself, or that has none, loses no line.  Repeated
-rows keep one result each.
+its like.  A page that has no neighbour of other lines, or only such as share nearly all its lines,
+loses no line.  Repeated rows keep one result each.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left
+from collections.abc import Iterator
 from html import unescape
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -237,77 +242,145 @@ def nearness(path: str, other: str) -> tuple[int, int]:
 
 def _listed(batch) -> dict[str, list]:
     places = [location(u) for u in batch.column("url").to_pylist()]
+    found = [lines(h or "") for h in batch.column("html").to_pylist()]
     return {
         "key": batch.column("key"),
         "version": batch.column("version"),
         "host": [p[0] for p in places],
         "path": [p[1] for p in places],
-        "lines": [[x.digest() for x in lines(h or "")] for h in batch.column("html").to_pylist()],
+        "lines": [[x.digest() for x in page if not x.furniture] for page in found],
     }
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Ordered pages with ``content``, a digest of their lines, and the number of their run of equals."""
+    last, run = None, -1
+    for batch in batches:
+        contents, runs = [], []
+        for host, found in zip(batch.column("host").to_pylist(), batch.column("lines").to_pylist()):
+            content = xxhash.xxh3_128_hexdigest(array("q", found).tobytes())
+            if (host, content) != last:
+                last, run = (host, content), run + 1
+            contents.append(content)
+            runs.append(run)
+        yield batch.append_column("content", pa.array(contents, pa.string())).append_column(
+            "run", pa.array(runs, pa.int64())
+        )
+
+
+def _aligned(batch) -> dict[str, list]:
+    """For a run of equal pages the lines shared with the one before and the one after.
+
+    Null where there is none on the host, or where it shares so much that it is a copy.
+    """
+    out = {"pos": batch.column("pos")}
+    for side in ("before", "after"):
+        out[f"{side}_path"], out[f"{side}_shared"] = [], []
+    for row in batch.to_pylist():
+        for side in ("before", "after"):
+            other, found = row[side], None
+            if other is not None and other["host"] == row["host"]:
+                found = common_subsequence(row["lines"], other["lines"])
+                if len(found) >= COPY_SHARE * len(row["lines"]):
+                    found = None
+            out[f"{side}_path"].append(other["path"] if found is not None else None)
+            out[f"{side}_shared"].append(found)
+    return out
+
+
 def _shared(batch) -> dict[str, list]:
     out = {"key": batch.column("key"), "version": batch.column("version"), "shared": []}
     for row in batch.to_pylist():
         near = [
-            (nearness(row["path"], other["path"]), -k, other["lines"])
-            for k, other in enumerate((row["before"], row["after"]))
-            if other is not None and other["host"] == row["host"]
+            (nearness(row["path"], row[f"{side}_path"]), -k, row[f"{side}_shared"])
+            for k, side in enumerate(("before", "after"))
+            if row[f"{side}_shared"] is not None
         ]
-        found: list[int] = []
-        for _, _, other in sorted(near, key=lambda x: x[:2], reverse=True):
-            found = common_subsequence(row["lines"], other)
-            if len(found) < COPY_SHARE * len(row["lines"]):
-                break
-            found = []
-        out["shared"].append(found)
+        out["shared"].append(max(near, key=lambda x: x[:2])[2] if near else [])
     return out
 
 
 def shared_lines(keyed: DataFrame) -> DataFrame:
-    """(key, version, shared): of each page the lines its nearest neighbour has as well.
+    """(key, version, shared): which of a page's lines its nearest neighbour of other lines has too.
 
-    Only digests of lines are sorted and moved.  Pages are ordered by range partitions, numbered
-    through with one count per partition, and joined with the numbers before and after.
+    Furniture lines are not counted.  Only digests of lines are sorted and moved.  Pages are ordered
+    by range partitions; runs of equal pages are numbered through with one row per partition, aligned
+    with the runs before and after, and what was found goes back to the pages by run and
+    partition, so that a long run is not brought together.
     """
     spark = keyed.sparkSession
     order = ["host", "path", "key", "version"]
     listed = by_batch(
         keyed, "key long, version long, host string, path string, lines array<long>", _listed
-    )
+    ).where(F.size("lines") > 0)
     ranged = saved(
         listed.dropDuplicates(["key", "version"])
+        .select(*order, "lines")
         .repartitionByRange(shuffle_partitions(spark), *order)
         .sortWithinPartitions(*order)
-        .withColumn("at", F.monotonically_increasing_id()),
+        .mapInArrow(
+            _numbered,
+            "host string, path string, key long, version long, lines array<long>, content string, "
+            "run long",
+        )
+        .withColumn("part", F.spark_partition_id()),
         "pages",
     )
-    part = F.shiftright("at", 33)
-    sizes = ranged.groupBy(part.alias("part")).count().orderBy("part").collect()
-    offsets, total = [(-1, 0)], 0
-    for row in sizes:  # one row per partition
-        offsets.append((row["part"], total))
-        total += row["count"]
-    starts = spark.createDataFrame(offsets, "part long, first long")
-    placed = saved(
-        ranged.withColumn("part", part)
-        .join(starts, "part")
-        .withColumn("pos", F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
-        .select("pos", *order, "lines"),
-        "placed",
+    page = F.struct("host", "content")
+    ends = (
+        ranged.groupBy("part")
+        .agg(
+            F.max("run").alias("last"),
+            F.min_by(page, "run").alias("head"),
+            F.max_by(page, "run").alias("tail"),
+        )
+        .orderBy("part")
+        .collect()
+    )
+    offsets, total, tail = [(-1, 0)], 0, None
+    for row in ends:  # one row per partition
+        first = total - (row["head"] == tail)  # a run may go on in the next partition
+        offsets.append((row["part"], first))
+        total, tail = first + row["last"] + 1, row["tail"]
+    starts = spark.createDataFrame(offsets, "part int, first long")
+    placed = ranged.join(starts, "part").withColumn("pos", F.col("first") + F.col("run"))
+    runs = saved(
+        placed.groupBy("pos").agg(
+            F.first("host").alias("host"),
+            F.min("path").alias("first_path"),
+            F.max("path").alias("last_path"),
+            F.first("lines").alias("lines"),
+        ),
+        "runs",
+    )
+    before = runs.select(
+        (F.col("pos") + 1).alias("pos"),
+        F.struct("host", F.col("last_path").alias("path"), "lines").alias("before"),
     )
-    neighbour = F.struct("host", "path", "lines")
-    before = placed.select((F.col("pos") + 1).alias("pos"), neighbour.alias("before"))
-    after = placed.select((F.col("pos") - 1).alias("pos"), neighbour.alias("after"))
+    after = runs.select(
+        (F.col("pos") - 1).alias("pos"),
+        F.struct("host", F.col("first_path").alias("path"), "lines").alias("after"),
+    )
+    aligned = by_batch(
+        runs.select("pos", "host", "lines").join(before, "pos", "left").join(after, "pos", "left"),
+        "pos long, before_path string, before_shared array<int>, after_path string, "
+        "after_shared array<int>",
+        _aligned,
+    )
+    held = placed.select("pos", "part").distinct().join(aligned, "pos")
     return by_batch(
-        placed.join(before, "pos", "left").join(after, "pos", "left").drop("pos"),
+        placed.select("pos", "part", "path", "key", "version").join(held, ["pos", "part"]),
         "key long, version long, shared array<int>",
         _shared,
     )
 
 
 def main_text(html: str, shared: list[int]) -> str:
-    found, gone = lines(html), set(shared)
+    """The text without the lines whose positions are ``shared``."""
+    return _main_text(lines(html), set(shared))
+
+
+def _main_text(found: list[Line], gone: set[int]) -> str:
     own = [x for k, x in enumerate(found) if not x.furniture and (x.content or k not in gone)]
     if any(x.content for x in own):
         own = [x for x in own if x.content]
@@ -318,7 +391,9 @@ def _extracted(batch) -> dict[str, list]:
     out = {"page_id": batch.column("page_id"), "url": batch.column("url"), "text": []}
     marks = batch.column("shared").to_pylist()
     for html, shared in zip(batch.column("html").to_pylist(), marks):
-        out["text"].append(main_text(html or "", shared or []))
+        found = lines(html or "")
+        plain = [k for k, x in enumerate(found) if not x.furniture]
+        out["text"].append(_main_text(found, {plain[k] for k in shared or []}))
     return out | {"n_chars": [len(t) for t in out["text"]]}
 
 

@@ -359,6 +359,35 @@ def test_classes_of_furniture_count_by_full_name():
     ]
 
 
+@pytest.mark.parametrize("partitions", ["1", "4", "9"])
+def test_copies_and_menus_do_not_hide_the_site(spark, partitions):
+    read_table(spark, SMALL, "documents")
+    menu = "<nav>" + "".join(f"<li>Link {k}</li>" for k in range(60)) + "</nav>"
+
+    def html(name):
+        return f"{menu}<body><div>Site line</div>" + "".join(f"<p>Own {k} of {name}</p>" for k in range(5))
+
+    rows = [(k, f"http://h.example.com/a/{k:02}", html("copy")) for k in range(12)]
+    rows += [(20 + k, f"http://h.example.com/b/{k}", html(f"page {k}")) for k in range(3)]
+    rows += [(30, "http://h.example.com/b/00", "<nav>no text</nav>")]
+    rows += [(40 + k, f"http://only.example.com/{k}", html("copy")) for k in range(3)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = pages.extracted(
+            spark.createDataFrame(rows, "page_id long, url string, html string")
+        ).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    text = {r["page_id"]: r["text"].split("\n\n") for r in got}
+    own = {name: [f"Own {k} of {name}" for k in range(5)] for name in ("copy", *(f"page {k}" for k in range(3)))}
+    assert len(got) == len(rows) and text[30] == [""]
+    assert all(text[k] == own["copy"] for k in range(12))
+    assert all(text[20 + k] == own[f"page {k}"] for k in range(3))
+    # Nothing but copies on a host: no line can be told to be the site's.
+    assert all(text[40 + k] == ["Site line", *own["copy"]] for k in range(3))
+
+
 def test_fingerprints(spark, docs):
     unique = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
     rows = sorted(((r["doc_id"], r["text"] or "") for r in unique.collect()), reverse=True)
