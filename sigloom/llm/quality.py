@@ -3,11 +3,14 @@
 A document's histogram over character classes and its histogram over the common words of a
 language are compared with references of that language by Jensen-Shannon distance (square root of
 the divergence in bits, 0 to 1).  Everything is DataFrame expressions: a document is measured
-within its own row, so the only exchange is the one of the references, one row per language.
+within its own row, so the only exchanges are those of the references, one row per language, and of
+word counts of languages that have no list in ``COMMON_WORDS``: their common words are the
+commonest of their own documents.
 
 Null text counts as empty: no words, ``base_failed``.  Rows are judged one by one, so repeated
-rows and null ids keep one result each.  Extra input columns are ignored by ``quality``.  Without
-any labelled text there is no reference, and only the base rules decide.
+rows and null ids keep one result each.  Extra input columns are ignored by ``quality``.  A document
+whose label has no reference, as when no document of that label passes the base rules, is
+judged by the base rules only; one without a label is compared with all references.
 """
 
 from __future__ import annotations
@@ -16,10 +19,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sigloom.llm.common import saved
 
-# The commonest function words of each reference language, as in public word lists.
+# The commonest function words of four languages, as in public word lists.
 COMMON_WORDS = {
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch".split(),
     "en": "the of and to in a is that for it as was with be by on this are from at or".split(),
@@ -36,9 +40,10 @@ MIN_CHARS_FOR_CLASSES = 200
 MIN_WORDS_FOR_COMMON = 80
 MAX_CLASS_DISTANCE = 0.22
 MAX_WORD_DISTANCE = 0.33
+#: Common words of a language without a list, as many as the lists have.
+LEARNED_WORDS = 25
 
 GAP = r"[\x20\x09-\x0D]+"
-ALL_COMMON = sorted({w for words in COMMON_WORDS.values() for w in words})
 
 
 def _distinct_windows(words: Column) -> Column:
@@ -49,8 +54,12 @@ def _distinct_windows(words: Column) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(*(words[i + k] for k in range(WINDOW))))
 
 
-def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, n_chars, the base counts, character classes, and counts of common words."""
+def measures(docs: DataFrame, common: dict[str, list[str]] = COMMON_WORDS) -> DataFrame:
+    """doc_id, lang, n_chars, the base counts, character classes, and counts of common words.
+
+    ``common`` has the common words of each language.
+    """
+    counted = all_words(common)
     text = F.coalesce(F.col("text"), F.lit(""))
     trimmed = F.btrim(text, F.lit(" \t\n\x0b\f\r"))
     no_words = F.array().cast("array<string>")
@@ -75,7 +84,7 @@ def measures(docs: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
         _distinct_windows(F.col("words")).alias("windows"),
         F.size("spelled").alias("n_spelled"),
-        F.filter("spelled", lambda w: w.isin(ALL_COMMON)).alias("common"),
+        F.filter("spelled", lambda w: w.isin(counted)).alias("common"),
         "rest",
         F.regexp_replace("rest", r"\p{Lu}+", "").alias("no_upper"),
     )
@@ -131,37 +140,74 @@ def measures(docs: DataFrame) -> DataFrame:
         F.array(
             *(
                 (F.size("common") - F.size(F.array_remove("common", w))).cast("long")
-                for w in ALL_COMMON
+                for w in counted
             )
         ).alias("common"),
     )
 
 
+def all_words(common: dict[str, list[str]]) -> list[str]:
+    return sorted({w for words in common.values() for w in words})
+
+
+def common_words(docs: DataFrame) -> dict[str, list[str]]:
+    """The lists, and for each other label the commonest words of its documents.
+
+    Only documents that pass the base rules count.  The rows of one label that reach the driver are
+    as many as its common words.
+    """
+    other = docs.where(F.col("lang").isNotNull() & ~F.col("lang").isin(list(COMMON_WORDS)))
+    if other.isEmpty():
+        return COMMON_WORDS
+    measured = measures(other.select(F.col("text").alias("doc_id"), "text", "lang"))
+    counts = (
+        saved(measured.select("doc_id", "lang", "n_words", "n_repeat_words"), "labelled")
+        .where(~base_failed())
+        .select("lang", F.explode(F.split(F.lower("doc_id"), r"[^\p{L}]+")).alias("word"))
+        .where(F.col("word") != "")
+        .groupBy("lang", "word")
+        .count()
+    )
+    commonest = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
+    found = (
+        counts.withColumn("n", F.row_number().over(commonest))
+        .where(F.col("n") <= LEARNED_WORDS)
+        .collect()
+    )
+    out = dict(COMMON_WORDS)
+    for row in sorted(found, key=lambda r: (r["lang"], r["n"])):
+        out.setdefault(row["lang"], []).append(row["word"])
+    return out
+
+
 def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
     )
 
 
-def references(measured: DataFrame) -> dict[str, tuple[list[int], list[int]]]:
-    """For each reference language its class counts and its common-word counts with the rest.
+def references(
+    measured: DataFrame, common: dict[str, list[str]] = COMMON_WORDS
+) -> dict[str, tuple[list[int], list[int]]]:
+    """For each language of ``common`` its class counts and its common-word counts with the rest.
 
-    Summed over all labelled documents that pass the base rules.  One row per language of
-    ``COMMON_WORDS`` reaches the driver, whatever the size of the corpus.
+    Summed over all labelled documents that pass the base rules.  One row per language reaches the
+    driver, whatever the size of the corpus.
     """
+    counted = all_words(common)
     sums = (
-        measured.where(F.col("lang").isin(list(COMMON_WORDS)) & ~base_failed())
+        measured.where(F.col("lang").isin(list(common)) & ~base_failed())
         .groupBy("lang")
         .agg(
             *(F.sum(c).alias(c) for c in CLASSES),
             F.sum("n_spelled").alias("n_spelled"),
-            *(F.sum(F.col("common")[i]).alias(f"w{i}") for i in range(len(ALL_COMMON))),
+            *(F.sum(F.col("common")[i]).alias(f"w{i}") for i in range(len(counted))),
         )
         .collect()
     )
     out = {}
     for row in sorted(sums, key=lambda r: r["lang"]):
-        words = [row[f"w{ALL_COMMON.index(w)}"] for w in COMMON_WORDS[row["lang"]]]
+        words = [row[f"w{counted.index(w)}"] for w in common[row["lang"]]]
         if row["n_spelled"]:
             out[row["lang"]] = [row[c] for c in CLASSES], [*words, row["n_spelled"] - sum(words)]
     return out
@@ -188,26 +234,32 @@ def _nearest(distances: list[Column]) -> Column:
     return F.least(*distances) if len(distances) > 1 else distances[0]
 
 
-def judged(measured: DataFrame, refs: dict[str, tuple[list[int], list[int]]]) -> DataFrame:
+def judged(
+    measured: DataFrame,
+    refs: dict[str, tuple[list[int], list[int]]],
+    common: dict[str, list[str]] = COMMON_WORDS,
+) -> DataFrame:
     """The measures with both distances and the verdict; a distance under its guard is null.
 
     A document is compared with all languages and belongs to the nearest, so a wrong or missing
-    label does not reject it.
+    label does not reject it.  Under a label without reference both distances are null.
     """
+    counted = all_words(common)
     classes = words = F.lit(None).cast("double")
     if refs:
         spelled = F.col("n_spelled")
-        long_enough = F.col("n_chars") >= MIN_CHARS_FOR_CLASSES
+        known = F.col("lang").isNull() | F.col("lang").isin(list(refs))
+        long_enough = known & (F.col("n_chars") >= MIN_CHARS_FOR_CLASSES)
         classes = F.when(
             long_enough,
             _nearest([js_distance(F.array(*CLASSES), r[0]) for r in refs.values()]),
         )
         by_language = []
         for lang, (_, reference) in refs.items():
-            counts = [F.col("common")[ALL_COMMON.index(w)] for w in COMMON_WORDS[lang]]
+            counts = [F.col("common")[counted.index(w)] for w in common[lang]]
             rest = spelled - reduce(lambda a, b: a + b, counts)
             by_language.append(js_distance(F.array(*counts, rest), reference))
-        words = F.when(spelled >= MIN_WORDS_FOR_COMMON, _nearest(by_language))
+        words = F.when(known & (spelled >= MIN_WORDS_FOR_COMMON), _nearest(by_language))
     divergent = F.coalesce(F.col("class_distance") > MAX_CLASS_DISTANCE, F.lit(False)) | F.coalesce(
         F.col("word_distance") > MAX_WORD_DISTANCE, F.lit(False)
     )
@@ -221,8 +273,9 @@ def judged(measured: DataFrame, refs: dict[str, tuple[list[int], list[int]]]) ->
 
 def quality(docs: DataFrame) -> DataFrame:
     """One row per document: base counts, ``base_failed``, ``kept`` and the two distances."""
-    measured = saved(measures(docs.select("doc_id", "text", "lang")), "quality")
-    return judged(measured, references(measured)).select(
+    common = common_words(docs)
+    measured = saved(measures(docs.select("doc_id", "text", "lang"), common), "quality")
+    return judged(measured, references(measured, common), common).select(
         "doc_id",
         "n_words",
         "word_chars",
@@ -257,5 +310,7 @@ def judged_by_row(docs: DataFrame) -> DataFrame:
         "text",
         "lang",
     )
-    measured = saved(measures(keyed), "quality")
-    return judged(measured, references(measured)).select("doc_id.key", "doc_id.version", "kept")
+    common = common_words(docs)
+    measured = saved(measures(keyed, common), "quality")
+    verdicts = judged(measured, references(measured, common), common)
+    return verdicts.select("doc_id.key", "doc_id.version", "kept")

@@ -26,7 +26,7 @@ from sigloom.llm import (
     secrets,
     substrings,
 )
-from sigloom.llm.common import read_table
+from sigloom.llm.common import read_table, saved
 from sigloom.llm.windows import Words, leftmost_minimum
 
 SMALL = "/root/testdata/sf0.001"
@@ -93,6 +93,33 @@ def test_quality_counts(docs):
     assert not got[1]["kept"]
 
 
+def test_quality_keeps_clean_text_of_any_labelled_language(spark):
+    real = read_table(spark, SMALL, "documents").select("doc_id", "text", "lang")
+    rng = random.Random(6)
+
+    def text(common, letters):
+        rare = ["".join(rng.choice(letters) for _ in range(rng.randint(4, 9))) for _ in range(200)]
+        return " ".join(rng.choice(common if rng.random() < 0.3 else rare) for _ in range(300)) + "."
+
+    russian = "и в не на я что он с как это по но из у за".split(), "абвгдеклмнопрст"
+    georgian = "და არ ეს რომ ის მე რა".split(), "აბგდევზთიკლმნოპრსტ"
+    rows = [(10_000 + k, text(*russian), "ru") for k in range(4)]
+    rows += [(10_010 + k, text(*georgian), "ka") for k in range(4)]
+    rows += [(10_020, text(*russian), "en"), (10_021, "%$# 17 " * 60 + text(["#"], "0123456789"), "ru")]
+    rows += [(10_022, "коротко", "bg"), (10_023, text(*russian), None)]
+    got = quality.quality(real.union(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    kept = {r["doc_id"]: r["kept"] for r in got.collect()}
+    assert all(kept[k] for k in (*range(10_000, 10_004), *range(10_010, 10_014), 10_020, 10_023))
+    assert not kept[10_021] and not kept[10_022]
+    before = {r["doc_id"]: r["kept"] for r in quality.quality(real).collect()}
+    assert {k: v for k, v in kept.items() if k < 10_000} == before
+    # A label whose only document fails the base rules has no reference: no distance, no verdict.
+    alone = spark.createDataFrame([(1, text(*russian), "xx")], "doc_id long, text string, lang string")
+    refs = quality.references(saved(quality.measures(real), "real"))
+    judged = quality.judged(saved(quality.measures(alone), "alone"), refs).first()
+    assert judged["kept"] and judged["class_distance"] is judged["word_distance"] is None
+
+
 def copies_by_brute_force(rows):
     sets, parent = {}, {}
     for i, t in rows:
