@@ -4,7 +4,9 @@ The graph of a document has one node per candidate word (with a digit or ``@``;
 can only be plain text and separates chains).  Neighbouring candidates are linked, and so is each
 candidate with the previous one of the same digits or the same letters, however distant.  Loopy
 message passing over both kinds of links gives each node's probability of every label; words in
-spans of the patterns are observed.  Spans above ``MIN_PROBABILITY`` that no pattern found are
+spans of the patterns are observed.  An observed word is also linked directly with every later or
+earlier word like it up to the next observed one, so its evidence is one link away at any distance.
+Messages pass until they settle.  Spans above ``MIN_PROBABILITY`` that no pattern found are
 added; found ones stay.
 
 The weights are fitted by pseudo-likelihood on at most ``SAMPLE_DOCS`` documents that hold
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,7 +35,10 @@ SAMPLE_DOCS = 600
 #: Words of a sample document the fit looks at, so that one long document is a bounded share.
 SAMPLE_NODES = 500
 MIN_PROBABILITY = 0.97
-ROUNDS = 10
+#: Messages have settled when none changes by more than this.  The rounds are bounded, as loops need not
+#: settle, by so many and twice the links of the longest run of equal tokens.
+TOLERANCE = 1e-3
+ROUNDS = 100
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -95,7 +101,9 @@ class Graph:
         self.observed: list[int] = []
         self.chain: list[tuple[int, int]] = []
         self.skip: list[tuple[int, int]] = []
-        last: dict[str, int] = {}
+        #: From a word to the nearest observed words like it, where ``skip`` does not link them.
+        self.far: list[tuple[int, int]] = []
+        groups: dict[str, list[int]] = {}
         before, first = "", 0
         for number, m in enumerate(WORD.finditer(text)):
             word = m.group()
@@ -117,10 +125,21 @@ class Graph:
                 self.chain.append((node - 1, node))
             digits = _NO_DIGIT.sub("", core)
             key = digits if len(digits) >= 4 and "@" not in core else core.lower()
-            if key in last:
-                self.skip.append((last[key], node))
-            last[key] = node
+            group = groups.setdefault(key, [])
+            if group:
+                self.skip.append((group[-1], node))
+            group.append(node)
             before = word
+        self.longest = max(map(len, groups.values()), default=0)
+        for group in groups.values():
+            seen = [k for k, node in enumerate(group) if self.observed[node] >= 0]
+            for k, node in enumerate(group if seen else ()):
+                if self.observed[node] < 0:
+                    at = bisect_left(seen, k)
+                    if at and seen[at - 1] < k - 1:
+                        self.far.append((group[seen[at - 1]], node))
+                    if at < len(seen) and seen[at] > k + 1:
+                        self.far.append((node, group[seen[at]]))
 
 
 def features(word: str, core: str, before: str) -> list[str]:
@@ -165,8 +184,8 @@ class Model:
         local[seen, observed[seen]] = 0.0
         ends, tables, base = [], [], 0
         for g in graphs:
-            ends += [(base + i, base + j) for i, j in g.chain + g.skip]
-            tables += [0] * len(g.chain) + [1] * len(g.skip)
+            ends += [(base + i, base + j) for i, j in g.chain + g.skip + g.far]
+            tables += [0] * len(g.chain) + [1] * (len(g.skip) + len(g.far))
             base += len(g.nodes)
         if ends:
             pair = np.array(ends)
@@ -176,13 +195,16 @@ class Model:
             table = np.concatenate([table, table.transpose(0, 2, 1)])
             back = np.roll(np.arange(len(source)), len(pair))
             messages = np.zeros((len(source), len(LABELS)))
-            for _ in range(ROUNDS):
+            for _ in range(ROUNDS + 2 * max(g.longest for g in graphs)):
                 total = local.copy()
                 np.add.at(total, target, messages)
                 x = (total[source] - messages[back])[:, :, None] + table
                 top = x.max(axis=1, keepdims=True)
                 new = np.log(np.exp(x - top).sum(axis=1)) + top[:, 0]
-                messages = 0.5 * messages + 0.5 * (new - new.max(axis=1, keepdims=True))
+                change = new - new.max(axis=1, keepdims=True) - messages
+                messages += 0.5 * change
+                if np.abs(change).max() < TOLERANCE:
+                    break
             np.add.at(local, target, messages)
         p = np.exp(local - local.max(axis=1, keepdims=True))
         return p / p.sum(axis=1, keepdims=True)

@@ -276,6 +276,25 @@ def test_pii_model_adds_repeated_phone(spark):
     assert pii.all_spans(["nothing here but 7 words"], model)[0] == ([], [])
 
 
+def test_pii_evidence_reaches_every_repeat(spark):
+    model = pii.trained(read_table(spark, "/root/testdata/sf0.01", "documents"))
+    number, repeat = "+1 (988) 555-2485", "(988) 555-2485"
+    for text in (
+        f"Call {number} now" + f" or later to {repeat} again" * 30,
+        f"Call {repeat} now" + f" or later to {repeat} again" * 29 + f" that is {number}",
+        f"Call {number} now" + " or later to 555-2485 again" * 30,
+    ):
+        spans = pii.all_spans([text], model)[0][1]
+        for m in re.finditer("555-2485", text):
+            assert any(s <= m.start() and m.end() <= e and k == 3 for s, k, e in spans), m
+    # The observed word is one link from each word like it, on either side.
+    graph = pii.Graph(text, pii.base_spans(text))
+    near = {frozenset(x) for x in graph.skip + graph.far}
+    seen = [k for k, o in enumerate(graph.observed) if o >= 0 and "555" in text[slice(*graph.nodes[k][:2])]]
+    rest = [k for k, o in enumerate(graph.observed) if o < 0]
+    assert len(rest) == 30 and all(frozenset((seen[0], k)) in near for k in rest)
+
+
 def repeated_by_brute_force(rows):
     seen, out = {}, {}
     for k, t in sorted(rows):
