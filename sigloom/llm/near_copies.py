@@ -13,7 +13,8 @@ proved similar is merged, and only members of different components meet again, a
 them that have a size at which they could still be similar.  Every comparison is exact, on the texts.  A class is a component.
 
 Null text, or one without words, is a class of its own.  A text of fewer than five words is one
-shingle.  Rows of one id count as one document; a null id is replaced by a hash of the text.
+shingle.  Rows of one id and text count as one document, rows of one id and different texts as several;
+null ids come after all others, in the order of a hash of the text, which names a class of nulls only.
 """
 
 from __future__ import annotations
@@ -209,7 +210,7 @@ def _similar(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
     left = candidates.select(F.col("key").alias("a"), F.col("text").alias("text_a"))
     right = candidates.select(F.col("key").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    found = by_batch(joined, "a long, b long, similar boolean", _compared)
+    found = by_batch(joined, "a binary, b binary, similar boolean", _compared)
     return saved(found.where("similar").select("a", "b"), "similar")
 
 
@@ -330,15 +331,40 @@ def _across_classes(placed: DataFrame, sketched: DataFrame) -> DataFrame:
     )
 
 
+def _key() -> Column:
+    """Id and hash of the text as bytes in their order, null ids last."""
+
+    def ordered(number: Column) -> Column:
+        return F.lpad(F.hex(number.bitwiseXOR(F.lit(-(2**63)))), 16, "0")
+
+    version = F.xxhash64("text")
+    return F.unhex(
+        F.concat(
+            F.when(F.col("doc_id").isNull(), "01").otherwise("00"),
+            ordered(F.coalesce(F.col("doc_id").cast("long"), version)),
+            ordered(version),
+        )
+    )
+
+
+def _named(key: Column) -> Column:
+    """The id in a key, or the hash in its place."""
+    number = F.conv(F.hex(F.substring(key, 2, 8)), 16, 10).cast("decimal(20,0)")
+    return (number - F.lit(2**63 - 1).cast("decimal(20,0)") - F.lit(1)).cast("long")
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
     """(doc_id, class_id): class_id is the smallest id of the documents in the class."""
-    keyed = docs.select(
-        "doc_id", F.coalesce("doc_id", F.xxhash64("text")).alias("key"), F.col("text").alias("text")
-    )
+    return _classes(docs).select("doc_id", _named(F.col("class_key")).alias("class_id"))
+
+
+def _classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, class_key) per row: class_key is the smallest key of the class."""
+    keyed = docs.select("doc_id", _key().alias("key"), F.col("text").alias("text"))
     sketches = saved(
         by_batch(
             keyed.select("key", "text"),
-            "key long, content string, weight long, bands array<long>, planes array<long>, places array<long>",
+            "key binary, content string, weight long, bands array<long>, planes array<long>, places array<long>",
             _sketched,
         ),
         "sketches",
@@ -423,16 +449,15 @@ def near_classes(docs: DataFrame) -> DataFrame:
         .join(sketches.select("key", "content").dropDuplicates(["key"]), "key", "left")
         .join(nodes, "content", "left")
         .join(node_class, "node", "left")
-        .select("doc_id", F.coalesce("class", "node", "key").alias("class_id"))
+        .select("doc_id", "key", F.coalesce("class", "node", "key").alias("class_key"))
     )
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, all columns kept, without all but the smallest id of each class."""
-    classes = near_classes(docs)
-    kept = classes.where(F.col("doc_id").isNull() | (F.col("doc_id") == F.col("class_id")))
-    ids = kept.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
-    named = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.join(ids, "doc_id", "left_semi").select(docs.columns).unionByName(
-        docs.where(F.col("doc_id").isNull())
-    )
+    """The documents, all columns kept, without all but the smallest id and text of each class."""
+    kept = _classes(docs).where(F.col("key") == F.col("class_key")).select("key").distinct()
+    # Of rows of one key, which have one text, the first by a hash of the columns that have one.
+    hashed = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = docs.select(_key().alias("key"), F.struct("*").alias("row"), F.xxhash64(*hashed).alias("at"))
+    single = rows.groupBy("key").agg(F.min_by("row", "at").alias("row"))
+    return single.join(kept, "key", "left_semi").select("row.*")

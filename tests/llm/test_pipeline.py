@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 import pytest
 
-from sigloom.llm import pii, quality, substrings
+from sigloom.llm import near_copies, pii, quality, substrings
 from sigloom.llm.common import read_table, saved
 from tests.llm.test_text_operators import (
     SMALL,
     awkward,
     copies_by_brute_force,
     packed_by_brute_force,
+    prose,
     repeated_by_brute_force,
     COLUMNS,
 )
@@ -52,5 +55,17 @@ def test_awkward_and_empty_tables(spark, rows):
     packed.count()
 
 
+def test_one_of_each_goes_by_text(spark):
+    read_table(spark, SMALL, "documents")
+    rng = random.Random(8)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(1, a), (1, b), (1, b), (-5, c), (3, c), (None, c), (None, d), (None, d), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted([(1, a), (1, b), (-5, c), (None, d), (None, "")], key=repr)
+    assert sorted(map(tuple, near_copies.one_of_each(docs).collect()), key=repr) == want
+    classes = {(r["doc_id"], r["class_id"]) for r in near_copies.near_classes(docs).collect()}
+    assert {(1, 1), (-5, -5), (3, -5), (None, -5)} <= classes and len(classes) == 6
+
+
 def test_text_without_words():
     assert substrings.without("a  b\nc d", [{"start": 1, "windows": 1 - substrings.WINDOW + 1}]) == "a\nc d"
