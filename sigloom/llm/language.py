@@ -5,9 +5,9 @@ reduced to its letters, cut into blocks of one size and compressed with every di
 language with the fewest bytes over the whole text wins.  The margin over the runner-up gives the
 score; a narrow one makes the answer unreliable (``accepted`` is false) without hiding it.
 
-Dictionaries come from a bounded sample: per language the ``SAMPLE_DOCS`` labelled documents of at
-least ``SAMPLE_MIN_CHARS`` characters that are first by a hash of their text, ``SAMPLE_CHARS``
-characters from each, ``DICTIONARY_BYTES`` in all, for the ``MAX_LANGUAGES`` commonest labels.
+Dictionaries come from a bounded sample: per language the ``SAMPLE_DOCS`` labelled documents that are
+first by a hash of their text, those of at least ``SAMPLE_MIN_CHARS`` characters before shorter ones,
+``SAMPLE_CHARS`` characters from each, ``DICTIONARY_BYTES`` in all.  Every label is learned.
 
 Null text, or one without a letter, is ``und`` with score 0.  Equal sizes go to the commoner
 label.  Repeated rows and null ids keep one result each.  With no labelled text all is ``und``.
@@ -29,7 +29,6 @@ SAMPLE_DOCS = 700
 SAMPLE_MIN_CHARS = 200
 SAMPLE_CHARS = 400
 DICTIONARY_BYTES = 200_000
-MAX_LANGUAGES = 64
 LEVEL = 6
 BLOCK = 2048
 NARROW = 0.02
@@ -44,12 +43,16 @@ def letters(text: str) -> bytes:
 def dictionaries(labelled: DataFrame) -> dict[str, bytes]:
     """For each label its dictionary, commonest label first.  ``labelled`` has text and lang."""
     known = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    shares = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
+    shares = known.groupBy("lang").count().orderBy(F.desc("count"), "lang")
     order = [r["lang"] for r in shares.collect()]
-    first = Window.partitionBy("lang").orderBy("at", "text")
+    first = Window.partitionBy("lang").orderBy("short", "at", "text")
     sample = (
-        known.where(F.col("lang").isin(order) & (F.length("text") >= SAMPLE_MIN_CHARS))
-        .select("lang", F.xxhash64("text").alias("at"), F.left("text", F.lit(SAMPLE_CHARS)).alias("text"))
+        known.select(
+            "lang",
+            (F.length("text") < SAMPLE_MIN_CHARS).alias("short"),
+            F.xxhash64("text").alias("at"),
+            F.left("text", F.lit(SAMPLE_CHARS)).alias("text"),
+        )
         .distinct()
         .withColumn("n", F.row_number().over(first))
         .where(F.col("n") <= SAMPLE_DOCS)

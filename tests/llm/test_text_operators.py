@@ -479,6 +479,19 @@ def test_languages_on_held_out(spark):
     assert sum(r["lang_pred"] == r["lang"] for r in test) / len(test) > 0.97
 
 
+def test_every_label_is_learned(spark):
+    read_table(spark, SMALL, "documents")
+    rng = random.Random(7)
+    rows = []
+    for k in range(70):
+        words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(20)]
+        rows += [(" ".join(rng.choice(words) for _ in range(12)), f"l{k:02}") for _ in range(8)]
+    got = language.dictionaries(spark.createDataFrame(rows, "text string, lang string"))
+    assert len(got) == 70 and all(len(x) > 500 for x in got.values())
+    own = language.Compressors(got)
+    assert all(own.sizes(language.letters(text))[0][1] == lang for text, lang in rows)
+
+
 def test_secrets(spark):
     real = read_table(spark, "/root/testdata/sf0.01", "documents")
     text = {r["doc_id"]: r["text"] for r in real.collect()}
