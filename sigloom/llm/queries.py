@@ -14,9 +14,12 @@ from sigloom.llm import (
     packing,
     pages,
     pii,
+    prefix_trie,
     quality,
     secrets,
+    spellings,
     substrings,
+    toxicity,
 )
 from sigloom.llm.common import read_table
 
@@ -61,6 +64,20 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(read_table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(
+        read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    )
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spellings.variants(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -74,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_bpe,
         op9_pii,
         op10_fingerprints,
+        op11_toxicity,
+        op12_prefix_trie,
+        op13_spellings,
     )
 }
 
