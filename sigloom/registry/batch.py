@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sigloom.config import enabled_exchanges
@@ -72,19 +73,56 @@ def s2(t):
     return filters.recent_window(facts, WINDOW_MINUTES, AS_OF)
 
 
+#: Text a message of the query below may have.
+MESSAGE_BYTES = 20_000
+SENT = ["id", "pair_symbol", "recommended_action", "score_week", "score_month"]
+_SENT_TEXT = ", ".join(f"'{c}': {c}" for c in SENT)
+_MESSAGE_HEAD = (
+    f"'{{\"type\":\"signals\",\"timestamp\":\"' || {iso(NOW)} || '\",\"count\":' || n || "
+    "',\"part\":' || part || ',\"parts\":' || parts || ',\"data\":[' || data || ']}'"
+)
+
+
 @query(
     "S6_envelope",
-    f"select 'signals' as type, {iso(NOW)} as timestamp, cast(count(*) as int) as count, "
-    "null as data from scoring_history union all "
-    f"select 'signal', {iso(NOW)}, null, cast(to_json({{'id': id, 'pair_symbol': pair_symbol, "
-    "'recommended_action': recommended_action, 'score_week': score_week, "
-    "'score_month': score_month}) as varchar) from scoring_history",
+    "with texts as (select cast(to_json({" + _SENT_TEXT + "}) as varchar) as text, row_number() "
+    "over (order by score_week desc nulls last, timestamp desc nulls first, id) as place "
+    "from scoring_history), "
+    "sizes as (select *, strlen(text) + 1 as size from texts), "
+    "begun as (select text, place, sum(size) over (order by place) - size as begins from sizes), "
+    f"wide as (select {MESSAGE_BYTES} - {messages.MESSAGE_OVERHEAD} - max(size) + 1 as width "
+    "from sizes), "
+    "cut as (select text, place, floor(begins / width) as stretch from begun cross join wide), "
+    "gathered as (select stretch, count(*) as n, string_agg(text, ',' order by place) as data "
+    "from cut group by stretch), "
+    "counted as (select *, row_number() over (order by stretch) - 1 as part, count(*) over () "
+    "as parts from gathered) "
+    f"select part, parts, cast(n as int) as count, {_MESSAGE_HEAD} as value from counted",
 )
 def s6(t):
-    rows = t("scoring_history").select(
-        "id", "pair_symbol", "recommended_action", "score_week", "score_month"
+    rows = ranking.order_feed(t("scoring_history")).select(*SENT)
+    return messages.envelope(rows, AS_OF, MESSAGE_BYTES)
+
+
+@query(
+    "S7_parse_envelope",
+    f"select {RECORD}, row_number() over (order by score_week desc nulls last, "
+    "timestamp desc nulls first, id) - 1 as place from with_params",
+)
+def s7_envelope(t):
+    """Whole records sent in messages of bounded size, parsed and in order again."""
+    sent = messages.envelope(
+        shaping.signal_record(ranking.order_feed(with_params(t))), AS_OF, MESSAGE_BYTES
+    )
+    received = messages.parse_feed(sent)
+    number = Window.orderBy("part")
+    before = received.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select(
+        "part", (F.sum("n").over(number) - F.col("n")).alias("before")
+    )
+    return received.join(before, "part").select(
+        *[c for c in received.columns if c not in ("part", "pos")],
+        (F.col("before") + F.col("pos")).alias("place"),
     )
-    return messages.envelope(rows, AS_OF)
 
 
 def feed_messages(t):

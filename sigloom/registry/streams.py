@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
-from sigloom.operators import aggregates, filters, joins, ranking
+from sigloom.operators import aggregates, joins, ranking, shaping
 from sigloom.plans import feeds
 from sigloom.registry.base import CONFIG, RECENT, WINDOW_MINUTES, iso, stamp, stream_query
 from sigloom.registry.feeds import DIAGNOSTIC, RECORD
@@ -137,8 +137,16 @@ def t2(spark, folder, t):
     return drained(spark, announced.select("value"), "updates")
 
 
+FEED_ORDER = "score_week desc nulls last, timestamp desc nulls first, id"
+
+
+def numbered(columns: str, order: str = FEED_ORDER) -> str:
+    """Columns and the place in an order, from 0."""
+    return f"{columns}, row_number() over (order by {order}) - 1 as pos"
+
+
 STANDARD = (
-    f"select {RECORD} from with_params where {RECENT} and is_active and pair_is_active "
+    f"select {numbered(RECORD)} from with_params where {RECENT} and is_active and pair_is_active "
     "and score_week > score_week_filter and score_month > score_month_filter "
     "and hour(timestamp) not between 0 and 1"
 )
@@ -159,26 +167,25 @@ def t3(spark, folder, t):
     return table.latest()
 
 
-@stream_query(
-    "S5_snapshot_sink",
-    f"select {DIAGNOSTIC} from paired where {RECENT} and is_active and pair_is_active "
-    "and score_week > 50 and score_month > 50",
-)
+@stream_query("S5_snapshot_sink", f"select {numbered(DIAGNOSTIC)} from paired")
 def s5(spark, folder, t):
+    signals = joins.join_pair_by_id(t("scoring_history"), t("trading_pairs"))
     table = sinks.SnapshotTable(spark, working_folder(spark, "snapshot"))
-    table.replace(feeds.diagnostic_feed(t, CONFIG, AS_OF), 0)
+    table.replace(shaping.diagnostic_record(ranking.order_feed(signals)), 0)
     return table.latest()
 
 
 @stream_query(
     "S8_latest_snapshot",
-    f"select id, {stamp('timestamp')} as timestamp from scoring_history where {RECENT}",
+    f"select {numbered('id, score_week, ' + stamp('timestamp') + ' as timestamp')} "
+    "from scoring_history",
 )
 def s8(spark, folder, t):
-    facts = t("scoring_history").select("id", "timestamp")
+    """A version per weekday's signals, then the whole table; the last one is served."""
+    facts = t("scoring_history").select("id", "score_week", "timestamp")
     table = sinks.SnapshotTable(spark, working_folder(spark, "snapshot"))
-    table.replace(facts, 0)
-    table.replace(filters.recent_window(facts, WINDOW_MINUTES, AS_OF), 1)
+    table.replace(facts.where(F.dayofweek("timestamp") == 1), 0)
+    table.replace(ranking.order_feed(facts), 1)
     return table.latest()
 
 

@@ -85,6 +85,8 @@ FEED_MESSAGE = T.StructType(
         T.StructField("type", T.StringType()),
         T.StructField("timestamp", T.StringType()),
         T.StructField("count", T.IntegerType()),
+        T.StructField("part", T.LongType()),
+        T.StructField("parts", T.LongType()),
         T.StructField("data", T.ArrayType(FEED_RECORD)),
         T.StructField("message", T.StringType()),
     ]

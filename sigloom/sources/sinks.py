@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-HEAD_SCHEMA = "turn bigint, version bigint, row_count bigint, place bigint, written double"
+from sigloom.operators import positions
+
+HEAD_SCHEMA = (
+    "turn bigint, version bigint, row_count bigint, place bigint, written double, "
+    "starts map<int, bigint>"
+)
 
 
 def read_if_present(
@@ -52,6 +57,10 @@ def kafka_event_sink(events: DataFrame, servers: str, checkpoint: str) -> DataSt
 class SnapshotTable:
     """A table that is replaced as a whole and keeps serving its last complete version.
 
+    A version keeps the order in which its frame was published: rows are stored with their task of the
+    sort and their place in it, the head has the number of rows before each task, and readers
+    get the place in the whole as the column ``pos``.
+
     Versions rotate through folders, so nothing has to be deleted as they come and go.  A folder is
     used again once ``keep`` of them exist and its version was replaced ``hold_seconds`` ago or
     earlier; until then a reader may hold on to it, however fast versions follow.  A one-row
@@ -88,24 +97,23 @@ class SnapshotTable:
         heads = self._heads()
         turn = heads[0]["turn"] + 1 if heads else 0
         place = self._next_place(heads, time.time())
-        snapshot.write.mode("overwrite").parquet(self._data(place))
-        head = self.spark.read.parquet(self._data(place)).agg(
-            F.lit(turn).cast("bigint").alias("turn"),
-            F.lit(version).cast("bigint").alias("version"),
-            F.count(F.lit(1)).alias("row_count"),
-            F.lit(place).cast("bigint").alias("place"),
-            F.lit(time.time()).alias("written"),
-        )
-        head.write.mode("overwrite").parquet(f"{self.root}/heads/slot={place}")
+        stored = positions.written_in_order(snapshot, self._data(place))
+        parts = positions.part_totals(stored)
+        row_count = sum(p["rows"] for p in parts)
+        head = [(turn, version, row_count, place, time.time(), positions.starts(parts))]
+        frame = self.spark.createDataFrame(head, HEAD_SCHEMA).coalesce(1)
+        frame.write.mode("overwrite").parquet(f"{self.root}/heads/slot={place}")
 
     def latest_version(self) -> int | None:
         """Newest complete version, or None before the first one."""
         heads = self._heads()
         return heads[0]["version"] if heads else None
 
-    def latest(self) -> DataFrame:
-        """The last complete snapshot, without recomputing it."""
+    def latest(self, in_order: bool = True) -> DataFrame:
+        """The last complete snapshot with ``pos``, without recomputing it, sorted by ``pos``."""
         heads = self._heads()
         if not heads:
             raise LookupError(f"no snapshot under {self.root}")
-        return self.spark.read.parquet(self._data(heads[0]["place"]))
+        stored = self.spark.read.parquet(self._data(heads[0]["place"]))
+        rows = positions.positioned(stored, heads[0]["starts"])
+        return rows.orderBy("pos") if in_order else rows

@@ -13,6 +13,10 @@ from pyspark.sql.streaming import DataStreamWriter
 from sigloom.sources.sinks import SnapshotTable, read_if_present
 
 
+#: Version of the snapshot published before the first micro-batch.
+START_VERSION = -1
+
+
 @dataclass(frozen=True)
 class GateState:
     """What the last change left behind, and when the last refresh ran."""
@@ -103,14 +107,29 @@ def utc_now() -> datetime:
     return datetime.now(UTC).replace(tzinfo=None)
 
 
+def publish_at_start(build: Callable[[], DataFrame], table: SnapshotTable) -> bool:
+    """Publish a first snapshot where there is none, so that readers need not wait for a change."""
+    if table.latest_version() is not None:
+        return False
+    table.replace(build(), START_VERSION)
+    return True
+
+
 def snapshot_refresh(
-    changes: DataFrame, build: Callable[[], DataFrame], table: SnapshotTable, checkpoint: str
+    changes: DataFrame,
+    build: Callable[[], DataFrame],
+    table: SnapshotTable,
+    checkpoint: str,
+    at_start: bool = True,
 ) -> DataStreamWriter:
     """Rebuild and replace the snapshot after every micro-batch of changes.
 
     ``build`` runs the batch feed; it should read its tables anew, since rows also leave the window
-    by age.  All changes of one micro-batch share one rebuild.
+    by age.  All changes of one micro-batch share one rebuild.  The first snapshot is published
+    here, before any change, unless ``at_start`` is off.
     """
+    if at_start:
+        publish_at_start(build, table)
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
         table.replace(build(), batch_id)

@@ -1,16 +1,22 @@
 from __future__ import annotations
 
+import json
+import random
 from datetime import datetime
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from sigloom.operators import ranking
+from sigloom.config import FeedConfig
+from sigloom.operators import positions, ranking
+from sigloom.plans import feeds
 from sigloom.session import working_folder
 from sigloom.sources import messages
 from sigloom.sources.catalog import Catalog, scan_tables
 from sigloom.sources.layout import write_bucketed
 from sigloom.sources.sinks import SnapshotTable
+from sigloom.standins import AS_OF, WINDOW_MINUTES, standin_catalog
 from tests.conftest import column, rows
 
 FEED = (
@@ -50,14 +56,49 @@ def test_a_broken_event_still_announces_a_change(spark):
     assert rows(got, "event", "id", "malformed") == [("INSERT", 5, False), (None, None, True)]
 
 
-def test_envelope_round_trip(spark):
-    df = spark.createDataFrame([(1, None), (2, 5.0)], "id long, score_week double")
-    sent = messages.envelope(df, datetime(2024, 1, 31))
-    header = sent.filter("type = 'signals'").first()
-    assert (header["count"], header["timestamp"]) == (2, "2024-01-31T00:00:00+00:00")
-    data = [r["data"] for r in sent.filter("type = 'signal'").collect()]
-    assert sorted(data) == ['{"id":1,"score_week":null}', '{"id":2,"score_week":5.0}']
-    assert messages.envelope(df.limit(0), datetime(2024, 1, 31)).count() == 1
+def sent_and_parsed(df, max_bytes):
+    sent = messages.envelope(df, datetime(2024, 1, 31), max_bytes).cache()
+    got = [json.loads(r["value"]) for r in sent.orderBy("part").collect()]
+    assert [m["part"] for m in got] == list(range(len(got)))
+    assert all(m["parts"] == len(got) and m["count"] == len(m["data"]) for m in got)
+    assert {m["timestamp"] for m in got} == {"2024-01-31T00:00:00+00:00"}
+    return sent, got
+
+
+def test_envelope_is_one_message_where_it_fits(spark):
+    df = spark.createDataFrame([(2, None), (1, 5.0)], "id long, score_week double")
+    _, got = sent_and_parsed(df.orderBy(F.desc("id")), 1000)
+    assert got[0]["data"] == [{"id": 2, "score_week": None}, {"id": 1, "score_week": 5.0}]
+    assert len(got) == 1 and got[0]["type"] == "signals"
+    _, empty = sent_and_parsed(df.limit(0), 1000)
+    assert empty[0]["data"] == [] and len(empty) == 1
+
+
+@pytest.mark.parametrize("room", [60, 100, 300, 2000, 10**6])
+def test_envelope_keeps_order_and_bound(spark, room):
+    """Long records among short ones; only a record too long for the bound goes beyond it."""
+    rng = random.Random(room)
+    names = ["x" * rng.choice([0, 5, 20, 20, 150, 700]) + "é" for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(names)), "id long, pair_symbol string")
+    bound = messages.MESSAGE_OVERHEAD + room
+    sent, got = sent_and_parsed(df.repartition(7).orderBy("id"), bound)
+    assert [r["id"] for m in got for r in m["data"]] == list(range(400))
+    assert all(m["count"] == 1 for m in got if len(json.dumps(m, ensure_ascii=False).encode()) > 2 * bound)
+    texts = sent.select(F.octet_length("value").alias("size"), "count").collect()
+    assert all(r["size"] <= bound or r["count"] == 1 for r in texts)
+    parsed = messages.parse_feed(sent).orderBy("part", "pos").select("id", "pair_symbol").collect()
+    assert [tuple(r) for r in parsed] == list(enumerate(names))
+
+
+@pytest.mark.parametrize("max_bytes", [700, 5000, 1 << 20])
+def test_standard_feed_comes_back_equal(spark, max_bytes):
+    tables = standin_catalog(spark, "/root/testdata/sf0.01")
+    feed = feeds.standard_feed(tables, FeedConfig(window_minutes=WINDOW_MINUTES), AS_OF)
+    wanted = [tuple(r) for r in feed.collect()]
+    sent = messages.envelope(feed, AS_OF, max_bytes)
+    back = messages.parse_feed(sent).orderBy("part", "pos").drop("part", "pos")
+    assert back.columns == feed.columns and len(wanted) == 710
+    assert [tuple(r) for r in back.collect()] == wanted
 
 
 def test_catalog_reads_frames_folders_and_tables(spark, folder):
@@ -140,6 +181,40 @@ def test_half_written_version_is_not_served(spark, folder):
     assert table.latest().count() == 5
 
 
+def test_snapshot_keeps_its_order(spark, folder):
+    """Published from many tasks, the feed reads back in order, with its places."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tables = standin_catalog(spark, "/root/testdata/sf0.01")
+        feed = feeds.standard_feed(tables, FeedConfig(window_minutes=WINDOW_MINUTES), AS_OF)
+        wanted = [tuple(r) for r in feed.collect()]
+        table = SnapshotTable(spark, folder)
+        table.replace(feed, 0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(list(Path(folder).glob("data/slot=0/*.parquet"))) > 1
+    read = table.latest()
+    assert [tuple(r)[:-1] for r in read.collect()] == wanted
+    assert column(read, "pos") == list(range(len(wanted)))
+    assert sorted(column(table.latest(in_order=False), "pos")) == list(range(len(wanted)))
+    assert ranking.order_violations(read).count() == 0
+    assert read.columns == [*feed.columns, "pos"]
+
+
+def test_order_columns_of_others_are_refused(spark, folder):
+    with pytest.raises(ValueError, match="_part"):
+        SnapshotTable(spark, folder).replace(spark.range(1).withColumn("_part", F.lit(1)), 0)
+
+
+def test_running_sums_over_tasks(spark, folder):
+    df = spark.range(1000).select("id", (F.col("id") % 7).alias("size")).repartition(5)
+    stored = positions.written_in_order(df.orderBy("id"), folder)
+    parts = positions.part_totals(stored, F.sum("size").alias("sizes"))
+    sums = positions.running_before(stored, "size", positions.starts(parts, "sizes"), "before")
+    got = rows(positions.positioned(sums, positions.starts(parts)), "id", "pos", "before")
+    assert got == sorted(((i, i, sum(k % 7 for k in range(i))) for i in range(1000)), key=repr)
+
+
 def test_working_folder_is_below_the_shared_one(spark):
     root = spark.conf.get("spark.checkpoint.dir")
     first, second = working_folder(spark, "x"), working_folder(spark, "x")

@@ -174,7 +174,24 @@ def test_every_batch_of_changes_refreshes(spark, tmp_path):
     table = SnapshotTable(spark, str(tmp_path / "snapshot"))
     changes = change_source(spark, str(tmp_path / "in"), max_files=1)
     run(refresh.snapshot_refresh(changes, build, table, str(tmp_path / "checkpoint")))
-    assert len(calls) == 3 and table.latest().count() == 3
+    # One snapshot before the first change, then one for each batch.
+    assert len(calls) == 4 and table.latest().count() == 4
+
+
+def test_first_snapshot_needs_no_change(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    changes = change_source(spark, str(tmp_path / "in"), max_files=1)
+    table = SnapshotTable(spark, str(tmp_path / "snapshot"))
+
+    def started(**settings):
+        build = lambda: spark.range(2)
+        run(refresh.snapshot_refresh(changes, build, table, str(tmp_path / "c"), **settings))
+
+    started(at_start=False)
+    assert table.latest_version() is None
+    started()
+    assert (table.latest_version(), table.latest().count()) == (refresh.START_VERSION, 2)
+    assert not refresh.publish_at_start(lambda: spark.range(5), table)
 
 
 def test_buffer_holds_the_newest_batch_only(spark, tmp_path):
