@@ -309,10 +309,12 @@ def near_pairs(words: DataFrame, bucket_words: int = BUCKET_WORDS) -> DataFrame:
     levels = bucket_levels(words, bucket_words)
     own = F.substring("vector", 1, levels)
     # Buckets that all levels leave too large; at most one for every ``bucket_words`` words.
-    large = (
+    # Stored, their number is known to Spark before it plans the joins.
+    large = saved(
         words.groupBy(own.alias("bucket"))
         .agg(F.ceil(F.count(F.lit(1)) / bucket_words).cast("int").alias("slices"))
-        .where(F.col("slices") > 1)
+        .where(F.col("slices") > 1),
+        "large",
     )
     rows = ("word", "n", "vector")
 
