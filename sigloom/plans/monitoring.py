@@ -17,9 +17,14 @@ def gate_history(
     time: str = "probe_time",
     span: str = "hour",
     number: str | None = None,
+    by_time: bool = True,
+    error: str | None = None,
 ) -> DataFrame:
     """Which probes of a history announce a change.
 
+    Without ``by_time`` only the ids count, see ``id_gate_history``.  Where the column ``error`` says that
+    a probe failed, that is a change, and the kept values stay.
+
     A probe is compared with the values kept at the last change: it is a change if its newest time
     differs or its newest id is larger.  While the newest time stays the same, the kept id is
     the largest one met so far.  So it is enough to know the previous probe's time and the largest
@@ -31,6 +36,12 @@ def gate_history(
     is at most the probes made in it (3,600 an hour at one a second; take a shorter span for faster
     probing).  What a span takes over from the ones before it is worked out on one row per span.
     """
+    if error is not None:
+        failed = F.col(error).isNotNull()
+        walked = gate_history(probes.filter(~failed), feed, time, span, number, by_time)
+        return walked.unionByName(probes.filter(failed).withColumn("changed", F.lit(True)))
+    if not by_time:
+        return id_gate_history(probes, feed, time, span, number)
     order = [time, number] if number else [time, "max_timestamp", "max_id"]
     empty = F.coalesce("max_id", F.lit(0)) == 0
     filled = probes.filter(~empty).withColumn("_span", F.date_trunc(span, time))
@@ -79,6 +90,38 @@ def gate_history(
     return decided.unionByName(probes.filter(empty).withColumn("changed", F.lit(False)))
 
 
+def id_gate_history(
+    probes: DataFrame,
+    feed: str = "feed",
+    time: str = "probe_time",
+    span: str = "hour",
+    number: str | None = None,
+) -> DataFrame:
+    """Which probes announce a change where only ids count: those above every id before them.
+
+    The running maximum has two levels: over the spans of a feed, one row each, and over the probes
+    inside a span.
+    """
+    order = [time, number] if number else [time, "max_id"]
+    spans = Window.partitionBy(feed).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(feed, "_span").orderBy(*order)
+    cut = probes.withColumn("_span", F.date_trunc(span, time))
+    tops = cut.groupBy(feed, "_span").agg(F.max("max_id").alias("_top"))
+    handed = tops.select(feed, "_span", F.max("_top").over(spans).alias("_handed"))
+    earlier = F.max("max_id").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    return (
+        cut.withColumn("_earlier", earlier)
+        .join(handed, [feed, "_span"])
+        .select(
+            *probes.columns,
+            (
+                F.coalesce("max_id", F.lit(0))
+                > F.coalesce(F.greatest("_earlier", "_handed"), F.lit(0))
+            ).alias("changed"),
+        )
+    )
+
+
 def refresh_due(changed: Column, seconds_since_last: Column, force_seconds: int | None) -> Column:
     """Refresh when something changed or, with a forced interval, when the last one is too old."""
     if force_seconds is None:

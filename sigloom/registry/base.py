@@ -163,8 +163,9 @@ def assemble(sql: str, standins: bool = True) -> str:
     if not ctes:
         return sql
     body = sql.strip()
-    if body.lower().startswith("with "):
-        return f"with {ctes}, {body[5:]}"
+    for start in ("with recursive ", "with "):
+        if body.lower().startswith(start):
+            return f"{start}{ctes}, {body[len(start):]}"
     return f"with {ctes} {body}"
 
 

@@ -955,60 +955,6 @@ def f14(t):
     return filters.qualifying_event(rows, AS_OF, WINDOW_MINUTES).select("id")
 
 
-PROBES = (
-    "select 'standard' as feed, timestamp as probe_time, case when score_week is not null then "
-    "cast(floor((id + 9 * (id % 5)) / 5) as bigint) end as max_id, "
-    "date_trunc('hour', timestamp) as max_timestamp from scoring_history"
-)
-
-
-def probe_history(t):
-    """A probe at every signal, whose newest id and time move only now and then."""
-    newest = F.floor((F.col("id") + 9 * (F.col("id") % 5)) / 5).cast("bigint")
-    return t("scoring_history").select(
-        F.lit("standard").alias("feed"),
-        F.col("timestamp").alias("probe_time"),
-        F.when(F.col("score_week").isNotNull(), newest).alias("max_id"),
-        F.date_trunc("hour", "timestamp").alias("max_timestamp"),
-    )
-
-
-GATED = (
-    "select feed, probe_time, max_id, max_timestamp, moved or max_id > coalesce(max(max_id) over "
-    "(partition by stretch order by probe_time rows between unbounded preceding and 1 preceding), "
-    "0) as changed from (select *, sum(cast(moved as int)) over (order by probe_time) as stretch "
-    "from (select *, max_timestamp is distinct from lag(max_timestamp) over (order by probe_time) "
-    f"as moved from ({PROBES}) where coalesce(max_id, 0) <> 0)) union all "
-    f"select *, false as changed from ({PROBES}) where coalesce(max_id, 0) = 0"
-)
-
-
-@query(
-    "T4_change_gate",
-    f"select feed, {stamp('probe_time')} as probe_time, max_id, {stamp('max_timestamp')} as "
-    f"max_timestamp, changed from ({GATED})",
-)
-def t4(t):
-    return monitoring.gate_history(probe_history(t))
-
-
-@query(
-    "T5_refresh_policy",
-    f"select {stamp('probe_time')} as probe_time, changed as on_event, changed or "
-    "date_diff('second', date_trunc('hour', probe_time), date_trunc('second', probe_time)) >= "
-    f"1800 as on_poll from ({GATED})",
-)
-def t5(t):
-    # Every hour starts with a refresh here, so the age of the last one is the time in the hour.
-    age = F.minute("probe_time") * 60 + F.second("probe_time")
-    gated = monitoring.gate_history(probe_history(t))
-    return gated.select(
-        "probe_time",
-        monitoring.refresh_due(F.col("changed"), age, None).alias("on_event"),
-        monitoring.refresh_due(F.col("changed"), age, 1800).alias("on_poll"),
-    )
-
-
 @query(
     "T8_sliding_lookback",
     f"select '2024-01-24 00:00:00' as as_of, id from scoring_history where timestamp >= "

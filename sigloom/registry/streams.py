@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from itertools import pairwise
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from sigloom.operators import aggregates, joins, ranking, shaping
-from sigloom.plans import feeds
+from sigloom.plans import feeds, monitoring
 from sigloom.registry.base import CONFIG, RECENT, WINDOW_MINUTES, iso, stamp, stream_query
 from sigloom.registry.feeds import DIAGNOSTIC, RECORD
 from sigloom.session import working_folder
 from sigloom.sources import changes, sinks
+from sigloom.sources.batches import BatchTable
 from sigloom.sources.changes import change_rows
 from sigloom.standins import AS_OF, DEFINITIONS, derive
 from sigloom.streaming import dedup, events, rates, refresh, stats
@@ -35,6 +39,42 @@ def streamed(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return derive(rows, name)
 
 
+def staged(
+    rows: DataFrame, purpose: str, order: Column, batches: int = 4
+) -> tuple[str, T.StructType]:
+    """The rows as a folder of files that streams take one after the other, in the given order.
+
+    Ranges of the order are written one by one, each as one file of its own folder.
+    """
+    spark = rows.sparkSession
+    root = working_folder(spark, purpose)
+    ranked = rows.withColumn("_at", order)
+    cuts = ranked.approxQuantile("_at", [k / batches for k in range(1, batches)], 0.001)
+    bounds = [None, *cuts, None]
+    for number, (low, high) in enumerate(pairwise(bounds)):
+        part = ranked
+        if low is not None:
+            part = part.where(F.col("_at") >= low)
+        if high is not None:
+            part = part.where(F.col("_at") < high)
+        part.drop("_at").coalesce(1).write.parquet(f"{root}/batch={number:04d}")
+    return f"{root}/batch=*", rows.schema
+
+
+def in_batches(
+    rows: DataFrame, purpose: str, order: Column | None = None, batches: int = 4
+) -> DataFrame:
+    """The rows as a stream of several micro-batches (by id, if no order is given)."""
+    path, schema = staged(rows, purpose, F.col("id") if order is None else order, batches)
+    return changes.change_source(
+        rows.sparkSession, path, source_format="parquet", schema=schema, max_files=1
+    )
+
+
+def micros(column: str) -> Column:
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
 def drain(writer: DataStreamWriter, path: str | None = None) -> StreamingQuery:
     """Run the query over everything there is, then stop."""
     query = writer.trigger(availableNow=True).start(path)
@@ -195,15 +235,19 @@ def s8(spark, folder, t):
     "where id in (select scoring_history_id from sh_patterns)",
 )
 def t6(spark, folder, t):
-    alerts = (
-        streamed(spark, folder, "sh_patterns")
-        .join(t("scoring_history").withColumnRenamed("id", "scoring_history_id"), "scoring_history_id")
-        .select(
-            F.col("scoring_history_id").alias("signal_id"),
-            F.col("timestamp").cast("timestamp").alias("signal_timestamp"),
-        )
+    """Alerts come newest first, one signal in many rows and micro-batches."""
+    signals = t("scoring_history").withColumnRenamed("id", "scoring_history_id")
+    alerts = t("sh_patterns").join(signals, "scoring_history_id").select(
+        F.col("scoring_history_id").alias("signal_id"),
+        F.col("timestamp").cast("timestamp").alias("signal_timestamp"),
     )
-    return drained(spark, dedup.dedup_seen(alerts), "alerts")
+    # Every second row of a signal comes a quarter of the history later.
+    late = F.pmod(F.monotonically_increasing_id(), F.lit(2)) * F.lit(10**12)
+    stream = in_batches(alerts, "alerts", late - micros("signal_timestamp"))
+    root = working_folder(spark, "seen")
+    shown = BatchTable(spark, f"{root}/shown")
+    drain(dedup.show_once(stream, shown, dedup.SeenKeys(spark, f"{root}/keys"), f"{root}/checkpoint"))
+    return shown.read().select("signal_id", "signal_timestamp")
 
 
 @stream_query(
@@ -213,70 +257,101 @@ def t6(spark, folder, t):
 )
 def t7(spark, folder, t):
     root = working_folder(spark, "rates")
-    table = rates.BatchTable(spark, f"{root}/windows")
-    facts = streamed(spark, folder, "scoring_history").withColumn(
-        "timestamp", F.col("timestamp").cast("timestamp")
-    )
-    drain(rates.keep_updates(rates.rate_per_minute(facts), table, f"{root}/checkpoint"))
-    return rates.newest(table.read(), ["window_start"], ["signals"])
+    facts = t("scoring_history").withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    stream = in_batches(facts, "facts", micros("timestamp"))
+    table = rates.window_table(spark, f"{root}/windows", keep_minutes=None, every=3)
+    drain(rates.keep_updates(rates.rate_per_minute(stream), table, f"{root}/checkpoint"))
+    return rates.current_windows(table, None).select("window_start", "signals")
 
 
 @stream_query(
     "T9_observed_rows",
-    "select count(*) as input_rows, count(*) as rows_sent from scoring_history",
+    "select 4 as queries_executed, count(*) as signals_sent, 0 as errors from scoring_history",
 )
 def t9(spark, folder, t):
     root = working_folder(spark, "observed")
-    feed = stats.observe_feed(streamed(spark, folder, "scoring_history").select("id"))
-    writer = feed.writeStream.format("parquet").option("checkpointLocation", f"{root}/checkpoint")
-    query = drain(writer, f"{root}/rows")
-    log = stats.progress_log(spark, query)
-    return log.agg(F.sum("input_rows").alias("input_rows"), F.sum("rows_sent").alias("rows_sent"))
+    stream = in_batches(t("scoring_history").select("id", "timestamp"), "facts")
+    sent = BatchTable(spark, f"{root}/rows")
+    log = BatchTable(spark, f"{root}/log", every=3)
+    drain(stats.logged(stream, sent.put, log, f"{root}/checkpoint", first=F.max("timestamp")))
+    totals = monitoring.feed_stats(log.read(), AS_OF)
+    return totals.select("queries_executed", "signals_sent", "errors")
+
+
+DAY_MESSAGE = "date_diff('day', timestamp '2024-01-01', timestamp)"
 
 
 @stream_query(
     "T10_buffer_replace",
-    "select id, score_week from (select *, row_number() over (order by score_week desc nulls last, "
-    "timestamp desc, id) as rn, count(*) over () as n from scoring_history) where rn > n - 100",
+    "select id, score_week, row_number() over (order by score_week desc nulls last, "
+    "timestamp desc nulls first, id) - 1 as pos from (select *, row_number() over (order by "
+    "score_week desc nulls last, timestamp desc nulls first, id) as rn, count(*) over () as n "
+    f"from scoring_history where {DAY_MESSAGE} = (select max({DAY_MESSAGE}) from scoring_history)) "
+    "where rn > n - 100",
 )
 def t10(spark, folder, t):
+    """A message a day, several of them in a micro-batch; the buffer holds the end of the newest."""
+    feed = t("scoring_history").select(
+        "id",
+        "score_week",
+        "timestamp",
+        F.datediff(F.to_date("timestamp"), F.lit("2024-01-01")).alias("message"),
+    )
+    stream = in_batches(feed, "messages", F.col("message"))
     root = working_folder(spark, "buffer")
     table = sinks.SnapshotTable(spark, f"{root}/snapshot")
-    feed = streamed(spark, folder, "scoring_history").select("id", "score_week", "timestamp")
-    drain(refresh.buffer_replace(feed, ranking.tail_buffer, table, f"{root}/checkpoint"))
-    return table.latest().select("id", "score_week")
+    drain(
+        refresh.buffer_replace(
+            stream, ranking.tail_buffer, table, f"{root}/checkpoint", message="message"
+        )
+    )
+    return table.latest().select("id", "score_week", "pos")
+
+
+#: Signals of one message of the queries below.
+MESSAGE_SIGNALS = 500
 
 
 @stream_query(
     "T11_pattern_rate",
-    "select 0 as batch_id, pattern, count(*) as signals from (select scoring_history_id, "
-    "unnest(list(distinct pattern_type)) as pattern from keyed group by scoring_history_id) "
-    "group by pattern",
+    f"select cast(floor(scoring_history_id / {MESSAGE_SIGNALS}) as bigint) as message, pattern, "
+    "count(*) as signals from (select scoring_history_id, unnest(list(distinct pattern_type)) as "
+    "pattern from keyed group by scoring_history_id) group by all",
 )
 def t11(spark, folder, t):
     root = working_folder(spark, "patterns")
-    table = rates.BatchTable(spark, f"{root}/counts")
+    signal = F.col("scoring_history_id")
+    sent = t("sh_patterns").withColumn("message", F.floor(signal / MESSAGE_SIGNALS))
+    table = BatchTable(spark, f"{root}/counts")
 
     def collect(batch):
         rows = joins.pattern_rows(batch, t("signal_patterns"))
-        return aggregates.collect_patterns(rows, ["scoring_history_id"])
+        return aggregates.collect_patterns(rows, ["message", "scoring_history_id"])
 
-    stream = streamed(spark, folder, "sh_patterns")
+    stream = in_batches(sent, "messages", signal)
     drain(rates.pattern_rate(stream, collect, table, f"{root}/checkpoint"))
-    return table.read().select("batch_id", "pattern", "signals")
+    return rates.message_totals(table.read(), ["message", "pattern"])
 
 
 @stream_query(
     "X1_on_batch",
-    "select 0 as batch_id, count(*) as signals from scoring_history",
+    f"select cast(floor(id / {MESSAGE_SIGNALS}) as bigint) as message, count(*) as signals, "
+    "max(score_week) as best from scoring_history group by 1",
 )
 def x1(spark, folder, t):
     root = working_folder(spark, "hook")
-    table = rates.BatchTable(spark, f"{root}/counts")
+    table = BatchTable(spark, f"{root}/counts")
 
     def callback(batch, batch_id):
-        table.put(batch.agg(F.count(F.lit(1)).alias("signals")), batch_id)
+        counted = batch.groupBy("message").agg(
+            F.count(F.lit(1)).alias("signals"), F.max("score_week").alias("best")
+        )
+        table.put(counted, batch_id)
 
-    stream = streamed(spark, folder, "scoring_history")
-    drain(rates.on_batch(stream, callback, f"{root}/checkpoint"))
-    return table.read().select("batch_id", "signals")
+    signals = t("scoring_history").select(
+        "id", "score_week", F.floor(F.col("id") / MESSAGE_SIGNALS).alias("message")
+    )
+    drain(rates.on_batch(in_batches(signals, "messages"), callback, f"{root}/checkpoint"))
+    return table.read().groupBy("message").agg(
+        F.sum("signals").alias("signals"), F.max("best").alias("best")
+    )

@@ -26,23 +26,46 @@ class GateState:
     refreshed_at: datetime | None = None
 
 
-def check_gate(probe: Row | None, state: GateState, by_time: bool = True) -> tuple[bool, GateState]:
-    """Whether the probe shows a change, and the state to keep.
+def gate_change(
+    newest: int | None,
+    time: datetime | None,
+    state: GateState,
+    by_time: bool = True,
+    failed: bool = False,
+) -> tuple[bool, GateState]:
+    """Whether a probe shows a change, and the state to keep.
 
     A change is a larger id or, unless ``by_time`` is off, a different newest time.  An empty
-    window is no change.  On a change both values are taken over, also when the id went down.
+    window is no change.  On a change both values are taken over, also when the id went down.  A failed
+    probe counts as a change, so that nothing is missed, and leaves the state as it is.
     """
-    values = probe.asDict() if probe is not None else {}
-    newest = values.get("max_id")
+    if failed:
+        return True, state
     if not newest:
         return False, state
-    time = values.get("max_timestamp") if by_time else None
+    time = time if by_time else None
     changed = newest > state.max_id or (time is not None and time != state.max_timestamp)
     if not changed:
         return False, state
     return True, replace(state, max_id=newest, max_timestamp=time)
 
 
+def check_gate(
+    probe: Row | None, state: GateState, by_time: bool = True, failed: bool = False
+) -> tuple[bool, GateState]:
+    """``gate_change`` of a row with ``max_id`` and ``max_timestamp``."""
+    values = probe.asDict() if probe is not None else {}
+    return gate_change(values.get("max_id"), values.get("max_timestamp"), state, by_time, failed)
+
+
+def probed(probe: Callable[[], DataFrame]) -> tuple[Row | None, Exception | None]:
+    """The row of a probe, or what it failed with."""
+    try:
+        return probe().first(), None
+    except Exception as problem:  # noqa: BLE001 - any failure of a probe counts as a change
+        return None, problem
+
+
 class GateStore:
     """One small state row per micro-batch, so that a repeated batch starts from the same state.
 
@@ -147,17 +170,23 @@ def gated_refresh(
     policy: RefreshPolicy | None = None,
     by_time: bool = True,
     clock: Callable[[], datetime] = utc_now,
+    at_start: bool = True,
 ) -> DataStreamWriter:
     """Probe at every micro-batch and rebuild the snapshot only when the policy says so.
 
-    ``ticks`` is any stream that fires at the probing interval, such as a ``rate`` source.
+    ``ticks`` is any stream that fires at the probing interval, such as a ``rate`` source.  A probe that
+    fails counts as a change.  The first snapshot is published here, before any probe, unless
+    ``at_start`` is off; its time is that of the last refresh.
     """
     rules = policy or RefreshPolicy()
+    if at_start and publish_at_start(build, table):
+        store.put(START_VERSION, GateState(refreshed_at=clock()))
 
     def check(batch: DataFrame, batch_id: int) -> None:
         now = clock()
         state = store.before(batch_id)
-        changed, following = check_gate(probe().first(), state, by_time)
+        found, problem = probed(probe)
+        changed, following = check_gate(found, state, by_time, problem is not None)
         if rules.due(changed, now, state.refreshed_at):
             table.replace(build(), batch_id)
             following = replace(following, refreshed_at=now)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from sigloom.operators import ranking
 from sigloom.schemas import CHANGE_ROW, SCORING_HISTORY
+from sigloom.plans import monitoring
+from sigloom.sources.batches import BatchTable
 from sigloom.sources.changes import change_source
 from sigloom.sources.sinks import SnapshotTable, event_sink
 from sigloom.streaming import dedup, events, rates, refresh, stats
@@ -264,10 +266,10 @@ def counted(spark, tmp_path, slide=None, amount=None):
         .option("maxFilesPerTrigger", 1)
         .json(str(tmp_path / "in"))
     )
-    table = rates.BatchTable(spark, str(tmp_path / "windows"))
+    table = rates.window_table(spark, str(tmp_path / "windows"), every=2)
     counts = rates.rate_per_minute(stream, "time", slide=slide, amount=amount)
     run(rates.keep_updates(counts, table, str(tmp_path / "c")))
-    newest = rates.newest(table.read(), ["window_start"], ["signals"])
+    newest = rates.current_windows(table)
     return [
         ((r["window_start"] - NOW).total_seconds(), r["signals"])
         for r in newest.orderBy("window_start").collect()
@@ -283,37 +285,160 @@ def test_sliding_rate_of_batch_counts(spark, tmp_path):
     assert got == [(-30.0, 2), (0.0, 7), (30.0, 9), (60.0, 5), (90.0, 1)]
 
 
-def test_observed_rows(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    for number in range(2):
-        (tmp_path / "in" / f"{number}.json").write_text('{"id": 1}\n{"id": 2}')
-    stream = (
-        spark.readStream.schema("id long")
-        .option("maxFilesPerTrigger", 1)
-        .json(str(tmp_path / "in"))
-    )
-    writer = stats.observe_feed(stream).writeStream.format("parquet")
-    query = run(writer.option("checkpointLocation", str(tmp_path / "c")), str(tmp_path / "out"))
-    log = stats.progress_log(spark, query).filter("input_rows > 0")
-    assert rows(log, "batch_id", "input_rows", "rows_sent") == [(0, 2, 2), (1, 2, 2)]
+def json_stream(spark, folder, schema, batches):
+    """One file a micro-batch, taken in the given order."""
+    folder.mkdir(parents=True)
+    for number, lines in enumerate(batches):
+        file = folder / f"{number}.json"
+        file.write_text("\n".join(json.dumps(line) for line in lines))
+        os.utime(file, (1_700_000_000 + number,) * 2)  # files are taken in order of their age
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    return reader.json(str(folder))
 
 
-def test_pattern_counts_by_batch(spark, tmp_path):
-    (tmp_path / "in").mkdir()
-    for number, patterns in enumerate([[["A"], ["A", "B"]], [["B"]]]):
-        lines = [json.dumps({"patterns": p}) for p in patterns]
-        file = tmp_path / "in" / f"{number}.json"
-        file.write_text("\n".join(lines))
-        os.utime(file, (1_700_000_000 + number,) * 2)  # files are taken in order of their age
-    stream = (
-        spark.readStream.schema("patterns array<string>")
-        .option("maxFilesPerTrigger", 1)
-        .json(str(tmp_path / "in"))
+def test_log_of_every_batch(spark, tmp_path):
+    """A failed batch is a row with its error; totals go over all runs of the query."""
+    stream = json_stream(spark, tmp_path / "in", "id long", [[{"id": 1}, {"id": 5}], [{"id": 2}], [{"id": 9}] * 3])
+    sent, log = BatchTable(spark, str(tmp_path / "rows")), BatchTable(spark, str(tmp_path / "log"), every=2)
+    times = iter(NOW + timedelta(seconds=k) for k in range(9))
+
+    def send(batch, batch_id):
+        if batch_id == 1:
+            raise RuntimeError("client gone")
+        sent.put(batch, batch_id)
+
+    writer = stats.logged(
+        stream, send, log, str(tmp_path / "c"), F.max("id"), keep_going=True, clock=lambda: next(times)
     )
-    table = rates.BatchTable(spark, str(tmp_path / "counts"))
-    run(rates.pattern_rate(stream, lambda batch: batch, table, str(tmp_path / "c")))
-    got = rows(table.read(), "batch_id", "pattern", "signals")
-    assert got == [(0, "A", 2), (0, "B", 1), (1, "B", 1)]
+    run(writer)
+    got = rows(log.read(), "batch_id", "count", "first_timestamp", "error")
+    assert got == [(0, 2, "5", None), (1, 0, None, "client gone"), (2, 3, "9", None)]
+    totals = monitoring.feed_stats(log.read(), NOW + timedelta(minutes=1)).first()
+    assert totals.asDict() == {
+        "uptime_seconds": 60.0, "queries_executed": 3, "signals_sent": 5, "errors": 1, "last_query": "9",
+    }
+    assert rows(sent.read(), "batch_id", "id") == [(0, 1), (0, 5), (2, 9), (2, 9), (2, 9)]
+
+
+def test_failure_ends_the_query_and_is_logged(spark, tmp_path):
+    stream = json_stream(spark, tmp_path / "in", "id long", [[{"id": 1}]])
+    log = BatchTable(spark, str(tmp_path / "log"))
+
+    def send(batch, batch_id):
+        raise RuntimeError("client gone")
+
+    with pytest.raises(Exception, match="client gone"):
+        run(stats.logged(stream, send, log, str(tmp_path / "c")))
+    assert log.read().first()["error"] == "client gone"
+
+
+def test_totals_after_many_batches(spark, tmp_path):
+    """More batches than Spark keeps reports of; the folders stay few."""
+    log = BatchTable(spark, str(tmp_path / "log"), every=8)
+    for batch in range(150):
+        row = [(NOW + timedelta(seconds=batch), batch, None, str(batch))]
+        log.put(spark.createDataFrame(row, stats.LOG).coalesce(1), batch)
+    totals = monitoring.feed_stats(log.read(), NOW + timedelta(seconds=150)).first()
+    assert (totals["queries_executed"], totals["signals_sent"]) == (150, sum(range(150)))
+    assert totals["uptime_seconds"] == 150.0 and totals["last_query"] == "149"
+    assert len(list((tmp_path / "log" / "open").iterdir())) <= 16
+    assert len(list((tmp_path / "log" / "base").iterdir())) == 2
+
+
+def test_windows_are_merged_and_dropped(spark, tmp_path):
+    """A window an update; at all times the last hour of them, in few folders."""
+    table = rates.window_table(spark, str(tmp_path / "windows"), keep_minutes=60, every=5)
+    schema = "window_start timestamp, window_end timestamp, signals long"
+    for batch in range(130):
+        updates = []
+        for minute, signals in ((batch, batch), (batch - 1, 1000 + batch)):
+            start = NOW + timedelta(minutes=minute)
+            updates.append((start, start + timedelta(minutes=1), signals))
+        frame = spark.createDataFrame(updates, schema).withColumn("day", F.to_date("window_start"))
+        table.put(frame.coalesce(1), batch)
+    windows = rates.current_windows(table)
+    got = {(r["window_start"] - NOW) // timedelta(minutes=1): r["signals"] for r in windows.collect()}
+    assert got == {m: (129 if m == 129 else 1001 + m) for m in range(70, 130)}
+    assert table.read().count() < 60 + 2 * 10
+    assert len(list((tmp_path / "windows" / "open").iterdir())) <= 10
+    assert len(list((tmp_path / "windows" / "base").iterdir())) == 2
+
+
+def test_repeated_and_compacted_batches(spark, tmp_path):
+    table = BatchTable(spark, str(tmp_path / "t"), every=2)
+    assert table.empty()
+    with pytest.raises(LookupError):
+        table.read()
+    for batch in (0, 0, 1, 1, 2):
+        table.put(spark.range(batch, batch + 2), batch)
+    assert rows(table.read(), "batch_id", "id") == [(0, 0), (0, 1), (1, 1), (1, 2), (2, 2), (2, 3)]
+    # A batch repeated after it was merged counts once.
+    table.put(spark.range(1, 3), 1)
+    assert table.read().count() == 6
+
+
+def shown_ids(spark, folder, batches, **settings):
+    schema = "signal_id long, signal_timestamp timestamp"
+    stream = json_stream(
+        spark,
+        folder / "in",
+        schema,
+        [
+            [{"signal_id": i, "signal_timestamp": (NOW + timedelta(hours=h)).isoformat()} for i, h in batch]
+            for batch in batches
+        ],
+    )
+    shown = BatchTable(spark, str(folder / "shown"))
+    seen = dedup.SeenKeys(spark, str(folder / "seen"), every=2, **settings)
+    run(dedup.show_once(stream, shown, seen, str(folder / "c")))
+    return shown, seen
+
+
+def test_history_in_any_order_is_shown_once(spark, tmp_path):
+    alerts = [(i % 60 if i % 61 else None, i % 60 - 500 * (i % 3)) for i in range(300)]
+    wanted = {None, *range(60)}
+    orders = {
+        "one": [alerts],
+        "four": [alerts[k::4] for k in range(4)],
+        "newest": [[a] for a in sorted(alerts[:40], key=lambda a: -a[1])] + [alerts[40:]],
+    }
+    for name, batches in orders.items():
+        shown, _ = shown_ids(spark, tmp_path / name, batches[-12:] if name == "newest" else batches)
+        ids = column(shown.read(), "signal_id")
+        assert len(ids) == len(set(ids)) and set(ids) == wanted, name
+
+
+def test_seen_keys_expire_by_the_clock(spark, tmp_path):
+    clock = {"now": NOW}
+    seen = dedup.SeenKeys(
+        spark, str(tmp_path / "seen"), "id", timedelta(hours=48), every=2, clock=lambda: clock["now"]
+    )
+    shown = []
+    for batch in range(6):
+        new = seen.unseen(spark.range(2), batch).persist()
+        shown.append(new.count())
+        seen.put(new, batch)
+        clock["now"] += timedelta(hours=20)
+    # Shown at 0 h, remembered at 20 and 40 h, shown again at 60 h.
+    assert shown == [2, 0, 0, 2, 0, 0]
+    assert seen.unseen(spark.range(2), 3).count() == 2
+
+
+def test_pattern_counts_by_message(spark, tmp_path):
+    """The same counts whether messages share a micro-batch or come in parts."""
+    lines = [
+        {"message": m, "patterns": p}
+        for m, p in ((0, ["A"]), (0, ["A", "B"]), (1, ["B"]), (1, []), (2, ["C", "A"]), (2, ["C"]))
+    ]
+    wanted = [(0, "A", 2), (0, "B", 1), (1, "B", 1), (2, "A", 1), (2, "C", 2)]
+    for name, batches in {
+        "one": [lines], "each": [[x] for x in lines], "back": [lines[3:], lines[:3]],
+    }.items():
+        folder = tmp_path / name
+        stream = json_stream(spark, folder / "in", "message long, patterns array<string>", batches)
+        table = BatchTable(spark, str(folder / "counts"), every=2)
+        run(rates.pattern_rate(stream, lambda batch: batch, table, str(folder / "c")))
+        assert rows(rates.message_totals(table.read(), ["message", "pattern"])) == wanted
 
 
 def test_change_rows_have_the_declared_layout(spark):
