@@ -59,9 +59,15 @@ def probe_from_query(feed: DataFrame) -> DataFrame:
     return _probe(feed)
 
 
-def collect_patterns(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Sorted distinct pattern types and timeframes per group; NULLs are left out."""
+def collect_patterns(
+    rows: DataFrame, keys: Sequence[str], carried: Sequence[str] = ()
+) -> DataFrame:
+    """Sorted distinct pattern types and timeframes per group; NULLs are left out.
+
+    ``carried`` columns have one value in a group and come along.
+    """
     return rows.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in carried],
         F.sort_array(F.collect_set("pattern_type")).alias("patterns"),
         F.sort_array(F.collect_set("timeframe")).alias("timeframes"),
     )

@@ -6,28 +6,39 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OUTCOME_SCHEMA = "id bigint, status string, error string"
 
 
-def consumer_filter(
-    feed: DataFrame,
+def consumable(
     min_score: float = 0.7,
     exchanges: Sequence[int | str] = (),
     score: str = "score",
     price: str = "entry_price",
-) -> DataFrame:
-    """Rows with a high enough score, an allowed exchange and an entry price.
+) -> Column:
+    """Whether a row has a high enough score, an allowed exchange and an entry price.
 
-    A missing score counts as 0; a missing or zero price drops the row.  No exchanges given means
+    A missing score counts as 0; a missing or zero price does not do.  No exchanges given means
     all are allowed.
     """
-    kept = feed.filter(F.coalesce(score, F.lit(0.0)) >= min_score)
+    good = (F.coalesce(score, F.lit(0.0)) >= min_score) & (F.coalesce(price, F.lit(0.0)) != 0)
     if exchanges:
-        kept = kept.filter(F.col("exchange_id").cast("string").isin(*[str(e) for e in exchanges]))
-    return kept.filter(F.coalesce(price, F.lit(0.0)) != 0)
+        allowed = F.col("exchange_id").cast("string").isin(*[str(e) for e in exchanges])
+        good &= F.coalesce(allowed, F.lit(False))
+    return good
+
+
+def consumer_filter(
+    feed: DataFrame,
+    min_score: float = 0.7,
+    exchanges: Sequence[int | str] = (),
+    score: str = "score",
+    price: str = "entry_price",
+) -> DataFrame:
+    """The ``consumable`` rows."""
+    return feed.filter(consumable(min_score, exchanges, score, price))
 
 
 def process_rows(rows: DataFrame, handler: Callable[[dict[str, Any]], None]) -> DataFrame:
@@ -61,17 +72,20 @@ def process_rows(rows: DataFrame, handler: Callable[[dict[str, Any]], None]) ->
     return rows.mapInArrow(run, OUTCOME_SCHEMA)
 
 
-def processing_totals(received: DataFrame, kept: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Rows received, filtered out, processed and failed, as one row."""
+def processing_totals(received: DataFrame, kept: Column, outcomes: DataFrame) -> DataFrame:
+    """Rows received, filtered out, processed and failed, as one row.
+
+    ``kept`` tells which received rows were kept; both are counted in one pass.
+    """
     counted = outcomes.agg(
         F.count_if(F.col("status") == "processed").alias("processed"),
         F.count_if(F.col("status") == "error").alias("errors"),
     )
-    total = received.agg(F.count(F.lit(1))).scalar()
-    remaining = kept.agg(F.count(F.lit(1))).scalar()
-    return counted.select(
-        total.alias("total_received"),
-        (total - remaining).alias("filtered_out"),
+    dropped = F.count_if(~F.coalesce(kept, F.lit(False)))
+    seen = received.agg(F.struct(F.count(F.lit(1)).alias("all"), dropped.alias("dropped"))).scalar()
+    return counted.withColumn("_seen", seen).select(
+        F.col("_seen.all").alias("total_received"),
+        F.col("_seen.dropped").alias("filtered_out"),
         "processed",
         "errors",
     )

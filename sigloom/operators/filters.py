@@ -26,12 +26,19 @@ def recent_window(
 ) -> DataFrame:
     """Rows not older than ``minutes`` before ``as_of`` (now if not given), bound included.
 
-    On a table laid out by day the same bound is put on the day column, so whole folders are pruned.
+    A given ``as_of`` is an upper bound as well, so a feed replayed for an earlier time shows nothing that
+    came later.  On a table laid out by day the same bounds are put on the day column, so whole folders are
+    pruned.
     """
-    start = moment(df, column, as_of) - F.make_dt_interval(mins=F.lit(minutes))
+    end = moment(df, column, as_of)
+    start = end - F.make_dt_interval(mins=F.lit(minutes))
     condition = F.col(column) >= start
+    if as_of is not None:
+        condition = condition & (F.col(column) <= end)
     if DATE_COLUMN in df.columns:
         condition = condition & (F.col(DATE_COLUMN) >= F.to_date(start))
+        if as_of is not None:
+            condition = condition & (F.col(DATE_COLUMN) <= F.to_date(end))
     return df.filter(condition)
 
 

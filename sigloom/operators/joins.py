@@ -7,6 +7,7 @@ sides that are one or two rows by construction.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from datetime import timedelta
 
@@ -46,9 +47,10 @@ def join_pair_by_symbol(facts: DataFrame, pairs: DataFrame) -> DataFrame:
 def join_exchange_params(rows: DataFrame, params: DataFrame) -> DataFrame:
     """Rows with the parameters of their exchange.
 
-    ``params`` holds one row per exchange, each made by a ``limit(1)``, hence the broadcast.
+    ``params`` holds one row per exchange.  That it is small is not taken on trust: Spark broadcasts it
+    where its estimated or measured size allows, and joins by sorting otherwise.
     """
-    return rows.join(F.broadcast(params), "exchange_id")
+    return rows.join(params, "exchange_id")
 
 
 def cross_best_params(rows: DataFrame, best: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -145,6 +147,33 @@ def _interval(length: timedelta) -> Column:
     return F.make_dt_interval(secs=F.lit(length.total_seconds()))
 
 
+def interval_pieces(
+    left: DataFrame,
+    right: DataFrame,
+    length: timedelta = timedelta(hours=1),
+    left_time: str = "timestamp",
+    right_time: str = "regime_time",
+    most: int = 64,
+) -> int:
+    """Into how many buckets the interval is best cut, from the density of both sides.
+
+    With ``k`` buckets an interval every right row is written ``k + 1`` times, and a left row meets
+    the right rows of ``1 + 1 / k`` intervals.  Together that is least where ``k`` squared is the number of
+    comparisons in one interval's length by the number of right rows.
+    """
+    left_rows = left.agg(F.count(left_time)).first()[0]
+    seen = right.agg(
+        F.count(right_time).alias("n"),
+        F.max(F.unix_micros(F.col(right_time).cast("timestamp"))).alias("last"),
+        F.min(F.unix_micros(F.col(right_time).cast("timestamp"))).alias("first"),
+    ).first()
+    if not left_rows or not seen["n"]:
+        return 1
+    micros = length / timedelta(microseconds=1)
+    within = seen["n"] * min(1.0, micros / max(1, seen["last"] - seen["first"]))
+    return max(1, min(most, round(math.sqrt(left_rows * within / seen["n"]))))
+
+
 def interval_join(
     left: DataFrame,
     right: DataFrame,
@@ -153,26 +182,54 @@ def interval_join(
     right_time: str = "regime_time",
     how: str = "left",
     salts: int = 1,
+    pieces: int = 1,
+    crowd: int | None = None,
 ) -> DataFrame:
     """Left rows with every right row not later than them and less than ``length`` earlier.
 
-    Time is cut into buckets of the interval's length.  A right row goes to its own bucket and the
-    next one; a left row only to its own.  That gives an equi-join on the bucket with the exact
-    range as residual, and no pair twice.
+    Time is cut into buckets, ``pieces`` to the interval's length (``interval_pieces`` measures how many
+    are best).  A right row goes to its own bucket and the ``pieces`` that follow; a left row only to its
+    own.  That gives an equi-join on the bucket with the exact range as residual, and no pair twice.
 
-    AQE splits a crowded bucket of a batch join.  Where it does not act, as in stateful streams,
-    ``salts`` deals the left rows of every bucket to that many tasks and copies the right rows.
+    ``crowd`` deals the left rows of a bucket with more of them than that to several tasks and copies the
+    right rows of these buckets alone; the buckets are counted first.  Where nothing can be counted, as in
+    stateful streams, ``salts`` deals the left rows of every bucket to that many tasks.
     """
-    bucket = _bucket(F.col(left_time), length)
-    home = _bucket(F.col(right_time), length)
-    salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)) if salts > 1 else F.lit(0)
-    bucketed = left.select("*", bucket.alias("_bucket"), salt.cast("int").alias("_salt"))
-    dealt = F.explode(F.array(*[F.lit(i) for i in range(salts)]))
-    spread = (
-        right.filter(F.col(right_time).isNotNull())
-        .select("*", F.explode(F.array(home, home + 1)).alias("_right_bucket"))
-        .select("*", dealt.alias("_right_salt"))
+    if crowd is not None and salts > 1:
+        raise ValueError("salts are for every bucket, a crowd for counted ones")
+    # Rounded up, so that an interval never reaches over more than ``pieces`` bounds.
+    width = timedelta(microseconds=-(-(length // timedelta(microseconds=1)) // pieces))
+    bucket = _bucket(F.col(left_time), width)
+    home = _bucket(F.col(right_time), width)
+    later = F.array(*[home + k for k in range(pieces + 1)])
+    bucketed = left.withColumn("_bucket", bucket)
+    spread = right.filter(F.col(right_time).isNotNull()).select(
+        "*", F.explode(later).alias("_right_bucket")
     )
+    place = F.xxhash64(*left.columns)
+    if crowd is not None:
+        crowds = (
+            bucketed.where(F.col("_bucket").isNotNull())
+            .groupBy("_bucket")
+            .agg(F.ceil(F.count(F.lit(1)) / crowd).cast("int").alias("_tasks"))
+            .where(F.col("_tasks") > 1)
+        )
+        dealt_to = F.coalesce("_tasks", F.lit(1))
+        bucketed = (
+            bucketed.join(crowds, "_bucket", "left")
+            .withColumn("_salt", F.pmod(place, dealt_to).cast("int"))
+            .drop("_tasks")
+        )
+        spread = (
+            spread.join(crowds.withColumnRenamed("_bucket", "_right_bucket"), "_right_bucket", "left")
+            .withColumn("_right_salt", F.explode(F.sequence(F.lit(0), dealt_to - 1)))
+            .drop("_tasks")
+        )
+    else:
+        salt = F.pmod(place, F.lit(salts)) if salts > 1 else F.lit(0)
+        bucketed = bucketed.withColumn("_salt", salt.cast("int"))
+        copies = F.array(*[F.lit(i) for i in range(salts)])
+        spread = spread.withColumn("_right_salt", F.explode(copies))
     condition = (
         (F.col("_bucket") == F.col("_right_bucket"))
         & (F.col("_salt") == F.col("_right_salt"))
@@ -227,33 +284,53 @@ def interval_labels(
     return bucketed.join(cover, "_bucket").filter(inside).drop("_bucket", "_from", "_until")
 
 
-def _with_signature(strategies: DataFrame) -> DataFrame:
-    """The two smallest required patterns as ``_a`` and ``_b``; fewer leave NULLs."""
-    ordered = F.sort_array(F.array_distinct("required_patterns"))
-    return strategies.filter(F.col("required_patterns").isNotNull()).select(
-        *strategies.columns,
-        F.get(ordered, F.lit(0)).alias("_a"),
-        F.get(ordered, F.lit(1)).alias("_b"),
-    )
+def pattern_signature(patterns: str) -> Column:
+    """64 bits, one set for each pattern of the list; a list holds another only if its bits do."""
+    bit = "shiftleft(1L, cast(pmod(xxhash64(x), 64) as int))"
+    return F.expr(f"aggregate({patterns}, 0L, (bits, x) -> bits | {bit})")
 
 
-def _with_signatures(signals: DataFrame) -> DataFrame:
-    """Each signal with every signature a required list within its patterns can have.
+def pattern_frequency(signals: DataFrame) -> DataFrame:
+    """``(pattern, n)``: how many signals carry each pattern; as small as the dictionary of patterns."""
+    carried = signals.select(F.explode(F.array_distinct("patterns")).alias("pattern"))
+    return carried.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"))
 
-    With the patterns sorted, these are all pairs in order, all single ones, and the empty one.
-    The list gets two NULLs at its end; ``_a`` runs over all but the last place and ``_b`` over
-    the places behind it, the second NULL serving only the first one.
+
+def indexed_strategies(strategies: DataFrame, frequency: DataFrame | None = None) -> DataFrame:
+    """Every strategy with its rarest required pattern as ``_index``, NULL if it requires none.
+
+    ``frequency`` (``pattern``, ``n``) counts the signals that carry a pattern; without it the strategies that
+    require it are counted, which deals them evenly.  A pattern not in it is the rarest of all.
     """
-    nothing = F.lit(None).cast("string")
-    known = F.sort_array(F.array_except("patterns", F.array(nothing)))
-    padded = signals.withColumn("_list", F.concat(known, F.array(nothing, nothing)))
-    first = F.slice("_list", F.lit(1), F.size("_list") - 1)
-    begun = padded.select("*", F.posexplode(first).alias("_place", "_a"))
-    behind = F.greatest(F.size("_list") - 2 - F.col("_place"), F.lit(1))
-    return begun.select(
-        *signals.columns,
-        "_a",
-        F.explode(F.slice("_list", F.col("_place") + 2, behind)).alias("_b"),
+    listed = strategies.filter(F.col("required_patterns").isNotNull()).withColumn(
+        "_strategy", F.monotonically_increasing_id()
+    )
+    needed = listed.select("*", F.explode_outer(F.array_distinct("required_patterns")).alias("_pattern"))
+    if frequency is None:
+        strategies_with = strategies.withColumnRenamed("required_patterns", "patterns")
+        frequency = pattern_frequency(strategies_with.select("patterns"))
+    counted = needed.join(
+        frequency.select(F.col("pattern").alias("_pattern"), "n"), "_pattern", "left"
+    )
+    rarity = F.when(
+        F.col("_pattern").isNotNull(), F.struct(F.coalesce("n", F.lit(0)).alias("n"), "_pattern")
+    )
+    return (
+        counted.groupBy("_strategy")
+        .agg(
+            F.min(rarity)["_pattern"].alias("_index"),
+            *[F.first(c).alias(c) for c in strategies.columns],
+        )
+        .select(*strategies.columns, "_index", pattern_signature("required_patterns").alias("_need"))
+    )
+
+
+def looking(signals: DataFrame) -> DataFrame:
+    """A row for each index a signal's strategies may have: its patterns, and NULL."""
+    nothing = F.array(F.lit(None).cast("string"))
+    owned = F.array_except("patterns", nothing)
+    return signals.withColumn("_have", pattern_signature("patterns")).select(
+        "*", F.explode(F.concat(owned, nothing)).alias("_look")
     )
 
 
@@ -261,23 +338,29 @@ def match_strategy(
     signals: DataFrame,
     strategies: DataFrame,
     keys: Sequence[str] = ("market_regime",),
+    frequency: DataFrame | None = None,
 ) -> DataFrame:
     """Signals with every strategy of equal keys whose required patterns they all have.
 
     ``signals`` has ``patterns``, ``strategies`` has ``required_patterns``; both have the keys.
     Joining on the keys alone would compare every signal of a regime with every strategy of it.
-    Here each strategy carries one signature, its two smallest required patterns, and each signal
-    all signatures its patterns allow; the equi-join on keys and signature meets a matching pair
-    exactly once, and only lists longer than two need the residual test.
+    Here a strategy is indexed under the rarest pattern it requires and a signal looks under each of its
+    own, so a pair meets at most once, and a signal makes as many rows as it has patterns and one.
+    Bits of the lists rule most false pairs out before the lists are compared.  ``signals`` should
+    be narrow: join what else is shown to the rows that are chosen.
     """
     clash = (set(signals.columns) & set(strategies.columns)) - set(keys)
     if clash:
         raise ValueError(f"columns on both sides: {sorted(clash)}")
+    looked = looking(signals)
     same = [F.col(f"signal.{k}") == F.col(f"strategy.{k}") for k in keys]
-    same += [F.col(f"signal.{p}").eqNullSafe(F.col(f"strategy.{p}")) for p in ("_a", "_b")]
-    offered = _with_signatures(signals).alias("signal")
-    joined = offered.join(_with_signature(strategies).alias("strategy"), same)
-    longer = F.size("strategy.required_patterns") > 2
+    same += [
+        F.col("signal._look").eqNullSafe(F.col("strategy._index")),
+        F.col("signal._have").bitwiseAND(F.col("strategy._need")) == F.col("strategy._need"),
+    ]
+    indexed = indexed_strategies(strategies, frequency).alias("strategy")
+    joined = looked.alias("signal").join(indexed, same)
+    longer = F.size("strategy.required_patterns") > 1
     joined = joined.filter(
         ~longer | contains_all("signal.patterns", "strategy.required_patterns")
     )
@@ -287,9 +370,11 @@ def match_strategy(
     )
 
 
-def match_strategy_typed(signals: DataFrame, strategies: DataFrame) -> DataFrame:
+def match_strategy_typed(
+    signals: DataFrame, strategies: DataFrame, frequency: DataFrame | None = None
+) -> DataFrame:
     """``match_strategy`` with the signal type as a second key."""
-    return match_strategy(signals, strategies, ("signal_type", "market_regime"))
+    return match_strategy(signals, strategies, ("signal_type", "market_regime"), frequency)
 
 
 def keyed_pattern_rows(bridge: DataFrame, patterns: DataFrame) -> DataFrame:

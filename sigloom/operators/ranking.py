@@ -79,24 +79,26 @@ def reversed_feed_order() -> list[Column]:
     return [F.asc_nulls_first("score_week"), F.asc_nulls_last("timestamp"), F.desc("id")]
 
 
-def sort_finished(df: DataFrame, key: str, *order: Column) -> DataFrame:
-    """A global sort of rows that were costly to make.
+def sort_finished(df: DataFrame, key: str, *order: Column, costly: bool = True) -> DataFrame:
+    """A global sort, of rows that were costly to make unless said otherwise.
 
     Spark samples the input of a global sort to find its ranges, which runs the stage in front of it
     twice.  Spreading the finished rows by their unique ``key`` first makes that stage a shuffle to
     read back; the rows are few compared with what they were made from.  A hash of the key is
     used, since a shuffle on the key itself would be planned away if the rows already lie that way.
+    Rows of a plain scan (``costly`` off) are sorted as they are: sampling them reads the sort columns
+    only.
     """
-    return df.repartition(F.xxhash64(key)).orderBy(*order)
+    return (df.repartition(F.xxhash64(key)) if costly else df).orderBy(*order)
 
 
-def order_feed(df: DataFrame) -> DataFrame:
-    return sort_finished(df, "id", *feed_order())
+def order_feed(df: DataFrame, costly: bool = True) -> DataFrame:
+    return sort_finished(df, "id", *feed_order(), costly=costly)
 
 
-def order_high(df: DataFrame) -> DataFrame:
+def order_high(df: DataFrame, costly: bool = True) -> DataFrame:
     order = [F.desc_nulls_first("total_score"), F.desc_nulls_first("timestamp"), F.asc("id")]
-    return sort_finished(df, "id", *order)
+    return sort_finished(df, "id", *order, costly=costly)
 
 
 def limit_feed(df: DataFrame, n: int = 5) -> DataFrame:
@@ -142,8 +144,12 @@ def batch_positions(df: DataFrame, batch: str, order: Sequence[Column], first: i
     )
 
 
-def replay_order(df: DataFrame, column: str = "signal_timestamp") -> DataFrame:
-    return sort_finished(df, "signal_id", F.asc(column), F.asc("signal_id"))
+def replay_order(
+    df: DataFrame, column: str = "signal_timestamp", costly: bool = True
+) -> DataFrame:
+    """Oldest first, rows without a time before all."""
+    order = [F.asc_nulls_first(column), F.asc("signal_id")]
+    return sort_finished(df, "signal_id", *order, costly=costly)
 
 
 def order_violations(

@@ -45,8 +45,9 @@ def high_score_feed(
 ) -> DataFrame:
     """Signals with a very high total score and one of the listed patterns.
 
-    Only listed patterns are shown and at least one is required, so an inner join with the
-    folded, already filtered bridge says the same as an existence test plus an outer join.
+    Only listed patterns are shown and at least one is required, so an inner join with the listed
+    bridge rows says the same as an existence test plus an outer join.  The signals are few and meet
+    the bridge before it is folded, so only their own bridge rows are moved.
     """
     recent = filters.high_total_score(
         _recent_active(catalog, config, as_of), config.total_score_threshold
@@ -58,9 +59,9 @@ def high_score_feed(
     bridge = strategies.since_first_id(catalog("sh_patterns"), recent)
     listed = filters.pattern_whitelist(catalog("signal_patterns"))
     folded = aggregates.collect_patterns(
-        joins.pattern_rows(bridge, listed), ["scoring_history_id"]
-    ).withColumnRenamed("scoring_history_id", "id")
-    return shaping.high_score_record(ranking.order_high(signals.join(folded, "id")))
+        joins.bridge_join(signals, bridge, listed), ["id"], [c for c in signals.columns if c != "id"]
+    )
+    return shaping.high_score_record(ranking.order_high(folded))
 
 
 def _eligible_pairs(catalog: Catalog) -> DataFrame:

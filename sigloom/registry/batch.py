@@ -7,9 +7,18 @@ from datetime import datetime, timedelta
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sigloom.config import enabled_exchanges
+from sigloom.config import HIGH_SCORE_PARAMETERS, enabled_exchanges
 from sigloom.functions import float_or_zero, iso_text, pattern_key, strategy_patterns
-from sigloom.operators import aggregates, consumer, filters, joins, ranking, sets, shaping
+from sigloom.operators import (
+    aggregates,
+    consumer,
+    filters,
+    joins,
+    positions,
+    ranking,
+    sets,
+    shaping,
+)
 from sigloom.plans import best_params, feeds, monitoring, strategies
 from sigloom.registry.base import (
     CONFIG,
@@ -26,10 +35,12 @@ from sigloom.registry.feeds import (
     DIAGNOSTIC,
     RECORD,
     SCORES,
+    alert_percent,
     priced_signals,
 )
 from sigloom.registry.streams import updates
 from sigloom.schemas import PARAMETER_COLUMNS
+from sigloom.session import working_folder
 from sigloom.sources import messages
 from sigloom.sources.catalog import scan_tables
 from sigloom.standins import AS_OF, DEFINITIONS
@@ -449,6 +460,12 @@ INTERVAL = (
     "from scoring_history f left join (select * from market_regime where timeframe = '15m') w "
     "on w.timestamp <= f.timestamp and f.timestamp < w.timestamp + interval '60' minute"
 )
+# As in production there is one regime a quarter of an hour, so a signal has four in the hour at most.
+TICKS = (
+    "select max(id) as regime_id, arg_max(timestamp, id) as regime_time, arg_max(regime, id) as "
+    "market_regime from market_regime where timeframe = '15m' "
+    "group by epoch_us(timestamp) // 900000000"
+)
 
 
 def quarter_hour_regimes(t):
@@ -459,13 +476,23 @@ def quarter_hour_regimes(t):
     )
 
 
+def regime_ticks(t):
+    """The newest regime of every quarter of an hour."""
+    quarter = F.floor(F.unix_micros(F.col("regime_time").cast("timestamp")) / 900_000_000)
+    newest = F.max(F.struct("regime_id", "regime_time", "market_regime"))
+    return quarter_hour_regimes(t).groupBy(quarter).agg(newest.alias("x")).select("x.*")
+
+
 @query(
     "J11_regime_interval",
-    f"select f.id, w.id as regime_id, w.regime as market_regime {INTERVAL}",
+    f"select f.id, w.regime_id, w.market_regime from scoring_history f left join ({TICKS}) w "
+    "on f.timestamp >= w.regime_time and f.timestamp - interval '60' minute < w.regime_time",
 )
 def j11(t):
-    facts = t("scoring_history").select("id", "timestamp")
-    rows = joins.interval_join(facts, quarter_hour_regimes(t), timedelta(hours=1))
+    facts, ticks = t("scoring_history").select("id", "timestamp"), regime_ticks(t)
+    hour = timedelta(hours=1)
+    pieces = joins.interval_pieces(facts, ticks, hour)
+    rows = joins.interval_join(facts, ticks, hour, pieces=pieces, crowd=100_000)
     return rows.select("id", "regime_id", "market_regime")
 
 
@@ -791,6 +818,102 @@ def w3(t):
     return best.select("signal_id", "market_regime", "strategy_name", "strategy_pnl")
 
 
+# --- records of whole tables, missing values included ------------------------------------------
+
+# Every signal with its patterns and its best strategy, either of which it may lack.
+CARRIED = (
+    "select scoring_history_id as id, list_sort(list(distinct pattern_type)) as patterns, "
+    "list_sort(list(distinct timeframe)) as timeframes from keyed group by scoring_history_id"
+)
+CHOSEN = (
+    "select s.signal_id as id, s.signal_type, s.market_regime, arg_max(struct_pack("
+    "strategy_name := g.strategy_name, sl_pct := g.sl_pct, ts_activation_pct := "
+    "g.ts_activation_pct, ts_callback_pct := g.ts_callback_pct, pnl := g.total_pnl_pct), "
+    f"struct_pack(pnl := g.total_pnl_pct, code := -g.code)) as best from ({PROFILED}) s "
+    "join (select *, row_number() over (order by strategy_name, signal_type, market_regime) as code "
+    "from chosen_strategies) g on g.market_regime = s.market_regime and g.signal_type = "
+    "s.signal_type and list_has_all(s.owned, g.needed) group by all"
+)
+TO_ZERO = ("total_score", "score_week", "score_month")
+_ZEROED = ", ".join(f"ifnull(f.{c}, 0) as {c}" for c in TO_ZERO)
+_TIMES = f"{iso('f.timestamp')} as timestamp, {iso('f.created_at')} as created_at"
+
+
+def chosen_strategy(t):
+    """For every signal that matches one its best strategy."""
+    rows = joins.match_strategy_typed(
+        profiled(t), best_strategy_rows(t), joins.pattern_frequency(pattern_lists(t))
+    )
+    return ranking.best_match_per_signal(rows.withColumnRenamed("total_pnl_pct", "strategy_pnl"))
+
+
+def pattern_lists(t):
+    return aggregates.collect_pattern_keys(
+        joins.keyed_pattern_rows(t("sh_patterns"), t("signal_patterns")), ["scoring_history_id"]
+    )
+
+
+@query(
+    "P2_high_score_record",
+    f"select f.id, f.trading_pair_id, f.pair_symbol, {_ZEROED}, {_TIMES}, f.exchange_id, "
+    "f.contract_type_id, ifnull(array_to_string(c.patterns, ','), '') as patterns, "
+    "ifnull(array_to_string(c.timeframes, ','), '') as timeframes, "
+    + ", ".join(
+        f"'{v}' as {k}" if isinstance(v, str) else f"{v!r}::{'double' if isinstance(v, float) else 'int'} as {k}"
+        for k, v in HIGH_SCORE_PARAMETERS.items()
+    )
+    + f" from paired f left join ({CARRIED}) c on c.id = f.id",
+)
+def p2(t):
+    """All signals; those without patterns have lists that are NULL before they become records."""
+    lists = aggregates.collect_patterns(
+        joins.pattern_rows(t("sh_patterns"), t("signal_patterns")), ["scoring_history_id"]
+    ).withColumnRenamed("scoring_history_id", "id")
+    return shaping.high_score_record(paired(t).join(lists, "id", "left"))
+
+
+@query(
+    "P3_optimized_record",
+    f"select f.id, f.trading_pair_id, f.pair_symbol, {_ZEROED}, {_TIMES}, f.exchange_id, "
+    "1 as contract_type_id, '' as patterns, '' as timeframes, "
+    "ifnull(c.signal_type, 'BUY') as recommended_action, ifnull(f.score_week, 0) as "
+    "score_week_filter, ifnull(f.score_month, 0) as score_month_filter, 10 as max_trades_filter, "
+    "ifnull(c.best.sl_pct, 0) as stop_loss_filter, ifnull(c.best.ts_activation_pct, 0) as "
+    "trailing_activation_filter, ifnull(c.best.ts_callback_pct, 0) as trailing_distance_filter, "
+    "ifnull(c.best.strategy_name, '') as strategy_name, ifnull(c.market_regime, '') as "
+    f"market_regime, ifnull(c.best.pnl, 0) as strategy_pnl from paired f left join ({CHOSEN}) c "
+    "on c.id = f.id",
+)
+def p3(t):
+    """All signals; without a strategy its numbers become 0 and its texts empty."""
+    chosen = chosen_strategy(t).select(
+        "signal_id",
+        F.col("signal_type").alias("strategy_signal_type"),
+        "market_regime",
+        "strategy_name",
+        "strategy_pnl",
+        "sl_pct",
+        "ts_activation_pct",
+        "ts_callback_pct",
+    )
+    signals = paired(t).withColumnsRenamed({"id": "signal_id", "timestamp": "signal_timestamp"})
+    return shaping.optimized_record(signals.join(chosen, "signal_id", "left"))
+
+
+@query(
+    "P9_alert_row",
+    "select f.id as signal_id, strftime(f.timestamp, '%Y-%m-%d %H:%M') as time, f.pair_symbol, "
+    f"c.signal_type, {alert_percent('c.best.pnl')} as pnl, c.best.sl_pct::varchar || '% / ' || "
+    "c.best.ts_activation_pct::varchar || '% / ' || c.best.ts_callback_pct::varchar || '%' as "
+    f"params, c.best.pnl > 300 as highlight from scoring_history f join ({CHOSEN}) c on c.id = f.id",
+)
+def p9(t):
+    signals = t("scoring_history").select(
+        F.col("id").alias("signal_id"), "pair_symbol", F.col("timestamp").alias("signal_timestamp")
+    )
+    return shaping.alert_row(signals.join(chosen_strategy(t), "signal_id"))
+
+
 @query("W4_top1_by_win_rate", "select summary_id, win_rate from best_first")
 def w4(t):
     return best_params.best_exchange_row(t("backtest_summary_binance")).select(
@@ -805,17 +928,45 @@ def w5(t):
     )
 
 
-@query("W6_order_feed", f"select id, score_week, {stamp('timestamp')} as timestamp from scoring_history")
+FEED_SQL_ORDER = "score_week desc nulls last, timestamp desc nulls first, id"
+
+
+def placed(df):
+    """The rows with their place in the frame's order, from 0."""
+    stored = positions.written_in_order(df, working_folder(df.sparkSession, "ordered"))
+    return positions.positioned(stored, positions.starts(positions.part_totals(stored)))
+
+
+@query(
+    "W6_order_feed",
+    f"select id, score_week, {stamp('timestamp')} as timestamp, row_number() over (order by "
+    f"{FEED_SQL_ORDER}) - 1 as pos from scoring_history",
+)
 def w6(t):
-    return ranking.order_feed(t("scoring_history").select("id", "score_week", "timestamp"))
+    facts = t("scoring_history").select("id", "score_week", "timestamp")
+    return placed(ranking.order_feed(facts, costly=False))
 
 
-@query("W7_order_high", f"select id, total_score, {stamp('timestamp')} as timestamp from scoring_history")
+@query(
+    "W7_order_high",
+    f"select id, total_score, {stamp('timestamp')} as timestamp, row_number() over (order by "
+    "total_score desc nulls first, timestamp desc nulls first, id) - 1 as pos from scoring_history",
+)
 def w7(t):
-    return ranking.order_high(t("scoring_history").select("id", "total_score", "timestamp"))
+    facts = t("scoring_history").select("id", "total_score", "timestamp")
+    return placed(ranking.order_high(facts, costly=False))
 
 
-FEED_SQL_ORDER = "score_week desc nulls last, timestamp desc nulls first, id"
+@query(
+    "W12_replay_order",
+    f"select id as signal_id, {stamp('timestamp')} as signal_timestamp, row_number() over (order by "
+    "timestamp nulls first, id) - 1 as pos from scoring_history",
+)
+def w12(t):
+    facts = t("scoring_history").select(
+        F.col("id").alias("signal_id"), F.col("timestamp").alias("signal_timestamp")
+    )
+    return placed(ranking.replay_order(facts, costly=False))
 
 
 @query(
@@ -921,10 +1072,9 @@ KEPT = CONSUMABLE.replace("in (1)", "in (1, 2)")
     "timestamp desc nulls first, id limit 100)",
 )
 def x2_totals(t):
-    received = priced_signals(t)
-    kept = consumer.consumer_filter(received, 0.7, [1, 2])
-    outcomes = consumer.process_rows(ranking.consumer_top(kept, 100), _handler())
-    return consumer.processing_totals(received, kept, outcomes)
+    received, good = priced_signals(t), consumer.consumable(0.7, [1, 2])
+    top = ranking.consumer_top(received.filter(good), 100)
+    return consumer.processing_totals(received, good, consumer.process_rows(top, _handler()))
 
 
 # --- change handling in batch form ----------------------------------------------------------

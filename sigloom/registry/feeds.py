@@ -65,16 +65,18 @@ LEGACY = (
     "b.stop_loss_filter, b.trailing_activation_filter, b.trailing_distance_filter "
     f"from paired p cross join legacy_best b where {RECENT} and is_active and pair_is_active"
 )
-# Profit with one decimal, ties to the even digit.
-TENTHS = "(cast(strategy_pnl as decimal(18,6)) * 10)"
-ROUNDED = (
-    f"(cast(floor({TENTHS}) as bigint) + case when {TENTHS} - floor({TENTHS}) > 0.5 or "
-    f"({TENTHS} - floor({TENTHS}) = 0.5 and cast(floor({TENTHS}) as bigint) % 2 = 1) "
-    "then 1 else 0 end)"
-)
+def alert_percent(column: str) -> str:
+    """A profit with one decimal and a percent sign, ties to the even digit."""
+    tenths = f"(cast({column} as decimal(18,6)) * 10)"
+    whole = f"cast(floor({tenths}) as bigint)"
+    up = f"{tenths} - floor({tenths}) > 0.5 or ({tenths} - floor({tenths}) = 0.5 and {whole} % 2 = 1)"
+    rounded = f"({whole} + case when {up} then 1 else 0 end)"
+    return f"cast({rounded} // 10 as varchar) || '.' || cast({rounded} % 10 as varchar) || '%'"
+
+
 ALERT = (
     "signal_id, strftime(signal_timestamp, '%Y-%m-%d %H:%M') as time, pair_symbol, signal_type, "
-    f"cast({ROUNDED} // 10 as varchar) || '.' || cast({ROUNDED} % 10 as varchar) || '%' as pnl, "
+    f"{alert_percent('strategy_pnl')} as pnl, "
     "cast(sl_pct as varchar) || '% / ' || cast(ts_activation_pct as varchar) || '% / ' || "
     "cast(ts_callback_pct as varchar) || '%' as params, strategy_pnl > 300 as highlight"
 )
@@ -163,30 +165,3 @@ def priced_signals(t):
         (F.col("score_month") / 100).alias("score"),
         F.col("last_24h_volume").alias("entry_price"),
     )
-
-
-@query(
-    "P2_high_score_record",
-    f"select {HIGH_RECORD} from high_rows",
-)
-def high_record(t):
-    return feeds.high_score_feed(t, CONFIG, AS_OF)
-
-
-@query("P3_optimized_record", f"select {OPTIMIZED_RECORD} from ({OPTIMIZED_ROWS})")
-def optimized_record(t):
-    return shaping.optimized_record(feeds.optimized_rows(t, CONFIG, AS_OF))
-
-
-@query("P9_alert_row", f"select {ALERT} from ({BEST_ROWS})")
-def alert_row(t):
-    return shaping.alert_row(feeds.best_signals(t, CONFIG, AS_OF))
-
-
-@query(
-    "W12_replay_order",
-    f"select signal_id, {stamp('signal_timestamp')} as signal_timestamp from ({BEST_ROWS})",
-)
-def replay(t):
-    rows = feeds.best_signals(t, CONFIG, AS_OF).select("signal_id", "signal_timestamp")
-    return ranking.replay_order(rows)

@@ -45,7 +45,7 @@ def test_errors_stop_nothing(spark):
         (3, "error", "no liquidity"),
         (7, "processed", None),
     ]
-    totals = consumer.processing_totals(feed(spark), kept, outcomes)
+    totals = consumer.processing_totals(feed(spark), consumer.consumable(), outcomes)
     assert rows(totals) == [(7, 4, 2, 1)]
 
 

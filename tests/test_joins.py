@@ -44,6 +44,14 @@ def test_interval_joins_equal_brute_force(spark, seed, length):
         expected = sorted(((i, r) for i, r, _ in pairs), key=repr)
         assert rows(joined, "id", "regime_id") == expected
 
+    for pieces, crowd in ((1, 4), (3, None), (7, 2), (64, 1)):
+        joined = joins.interval_join(left, right, length, how="inner", pieces=pieces, crowd=crowd)
+        assert rows(joined, "id", "regime_id") == expected
+
+    gapped = left.union(spark.createDataFrame([(99, None)], left.schema))
+    outer = joins.interval_join(gapped, right, length, pieces=5, crowd=3)
+    assert outer.filter("id = 99 and regime_id is null").count() == 1
+    assert outer.filter("regime_id is not null").count() == len(pairs)
     outer = joins.interval_join(left, right, length, salts=2).filter("regime_id is null")
     assert {r["id"] for r in outer.collect()} == {i for i, _ in facts} - {i for i, *_ in pairs}
 
@@ -75,6 +83,20 @@ def test_interval_join_is_an_equi_join(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_interval_pieces_follow_the_density(spark):
+    def ticks(count, name):
+        return spark.range(count).selectExpr(
+            f"timestamp_ntz'2024-01-01' + make_dt_interval(0, 0, 0, cast(id as double) * 86400 / {count}) as {name}"
+        )
+
+    crowded, thin = ticks(50_000, "timestamp"), ticks(96, "regime_time")
+    assert joins.interval_pieces(crowded, thin) > joins.interval_pieces(ticks(500, "timestamp"), thin) > 1
+    assert joins.interval_pieces(crowded, thin, most=4) == 4
+    assert joins.interval_pieces(crowded.limit(0), thin) == joins.interval_pieces(crowded, thin.limit(0)) == 1
+    with pytest.raises(ValueError):
+        joins.interval_join(crowded, thin, salts=2, crowd=5)
+
+
 def random_signals(seed, count, longest):
     pick = random.Random(seed)
     vocabulary = [f"P{i}_1h" for i in range(7)] + [None]
@@ -122,6 +144,25 @@ def test_strategy_match_equals_brute_force(spark, broadcast, longest):
     assert expected
 
 
+def test_signals_explode_in_proportion_to_their_patterns(spark):
+    """A signal looks under each of its patterns and once for strategies that require none."""
+    patterns = [f"P{k}" for k in range(40)]
+    left = spark.createDataFrame([(1, "BULL", patterns)], "signal_id int, market_regime string, patterns array<string>")
+    needs = [[], ["P3"], ["P3", "P9"], ["P3", "absent"], patterns, ["P9", "P9"]]
+    right = spark.createDataFrame(
+        [(f"s{k}", "BULL", need) for k, need in enumerate(needs)],
+        "strategy_name string, market_regime string, required_patterns array<string>",
+    )
+    frequency = spark.createDataFrame([(p, 100 - k) for k, p in enumerate(patterns)], "pattern string, n long")
+    indexed = joins.indexed_strategies(right, frequency)
+    assert rows(indexed, "strategy_name", "_index") == [
+        ("s0", None), ("s1", "P3"), ("s2", "P9"), ("s3", "absent"), ("s4", "P39"), ("s5", "P9"),
+    ]
+    got = joins.match_strategy(left, right, frequency=frequency)
+    assert rows(got, "strategy_name") == [("s0",), ("s1",), ("s2",), ("s4",), ("s5",)]
+    assert joins.looking(left).count() == len(patterns) + 1
+
+
 def test_reduced_strategies_show_the_same_best_match(spark):
     pick = random.Random(5)
     parameters = spark.createDataFrame(
