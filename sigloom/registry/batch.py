@@ -22,9 +22,18 @@ from sigloom.operators import (
 from sigloom.plans import best_params, feeds, monitoring, strategies
 from sigloom.registry.base import (
     CONFIG,
+    HIGH,
+    HIGHEST_RATE,
+    LISTED,
+    LIVE,
     NOW,
     PARAMETERS,
+    QUIET,
     RECENT,
+    SCOPED,
+    SCORED,
+    STANDARD,
+    VARIANTS,
     WINDOW_MINUTES,
     iso,
     joined_list,
@@ -256,15 +265,15 @@ def p10(t):
 IDS = "select id from scoring_history where"
 
 
-@query("F1_score_threshold", f"{IDS} score_week > 50 and score_month > 50")
+@query("F1_score_threshold", f"{IDS} {SCORED}")
 def f1(t):
     return filters.score_threshold(t("scoring_history")).select("id")
 
 
 @query(
     "F2_param_threshold",
-    "select id from with_params where score_week > score_week_filter "
-    "and score_month > score_month_filter",
+    "select id from with_params where score_week - score_week_filter > 0 "
+    "and score_month - score_month_filter > 0",
 )
 def f2(t):
     return filters.param_threshold(with_params(t)).select("id")
@@ -276,19 +285,19 @@ def f3(t):
     return filters.on_exchanges(t("trading_pairs"), chosen).select("id", "exchange_id")
 
 
-@query("F4_exclude_hours", f"{IDS} hour(timestamp) not between 0 and 1")
+@query("F4_exclude_hours", f"{IDS} hour(timestamp) not in {QUIET}")
 def f4(t):
     return filters.exclude_hours(t("scoring_history")).select("id")
 
 
-@query("F5_active_pair_and_signal", "select id from paired where is_active and pair_is_active")
+@query("F5_active_pair_and_signal", f"select id from paired where {LIVE}")
 def f5(t):
     return filters.active_rows(paired(t), "is_active", "pair_is_active").select("id")
 
 
 @query(
     "F6_market_scope",
-    "select id from trading_pairs where exchange_id = 1 and contract_type_id = 1",
+    f"select id from trading_pairs where {SCOPED}",
 )
 def f6(t):
     return filters.market_scope(t("trading_pairs")).select("id")
@@ -296,23 +305,22 @@ def f6(t):
 
 @query(
     "F7_pattern_whitelist",
-    "select scoring_history_id, signal_patterns_id from keyed where pattern_type in "
-    "('SQUEEZE_IGNITION', 'OI_EXPLOSION') and timeframe in ('15m', '1h', '4h')",
+    f"select scoring_history_id, signal_patterns_id from keyed where {LISTED}",
 )
 def f7(t):
     rows = joins.pattern_rows(t("sh_patterns"), t("signal_patterns"))
     return filters.pattern_whitelist(rows).select("scoring_history_id", "signal_patterns_id")
 
 
-@query("F8_high_total_score", f"{IDS} total_score > 250")
+@query("F8_high_total_score", f"{IDS} {HIGH}")
 def f8(t):
     return filters.high_total_score(t("scoring_history")).select("id")
 
 
 @query(
     "F9_near_best_pnl",
-    "select summary_id, total_pnl_usd from backtest_summary where total_pnl_usd >= "
-    "(select max(total_pnl_usd) from backtest_summary) * 0.95",
+    f"select summary_id, total_pnl_usd from (select *, {CONFIG.near_best_share} * "
+    "max(total_pnl_usd) over () as least from backtest_summary) where total_pnl_usd >= least",
 )
 def f9(t):
     return filters.near_best_pnl(t("backtest_summary")).select("summary_id", "total_pnl_usd")
@@ -320,17 +328,18 @@ def f9(t):
 
 @query(
     "F10_min_strategy_pnl",
-    "select strategy_name, total_pnl_pct from best_parameters where total_pnl_pct > 180",
+    "select strategy_name, total_pnl_pct from best_parameters "
+    f"where total_pnl_pct > {CONFIG.min_strategy_pnl}",
 )
 def f10(t):
     return filters.min_strategy_pnl(t("best_parameters")).select("strategy_name", "total_pnl_pct")
 
 
 TYPED_REGIMES = (
-    "select f.id, o.signal_type, w.regime as market_regime from scoring_history f "
-    "left join scoring_history_results_v2 o on f.id = o.scoring_history_id "
-    "left join sh_regime v on f.id = v.scoring_history_id "
-    "left join market_regime w on v.signal_regime_id = w.id"
+    "select f.id, signal_type, market_regime from scoring_history f left join "
+    "(select scoring_history_id as id, signal_type from scoring_history_results_v2) using (id) "
+    "left join (select scoring_history_id as id, regime as market_regime from sh_regime left join "
+    "market_regime w on w.id = signal_regime_id) using (id)"
 )
 
 
@@ -396,8 +405,8 @@ def j4(t):
 
 @query(
     "J5_exists_pattern",
-    "select id from scoring_history where id in (select scoring_history_id from keyed where "
-    "pattern_type in ('OI_EXPLOSION', 'SQUEEZE_IGNITION') and timeframe in ('15m', '1h', '4h'))",
+    f"select f.id from scoring_history f semi join (select * from keyed where {LISTED}) k "
+    "on k.scoring_history_id = f.id",
 )
 def j5(t):
     listed = filters.pattern_whitelist(t("signal_patterns"))
@@ -428,9 +437,9 @@ def j7(t):
 @query(
     "J8_left_join_with_on_filter",
     "select f.id, l.signal_patterns_id, p.pattern_type, p.timeframe from scoring_history f "
-    "left join sh_patterns l on f.id = l.scoring_history_id left join (select * from "
-    "signal_patterns where pattern_type in ('OI_EXPLOSION', 'SQUEEZE_IGNITION') "
-    "and timeframe in ('15m', '1h', '4h')) p on l.signal_patterns_id = p.id",
+    "left join sh_patterns l on l.scoring_history_id = f.id left join (select id as number, "
+    f"pattern_type, timeframe from signal_patterns where {LISTED}) p "
+    "on p.number = l.signal_patterns_id",
 )
 def j8(t):
     listed = filters.pattern_whitelist(t("signal_patterns"))
@@ -517,15 +526,6 @@ def j12(t):
     )
 
 
-PROFILED = (
-    "select k.scoring_history_id as signal_id, list(distinct k.pattern_key) as owned, "
-    "o.signal_type, w.regime as market_regime from keyed k "
-    "join scoring_history_results_v2 o using (scoring_history_id) "
-    "join sh_regime v using (scoring_history_id) "
-    "join market_regime w on v.signal_regime_id = w.id group by all"
-)
-
-
 def profiled(t):
     """Every signal with its patterns, its result's type and its linked regime."""
     rows = aggregates.collect_pattern_keys(
@@ -543,15 +543,15 @@ def profiled(t):
 
 
 MATCHED = (
-    f"from ({PROFILED}) s join chosen_strategies g on g.market_regime = s.market_regime "
-    "and list_has_all(s.owned, g.needed)"
+    "from linked_matches m join strategies g using (code, market_regime) "
+    "join scoring_history_results_v2 o on o.scoring_history_id = m.id"
 )
 
 
 @query(
     "J13_match_strategy",
-    "select s.signal_id, s.market_regime, g.strategy_name, g.signal_type as "
-    f"strategy_signal_type, g.total_pnl_pct {MATCHED}",
+    "select m.id as signal_id, market_regime, g.strategy_name, g.signal_type as "
+    f"strategy_signal_type, g.pnl as total_pnl_pct {MATCHED}",
 )
 def j13(t):
     signals = profiled(t).drop("signal_type")
@@ -567,8 +567,8 @@ def j13(t):
 
 @query(
     "J14_match_strategy_typed",
-    "select s.signal_id, s.signal_type, s.market_regime, g.strategy_name, g.total_pnl_pct "
-    f"{MATCHED} and g.signal_type = s.signal_type",
+    "select m.id as signal_id, o.signal_type, market_regime, g.strategy_name, g.pnl as "
+    f"total_pnl_pct {MATCHED} where g.signal_type = o.signal_type",
 )
 def j14(t):
     rows = joins.match_strategy_typed(profiled(t), best_strategy_rows(t))
@@ -594,8 +594,7 @@ PROBE = f"select max(id) as max_id, {stamp('max(timestamp)')} as max_timestamp,
 
 @query(
     "A1_change_probe",
-    f"{PROBE} from paired where {RECENT} and is_active and pair_is_active and score_week > 50 "
-    "and score_month > 50",
+    f"{PROBE} from paired where {SCORED} and {LIVE} and {RECENT}",
 )
 def a1(t):
     return aggregates.change_probe(
@@ -605,9 +604,7 @@ def a1(t):
 
 @query(
     "A1_probe_from_query",
-    f"{PROBE} from with_params where {RECENT} and is_active and pair_is_active and score_week > "
-    "score_week_filter and score_month > score_month_filter and "
-    "hour(timestamp) not between 0 and 1",
+    f"{PROBE} from with_params where {STANDARD}",
 )
 def a1_safe(t):
     return aggregates.probe_from_query(feeds.standard_rows(t, CONFIG, AS_OF))
@@ -615,8 +612,7 @@ def a1_safe(t):
 
 @query(
     "A2_change_probe_high",
-    f"{PROBE} from paired where {RECENT} and is_active and pair_is_active and total_score > 250 "
-    "and exchange_id = 1 and contract_type_id = 1",
+    f"{PROBE} from paired where {HIGH} and {LIVE} and {SCOPED} and {RECENT}",
 )
 def a2(t):
     return aggregates.change_probe_high(
@@ -787,8 +783,8 @@ def a13(t):
 
 @query(
     "W1_best_per_pnl",
-    "select distinct on (total_pnl_usd) summary_id, win_rate, total_pnl_usd from backtest_summary "
-    "order by total_pnl_usd desc, win_rate desc nulls first, summary_id",
+    f"select first(summary_id order by {HIGHEST_RATE}) as summary_id, first(win_rate order by "
+    f"{HIGHEST_RATE}) as win_rate, total_pnl_usd from backtest_summary group by total_pnl_usd",
 )
 def w1(t):
     return ranking.best_per_pnl(t("backtest_summary")).select(
@@ -798,9 +794,10 @@ def w1(t):
 
 @query(
     "W2_best_strategy_variant",
-    "select distinct on (strategy_name, signal_type, market_regime) * from best_parameters "
-    "order by strategy_name, signal_type, market_regime, total_pnl_pct desc nulls first, sl_pct, "
-    "ts_activation_pct, ts_callback_pct",
+    "select strategy_name, signal_type, market_regime, max(total_pnl_pct) as total_pnl_pct, "
+    f"first(sl_pct order by {VARIANTS}) as sl_pct, first(ts_activation_pct order by {VARIANTS}) as "
+    f"ts_activation_pct, first(ts_callback_pct order by {VARIANTS}) as ts_callback_pct "
+    "from best_parameters group by strategy_name, signal_type, market_regime",
 )
 def w2(t):
     return ranking.best_strategy_variant(t("best_parameters"))
@@ -808,9 +805,8 @@ def w2(t):
 
 @query(
     "W3_best_match_per_signal",
-    "select distinct on (s.signal_id) s.signal_id, s.market_regime, g.strategy_name, "
-    f"g.total_pnl_pct as strategy_pnl {MATCHED} and g.signal_type = s.signal_type order by "
-    "s.signal_id, strategy_pnl desc, g.strategy_name, g.signal_type, g.market_regime",
+    "select id as signal_id, market_regime, strategy_name, pnl as strategy_pnl "
+    "from linked_typed_best join strategies using (code)",
 )
 def w3(t):
     rows = joins.match_strategy_typed(profiled(t), best_strategy_rows(t))
@@ -825,15 +821,7 @@ CARRIED = (
     "select scoring_history_id as id, list_sort(list(distinct pattern_type)) as patterns, "
     "list_sort(list(distinct timeframe)) as timeframes from keyed group by scoring_history_id"
 )
-CHOSEN = (
-    "select s.signal_id as id, s.signal_type, s.market_regime, arg_max(struct_pack("
-    "strategy_name := g.strategy_name, sl_pct := g.sl_pct, ts_activation_pct := "
-    "g.ts_activation_pct, ts_callback_pct := g.ts_callback_pct, pnl := g.total_pnl_pct), "
-    f"struct_pack(pnl := g.total_pnl_pct, code := -g.code)) as best from ({PROFILED}) s "
-    "join (select *, row_number() over (order by strategy_name, signal_type, market_regime) as code "
-    "from chosen_strategies) g on g.market_regime = s.market_regime and g.signal_type = "
-    "s.signal_type and list_has_all(s.owned, g.needed) group by all"
-)
+CHOSEN = "(select * from linked_typed_best join strategies using (code))"
 TO_ZERO = ("total_score", "score_week", "score_month")
 _ZEROED = ", ".join(f"ifnull(f.{c}, 0) as {c}" for c in TO_ZERO)
 _TIMES = f"{iso('f.timestamp')} as timestamp, {iso('f.created_at')} as created_at"
@@ -878,10 +866,10 @@ def p2(t):
     "1 as contract_type_id, '' as patterns, '' as timeframes, "
     "ifnull(c.signal_type, 'BUY') as recommended_action, ifnull(f.score_week, 0) as "
     "score_week_filter, ifnull(f.score_month, 0) as score_month_filter, 10 as max_trades_filter, "
-    "ifnull(c.best.sl_pct, 0) as stop_loss_filter, ifnull(c.best.ts_activation_pct, 0) as "
-    "trailing_activation_filter, ifnull(c.best.ts_callback_pct, 0) as trailing_distance_filter, "
-    "ifnull(c.best.strategy_name, '') as strategy_name, ifnull(c.market_regime, '') as "
-    f"market_regime, ifnull(c.best.pnl, 0) as strategy_pnl from paired f left join ({CHOSEN}) c "
+    "ifnull(c.sl_pct, 0) as stop_loss_filter, ifnull(c.ts_activation_pct, 0) as "
+    "trailing_activation_filter, ifnull(c.ts_callback_pct, 0) as trailing_distance_filter, "
+    "ifnull(c.strategy_name, '') as strategy_name, ifnull(c.market_regime, '') as "
+    f"market_regime, ifnull(c.pnl, 0) as strategy_pnl from paired f left join {CHOSEN} c "
     "on c.id = f.id",
 )
 def p3(t):
@@ -903,9 +891,9 @@ def p3(t):
 @query(
     "P9_alert_row",
     "select f.id as signal_id, strftime(f.timestamp, '%Y-%m-%d %H:%M') as time, f.pair_symbol, "
-    f"c.signal_type, {alert_percent('c.best.pnl')} as pnl, c.best.sl_pct::varchar || '% / ' || "
-    "c.best.ts_activation_pct::varchar || '% / ' || c.best.ts_callback_pct::varchar || '%' as "
-    f"params, c.best.pnl > 300 as highlight from scoring_history f join ({CHOSEN}) c on c.id = f.id",
+    f"c.signal_type, {alert_percent('c.pnl')} as pnl, c.sl_pct::varchar || '% / ' || "
+    "c.ts_activation_pct::varchar || '% / ' || c.ts_callback_pct::varchar || '%' as "
+    f"params, c.pnl > 300 as highlight from scoring_history f join {CHOSEN} c on c.id = f.id",
 )
 def p9(t):
     signals = t("scoring_history").select(
@@ -1088,7 +1076,7 @@ CHANGED_BEFORE = (
 
 @query(
     "F13_changed_scores",
-    f"select id from ({CHANGED_BEFORE}) where score_week > 50 and score_month > 50 and "
+    f"select id from ({CHANGED_BEFORE}) where {SCORED} and "
     "(score_week is distinct from old_score_week or is_active is distinct from old_is_active)",
 )
 def f13(t):
@@ -1097,8 +1085,7 @@ def f13(t):
 
 @query(
     "F14_qualifying_event",
-    f"select id from paired where is_active and pair_is_active and score_week > 50 and "
-    f"score_month > 50 and {RECENT}",
+    f"select id from paired where {SCORED} and {LIVE} and {RECENT}",
 )
 def f14(t):
     rows = joins.event_pair_lookup(t("scoring_history"), t("trading_pairs"))

@@ -4,9 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sigloom.config import HIGH_SCORE_PARAMETERS
 from sigloom.operators import joins, ranking, shaping
 from sigloom.plans import feeds
-from sigloom.registry.base import CONFIG, LEGACY_CONFIG, RECENT, iso, joined_list, query, stamp
+from sigloom.registry.base import (
+    CONFIG,
+    LEGACY_CONFIG,
+    LIVE,
+    PARAMETERS,
+    RECENT,
+    SCORED,
+    STANDARD,
+    iso,
+    joined_list,
+    query,
+    quoted,
+    stamp,
+)
 from sigloom.standins import AS_OF
 
 SCORES = (
@@ -22,11 +36,9 @@ NULLED = (
     "nullif(trailing_distance_filter, 0) as trailing_distance_filter"
 )
 RECORD = f"id, pair_symbol, recommended_action, {SCORES}, trading_pair_id, exchange_id, {NULLED}"
-CONSTANTS = (
-    "'BUY' as recommended_action, 100 as score_week_filter, 100 as score_month_filter, "
-    "100 as max_trades_filter, cast(4 as double) as stop_loss_filter, "
-    "cast(48 as double) as trailing_activation_filter, "
-    "cast(1 as double) as trailing_distance_filter"
+CONSTANTS = ", ".join(
+    f"{repr(v) if isinstance(v, str) else v}{'::double' if isinstance(v, float) else ''} as {k}"
+    for k, v in HIGH_SCORE_PARAMETERS.items()
 )
 HIGH_RECORD = (
     "id, trading_pair_id, pair_symbol, coalesce(total_score, 0) as total_score, "
@@ -46,25 +58,23 @@ OPTIMIZED_RECORD = (
     "strategy_pnl"
 )
 OPTIMIZED_ROWS = (
-    "select distinct on (s.signal_id) s.* exclude (owned), g.strategy_name, "
-    "g.signal_type as strategy_signal_type, g.sl_pct, g.ts_activation_pct, g.ts_callback_pct, "
-    "g.total_pnl_pct as strategy_pnl from optimized_signals s join chosen_strategies g "
-    "on g.market_regime = s.market_regime and list_has_all(s.owned, g.needed) "
-    "order by s.signal_id, strategy_pnl desc, g.strategy_name, g.signal_type, "
-    "s.market_regime, s.trading_pair_id"
+    "select f.id as signal_id, pair_id as trading_pair_id, pair_symbol, total_score, score_week, "
+    "score_month, f.timestamp as signal_timestamp, created_at, exchange_id, strategy_name, "
+    "signal_type as strategy_signal_type, market_regime, sl_pct, ts_activation_pct, "
+    "ts_callback_pct, pnl as strategy_pnl from linked_best join strategies using (code) "
+    "join scoring_history f using (id) join scoped_symbols using (pair_symbol) "
+    f"where f.id in (select id from several) and f.{RECENT}"
 )
 BEST_ROWS = (
-    "select distinct on (s.signal_id) s.* exclude (owned), g.strategy_name, g.sl_pct, "
-    "g.ts_activation_pct, g.ts_callback_pct, g.total_pnl_pct as strategy_pnl "
-    "from typed_signals s join chosen_strategies g on g.signal_type = s.signal_type "
-    "and g.market_regime = s.market_regime and list_has_all(s.owned, g.needed) "
-    "order by s.signal_id, strategy_pnl desc, g.strategy_name, g.signal_type, g.market_regime"
-)
-LEGACY = (
-    "select p.*, b.score_week_filter, b.score_month_filter, b.max_trades_filter, "
-    "b.stop_loss_filter, b.trailing_activation_filter, b.trailing_distance_filter "
-    f"from paired p cross join legacy_best b where {RECENT} and is_active and pair_is_active"
+    "select f.id as signal_id, pair_symbol, f.timestamp as signal_timestamp, signal_type, "
+    "total_score, market_regime, strategy_name, sl_pct, ts_activation_pct, ts_callback_pct, "
+    "pnl as strategy_pnl from hour_typed_best join strategies using (code) "
+    "join scoring_history f using (id) where f.id in (select id from several) "
+    "and pair_symbol in (select pair_symbol from scoped_symbols)"
 )
+LEGACY = f"select * from paired, (select {PARAMETERS} from legacy_best) where {RECENT} and {LIVE}"
+
+
 def alert_percent(column: str) -> str:
     """A profit with one decimal and a percent sign, ties to the even digit."""
     tenths = f"(cast({column} as decimal(18,6)) * 10)"
@@ -89,9 +99,8 @@ DIAGNOSTIC = (
 
 @query(
     "Q_STD",
-    f"select {RECORD} from with_params where {RECENT} and is_active and pair_is_active "
-    "and score_week > score_week_filter and score_month > score_month_filter "
-    "and hour(timestamp) not between 0 and 1 and exchange_id in (1, 2)",
+    f"select {RECORD} from with_params where {STANDARD} "
+    f"and exchange_id in {quoted(CONFIG.exchanges)}",
 )
 def standard(t):
     return feeds.standard_feed(t, CONFIG, AS_OF)
@@ -121,14 +130,18 @@ def best_alerts(t):
     return feeds.best_signal_alerts(t, CONFIG, AS_OF)
 
 
-@query("Q_LEGACY", f"select {RECORD} from ({LEGACY} and score_week > 55 and score_month > 55)")
+@query(
+    "Q_LEGACY",
+    f"select {RECORD} from ({LEGACY}) where least(score_week, score_month) > "
+    f"{LEGACY_CONFIG.score_threshold} and score_week + score_month is not null",
+)
 def legacy(t):
     return feeds.legacy_feed(t, LEGACY_CONFIG, AS_OF)
 
 
 @query(
     "Q_LEGACY5",
-    f"select {RECORD} from (select * from ({LEGACY} and score_week > 50 and score_month > 50) "
+    f"select {RECORD} from (select * from ({LEGACY}) where {SCORED} "
     "order by score_week desc nulls last, timestamp desc nulls first, id limit 5)",
 )
 def legacy_five(t):
@@ -137,8 +150,7 @@ def legacy_five(t):
 
 @query(
     "Q_DIAG",
-    f"select {DIAGNOSTIC} from paired where {RECENT} and is_active and pair_is_active "
-    "and score_week > 50 and score_month > 50",
+    f"select {DIAGNOSTIC} from paired where {SCORED} and {LIVE} and {RECENT}",
 )
 def diagnostic(t):
     return feeds.diagnostic_feed(t, CONFIG, AS_OF)

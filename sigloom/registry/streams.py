@@ -11,7 +11,17 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from sigloom.operators import aggregates, joins, ranking, shaping
 from sigloom.plans import feeds, monitoring
-from sigloom.registry.base import CONFIG, RECENT, WINDOW_MINUTES, iso, stamp, stream_query
+from sigloom.registry.base import (
+    CONFIG,
+    LIVE,
+    RECENT,
+    SCORED,
+    STANDARD,
+    WINDOW_MINUTES,
+    iso,
+    stamp,
+    stream_query,
+)
 from sigloom.registry.feeds import DIAGNOSTIC, RECORD
 from sigloom.session import working_folder
 from sigloom.sources import changes, sinks
@@ -48,7 +58,8 @@ def staged(
     """
     spark = rows.sparkSession
     root = working_folder(spark, purpose)
-    ranked = rows.withColumn("_at", order)
+    rows.withColumn("_at", order).write.parquet(f"{root}/all")
+    ranked = spark.read.parquet(f"{root}/all")
     cuts = ranked.approxQuantile("_at", [k / batches for k in range(1, batches)], 0.001)
     bounds = [None, *cuts, None]
     for number, (low, high) in enumerate(pairwise(bounds)):
@@ -118,9 +129,7 @@ EVENT_TEXT = (
     f"'score_month': score_month, 'timestamp': {iso('timestamp')}, "
     "'action': recommended_action}}) as varchar)"
 )
-QUALIFYING = (
-    f"is_active and pair_is_active and score_week > 50 and score_month > 50 and {RECENT}"
-)
+QUALIFYING = f"{SCORED} and {LIVE} and {RECENT}"
 MOVED = "id % 4 <> 0 or id % 8 = 0"
 
 
@@ -185,14 +194,7 @@ def numbered(columns: str, order: str = FEED_ORDER) -> str:
     return f"{columns}, row_number() over (order by {order}) - 1 as pos"
 
 
-STANDARD = (
-    f"select {numbered(RECORD)} from with_params where {RECENT} and is_active and pair_is_active "
-    "and score_week > score_week_filter and score_month > score_month_filter "
-    "and hour(timestamp) not between 0 and 1"
-)
-
-
-@stream_query("T3_snapshot_refresh", STANDARD)
+@stream_query("T3_snapshot_refresh", f"select {numbered(RECORD)} from with_params where {STANDARD}")
 def t3(spark, folder, t):
     root = working_folder(spark, "refresh")
     table = sinks.SnapshotTable(spark, f"{root}/snapshot")

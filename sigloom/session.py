@@ -8,9 +8,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Settings the plans rely on.  Partition counts are left to AQE: it starts from
-# ``initialPartitionNum`` and coalesces to ``advisoryPartitionSizeInBytes``, so the same job fits
-# a laptop and a cluster.  Joins carry no size-blind broadcast hints; a side is broadcast only when
+# Settings the plans rely on.  AQE starts from ``spark.sql.shuffle.partitions`` and merges what is small to
+# ``advisoryPartitionSizeInBytes``; it never makes more of them.  On a cluster set that number to the
+# largest shuffle by the advisory size (Spark's own 200 are meant for some 25 GB).  Joins carry no size-blind broadcast hints; a side is broadcast only when
 # its estimated or measured size is under the threshold, and sort-merge joins split skewed keys.
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",

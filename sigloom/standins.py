@@ -181,7 +181,6 @@ def _source(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def standin_catalog(spark: SparkSession, folder: str) -> Catalog:
     """The signal tables over the test data in ``folder``; a table is read when first asked for."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
 
     @functools.cache
     def table(name: str) -> DataFrame:
