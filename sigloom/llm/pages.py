@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 from array import array
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -64,24 +65,41 @@ WHOLE = {"html", "body", *CONTENT}
 #: Neighbours sharing at least this part of a page's lines are taken for copies of it.
 COPY_SHARE = 0.9
 
-_TAG = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>",
-    re.S,
-)
+# Nothing in these gives back what it took, so a match takes time in proportion to its length.  A name ends
+# before a quote only where the tag would not end otherwise.
+_REST = r"[^>\"']*+(?:\"[^\"]*+\"[^>\"']*+|'[^']*+'[^>\"']*+)*+"
+_OTHER = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*+>", re.S)
+_NAMES = [re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)"), re.compile(r"<(/?)([a-zA-Z][^\s/>\"']*+)")]
+_TAG = re.compile(rf"{_NAMES[0].pattern}({_REST})>")
+_SIGN = re.compile(r"[<>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _SPACE = re.compile(r"\s+")
 _URL = re.compile(r"(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)")
 
 
 class Element:
-    """An open element; ``marked`` are the elements around it, or itself, that a class makes furniture."""
+    """An element and the one around it; ``marked`` where a class makes it furniture.
+
+    ``near`` is the innermost marked element among it and those around it; ``hidden`` is set when the page
+    has been read: whether it lies in a marked element that nothing has cleared.
+    """
 
-    __slots__ = ("name", "content", "furniture", "marked", "cleared")
+    __slots__ = ("name", "content", "furniture", "around", "marked", "near", "cleared", "hidden")
 
-    def __init__(self, name: str, content: bool, furniture: bool, marked: tuple[Element, ...]):
-        self.name, self.content, self.furniture, self.marked = name, content, furniture, marked
-        self.cleared = False
+    def __init__(
+        self, name: str, content: bool, furniture: bool, around: Element | None, marked: bool = False
+    ):
+        self.name, self.content, self.furniture = name, content, furniture
+        self.around, self.marked = around, marked
+        self.near: Element | None = self if marked else around and around.near
+        self.cleared = self.hidden = False
+
+    def clear(self) -> None:
+        """Not furniture by class, nor is any element around it.  Beyond a cleared one all are."""
+        x = self.near
+        while x is not None and not x.cleared:
+            x.cleared = True
+            x = x.around and x.around.near
 
 
 class Line:
@@ -100,7 +118,7 @@ class Line:
 
     @property
     def furniture(self) -> bool:
-        return self.owner.furniture or any(not x.cleared for x in self.owner.marked)
+        return self.owner.furniture or self.owner.hidden
 
     def digest(self) -> int:
         return xxhash.xxh3_64_intdigest(f"{self.tag}\n{self.text}") - (1 << 63)
@@ -116,13 +134,75 @@ def class_names(attributes: str) -> set[str]:
     return found
 
 
+class Tags:
+    """The tags of a page in order, in time proportional to its length whatever is broken in it.
+
+    A tag that does not end costs a look at the rest of the page.  The first one that is met makes a table of
+    where a tag ends that reads on from each sign (``<``, ``>`` or a quote), from the last to the
+    first: a quote leads on to the sign behind its partner.  Later ones are looked up.
+    """
+
+    def __init__(self, html: str):
+        self.html = html
+        self.last = html.rfind(">")
+        self.signs: list[int] = []
+        self.ends: list[int] | None = None
+
+    def _closing(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag read from ``at`` on, or -1."""
+        if self.ends is None:
+            self.signs = [m.start() for m in _SIGN.finditer(self.html)]
+            self.ends = [-1] * (len(self.signs) + 1)
+            partner: dict[str, int] = {}
+            for k in range(len(self.signs) - 1, -1, -1):
+                sign = self.html[self.signs[k]]
+                if sign == ">":
+                    self.ends[k] = self.signs[k]
+                elif sign == "<":
+                    self.ends[k] = self.ends[k + 1]
+                else:
+                    other = partner.get(sign)
+                    self.ends[k] = -1 if other is None else self.ends[other + 1]
+                    partner[sign] = k
+        return self.ends[bisect_left(self.signs, at)]
+
+    def next(self, at: int) -> tuple[int, int, str | None, bool, str] | None:
+        """Start and end of the next tag from ``at`` on; its name (None: comment and the like), whether it
+        closes an element, and its attributes."""
+        html = self.html
+        while (at := html.find("<", at)) >= 0:
+            if html.startswith(("<!", "<?"), at):
+                if at < self.last or html.startswith("<!--", at):
+                    m = _OTHER.match(html, at)
+                    if m is not None:
+                        return at, m.end(), None, False, ""
+            elif at < self.last:
+                if self.ends is None:
+                    m = _TAG.match(html, at)
+                    if m is not None:
+                        return at, m.end(), m.group(2), bool(m.group(1)), m.group(3)
+                for pattern in _NAMES:
+                    m = pattern.match(html, at)
+                    end = self._closing(m.end()) if m is not None else -1
+                    if end >= 0:
+                        return at, end + 1, m.group(2), bool(m.group(1)), html[m.end() : end]
+            at += 1
+        return None
+
+
 def lines(html: str) -> list[Line]:
     """The blocks of a page that have text, in page order."""
     out: list[Line] = []
-    stack = [Element("", False, False, ())]
-    parts: list[str] = []
+    stack = [Element("", False, False, None)]
+    elements, opened_names = list(stack), Counter([""])
+    tags, parts = Tags(html), []
     at, n = 0, len(html)
 
+    def pop() -> str:
+        name = stack.pop().name
+        opened_names[name] -= 1
+        return name
+
     def close() -> None:
         if parts:
             text = _SPACE.sub(" ", unescape("".join(parts))).strip()
@@ -131,36 +211,38 @@ def lines(html: str) -> list[Line]:
                 out.append(Line(text, stack[-1]))
 
     while at < n:
-        m = _TAG.search(html, at)
-        if m is None:
+        tag = tags.next(at)
+        if tag is None:
             parts.append(html[at:])
             break
-        parts.append(html[at : m.start()])
-        at = m.end()
-        if m.group(2) is None:
+        start, end, name, closes, attributes = tag
+        parts.append(html[at:start])
+        at = end
+        if name is None:
             continue
-        name = m.group(2).lower()
-        if m.group(1):
+        name = name.lower()
+        if closes:
             # Inline elements are open only as furniture, or inside such of their name.
-            if name in (x.name for x in stack):
+            if opened_names[name] > 0:
                 close()
-                while stack.pop().name != name:
+                while pop() != name:
                     pass
             elif name not in VOID and name not in INLINE:
                 close()
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else n
+            ending = re.compile(rf"</{re.escape(name)}\b[^>]*+>", re.I)
+            m = ending.search(html, at, max(at, tags.last + 1))
+            at = m.end() if m else n
             parts.append(" ")
             continue
         if name == "br":
             parts.append(" ")
             continue
-        names = class_names(m.group(3)) if name not in WHOLE else ()
+        names = class_names(attributes) if name not in WHOLE else ()
         by_class = not FURNITURE_CLASSES.isdisjoint(names)
         furniture = name in FURNITURE
-        if name in INLINE and not by_class and all(x.name != name for x in stack):
+        if name in INLINE and not by_class and not opened_names[name]:
             continue
         if name == "hr" or name not in VOID:
             close()
@@ -168,22 +250,27 @@ def lines(html: str) -> list[Line]:
             continue
         top = stack[-1].name
         if top == "p" and name not in INLINE or top == name and name in ("li", "dt", "dd", "tr", "td"):
-            stack.pop()
+            pop()
         around = stack[-1]
         if name in WHOLE:
-            for x in around.marked:
-                x.cleared = True
+            around.clear()
         furniture = furniture or name == "header" and not around.content
         by_class = by_class or not around.content and not HEADER_CLASSES.isdisjoint(names)
         opened = Element(
-            name, around.content or name in CONTENT, around.furniture or furniture, around.marked
+            name,
+            around.content or name in CONTENT,
+            around.furniture or furniture,
+            around,
+            by_class,
         )
-        if by_class:
-            opened.marked += (opened,)
+        elements.append(opened)
         stack.append(opened)
-        if m.group(3).endswith("/"):
-            stack.pop()
+        opened_names[name] += 1
+        if attributes.endswith("/"):
+            pop()
     close()
+    for x in elements[1:]:
+        x.hidden = x.around.hidden or x.marked and not x.cleared
     return out
 
 
