@@ -71,6 +71,20 @@ def record_batch(columns: dict[str, list], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
 
+def under_hash_bound(rows: DataFrame, place: Column, wanted: int, kept: int | None = None) -> DataFrame:
+    """Rows among which are the ``wanted`` ones with the smallest ``place`` (a hash, long).
+
+    Counted first, all but about three times that many are left out where they are, so that what
+    follows may sort them.  Rows beyond the bound are taken only where too few are under it.
+    """
+    n = rows.count()
+    if n <= 4 * wanted:
+        return rows
+    bound = int((3 * wanted / n) * (1 << 64)) - (1 << 63)
+    under = rows.where(place < F.lit(bound))
+    return under if under.limit(kept or wanted).count() >= (kept or wanted) else rows
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [x or "" for x in batch.column(name).to_pylist()]

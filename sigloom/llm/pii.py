@@ -27,7 +27,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import WORD, by_batch, texts
+from sigloom.llm.common import WORD, by_batch, texts, under_hash_bound
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["plain", *KINDS]
@@ -251,14 +251,20 @@ def fit(graphs: list[Graph], steps: int = 300, rate: float = 0.5, decay: float =
 
 
 def trained(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model fitted on the sample; the driver holds at most ``sample_docs`` documents' words."""
-    sample = (
-        docs.where(F.col("text").rlike("[0-9@]"))
-        .select("text")
-        .orderBy(F.xxhash64("text"), F.length("text"))
-        .limit(sample_docs)
+    """A model fitted on the sample; the driver holds at most ``sample_docs`` documents' words.
+
+    Texts are cut to their lines with candidates where they are read, and only some times
+    ``sample_docs`` of them, by a bound on the hash, are sorted.
+    """
+    place = F.xxhash64("text")
+    candidates = docs.where(F.col("text").rlike("[0-9@]")).select("text")
+    near = under_hash_bound(candidates, place, sample_docs)
+    cut = by_batch(
+        near.select("text", place.alias("place"), F.length("text").alias("size")),
+        "text string, place long, size int",
+        _around_candidates,
     )
-    marked = by_batch(sample, "text string", _around_candidates).collect()
+    marked = cut.orderBy("place", "size").limit(sample_docs).collect()
     return fit([Graph(r["text"], base_spans(r["text"]), SAMPLE_NODES) for r in marked])
 
 
@@ -268,7 +274,7 @@ def _around_candidates(batch) -> dict[str, list]:
     for text in texts(batch):
         lines = [x[:4000] for x in text.split("\n") if _DIGIT.search(x) or "@" in x]
         out.append("\n".join(lines[:50]))
-    return {"text": out}
+    return {"text": out, "place": batch.column("place"), "size": batch.column("size")}
 
 
 def all_spans(found: list[str], model: Model) -> list[tuple[list, list]]:
