@@ -25,7 +25,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigloom.llm.common import by_batch, saved, texts
+from sigloom.llm.common import by_batch, saved, texts, under_hash_bound
 
 #: Corpus findings the forest may learn from, and findings written by rule.
 SAMPLE_FINDINGS = 4_000
@@ -224,9 +224,10 @@ def written_findings(n: int = WRITTEN_FINDINGS) -> list[tuple[list[float], float
 
 def trained(spark: SparkSession, found: DataFrame) -> RandomForestClassificationModel:
     """The forest, from at most ``SAMPLE_FINDINGS`` labelled rows of ``found`` and written ones."""
+    certain, place = found.where(F.col("certain").isNotNull()), F.xxhash64("value_sha256", "start")
     sample = (
-        found.where(F.col("certain").isNotNull())
-        .orderBy(F.xxhash64("value_sha256", "start"), "doc_id")
+        under_hash_bound(certain, place, SAMPLE_FINDINGS)
+        .orderBy(place, "doc_id")
         .limit(SAMPLE_FINDINGS)
         .select("features", F.col("certain").alias("label"))
         .collect()
