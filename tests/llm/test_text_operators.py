@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -26,7 +27,7 @@ from sigloom.llm import (
     secrets,
     substrings,
 )
-from sigloom.llm.common import read_table, saved
+from sigloom.llm.common import read_table, saved, under_hash_bound
 from sigloom.llm.windows import Words, leftmost_minimum
 
 SMALL = "/root/testdata/sf0.001"
@@ -505,3 +506,48 @@ def test_secrets(spark):
         value = text[r["doc_id"]][r["start"] : r["end"]]
         assert r["value_sha256"] == hashlib.sha256(value.encode()).hexdigest()
         assert not (r["is_secret"] and value.isdigit())
+
+
+@pytest.mark.parametrize(
+    "part",
+    ["<a ", "<" + "a" * 50, "<div class=ad>x", '<a "', '<a "<b \'', "</span><div>", "<script></script", "<!"],
+)
+def test_broken_pages_take_time_in_proportion(part):
+    """A megabyte of what never ends, or of elements in each other, as quick as any other page."""
+    html = part * (1_000_000 // len(part))
+    start = time.perf_counter()
+    pages.lines(html)
+    pages.lines(html + ">")
+    assert time.perf_counter() - start < 20
+
+
+def test_tags_that_do_not_end_are_text():
+    for html, want in {
+        "a < b <i>c</i> <p": "a < b c <p",
+        "<p>one <a href='x>y'>two</a> <b \"three</p>": "one two <b \"three",
+        "x <a \"b <p>c": "x <a \"b\nc",
+        "<a\"x y\">z": "z",
+    }.items():
+        assert "\n".join(x.text for x in pages.lines(html)) == want
+
+
+def test_deep_elements_clear_those_around_them():
+    depth = 30_000
+    html = "<div class=ad>" * depth + "<main>inside</main>" + "</div>" * depth
+    assert [(x.text, x.furniture) for x in pages.lines(html)] == [("inside", False)]
+    html = "<div class=ad>" * depth + "lost" + "</div>" * depth + "<p>kept"
+    assert [(x.text, x.furniture) for x in pages.lines(html)] == [("lost", True), ("kept", False)]
+
+
+def test_hash_bound_keeps_the_smallest(spark):
+    place = F.xxhash64("id")
+    for n, wanted in ((50, 30), (1000, 40), (20_000, 40)):
+        rows = spark.range(n)
+        near = under_hash_bound(rows, place, wanted)
+        first = [r["id"] for r in rows.orderBy(place).limit(wanted).collect()]
+        assert [r["id"] for r in near.orderBy(place).limit(wanted).collect()] == first
+        assert near.count() <= max(n if n <= 4 * wanted else 0, 5 * wanted)
+    # Rows of one hash alone: too few are under the bound, so all are taken.
+    same = spark.range(1000).select(F.lit(5).alias("id"))
+    assert under_hash_bound(same, place, 10).count() in (0, 1000)
+    assert under_hash_bound(same, place, 10).limit(10).count() == 10
