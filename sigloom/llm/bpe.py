@@ -12,9 +12,9 @@ pattern cuts them.  Repeated rows and null ids keep one result each.
 
 from __future__ import annotations
 
-import base64
 import functools
 import hashlib
+import json
 import re
 
 import numpy as np
@@ -29,7 +29,17 @@ SPECIAL_ID = 50256
 
 
 def default_vocabulary() -> str:
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letter that stands for each byte in the vocabulary's file.
+
+    Bytes that print in Latin-1 stand for themselves, the others for the letters from 256 on.
+    """
+    printing = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return {chr(b if b in printing else next(others)): b for b in range(256)}
 
 
 class Vocabulary:
@@ -58,11 +68,12 @@ class Vocabulary:
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
-        with open(path, "rb") as lines:
-            ranks = [line.split() for line in lines if line.strip()]
-        tokens = [b""] * len(ranks)
-        for token, rank in ranks:
-            tokens[int(rank)] = base64.b64decode(token)
+        """From a tokenizer file whose ids are in the order of the merges."""
+        with open(path, encoding="utf-8") as file:
+            ids = json.load(file)["model"]["vocab"]
+        letters, tokens = _byte_letters(), [b""] * len(ids)
+        for token, i in ids.items():
+            tokens[i] = bytes(letters[c] for c in token)
         return cls(tokens)
 
     def _longest_prefix(self, token: bytes) -> int:
