@@ -28,6 +28,7 @@ from sigloom.llm import (
     substrings,
 )
 from sigloom.llm.common import read_table, saved, under_hash_bound
+from sigloom.llm.tokens import Cache
 from sigloom.llm.windows import Words, leftmost_minimum
 
 SMALL = "/root/testdata/sf0.001"
@@ -551,3 +552,28 @@ def test_hash_bound_keeps_the_smallest(spark):
     same = spark.range(1000).select(F.lit(5).alias("id"))
     assert under_hash_bound(same, place, 10).count() in (0, 1000)
     assert under_hash_bound(same, place, 10).limit(10).count() == 10
+
+
+def test_token_cache_is_bounded_by_its_text():
+    made = []
+    cache = Cache(lambda unit: made.append(unit) or len(unit), entries=50, letters=1000)
+    for k in range(2000):
+        assert cache[f"{k:040d}"] == 40
+        assert len(cache) <= 50 and sum(map(len, cache)) <= 1000
+    assert cache["x" * 5000] == 5000 and "x" * 5000 not in cache
+    cache.learn(["ab", "y" * 900], [1, 2])
+    assert cache["ab"] == 1 and "y" * 900 not in cache
+    before = len(made)
+    assert cache["ab"] == 1 and len(made) == before
+
+
+def test_texts_without_spaces_are_not_kept():
+    own = bpe.Tokenizer(bpe.default_vocabulary())
+    words = packing.WordTokenizer(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(8)
+    for _ in range(20):
+        text = "".join(rng.choice("abcdefghij") for _ in range(5000))
+        own.encode(text)
+        words.encode(text)
+    kept = [own.pieces, own.first, own.after_space, words.runs, words.units]
+    assert sum(len(unit) for cache in kept for unit in cache) < 5000
