@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, islice
 from zlib import crc32
 
 import numpy as np
@@ -59,7 +60,7 @@ _MIX = (0x2545F4914F6CDD1D, 0x165667B19E3779F9, 0x1F83D9ABFB41BD6B)
 #: Positions a block of the scan has; messages go block by block along a text.
 BLOCK = 64
 #: Words a worker remembers, and their length.
-REMEMBERED, REMEMBERED_LETTERS = 300_000, 40
+REMEMBERED, REMEMBERED_LETTERS = 500_000, 40
 #: Tokens whose marginals are worked out at a time, unless one text has more.
 TOKENS = 400_000
 
@@ -95,6 +96,7 @@ class Chain:
         self.real = np.zeros(self.rows * BLOCK, bool)
         self.real[self.cell] = True
         self.real = self.real.reshape(self.rows, BLOCK)
+        self.full = self.real.all(axis=0)
 
     def grid(self, values: np.ndarray) -> np.ndarray:
         out = np.ones(self.rows * BLOCK)
@@ -104,18 +106,39 @@ class Chain:
     def _messages(self, steps: np.ndarray, start: float, backward: bool) -> np.ndarray:
         """Ratio of toxic to clean entering every block, through the blocks before (or behind) it.
 
-        ``steps`` (rows, 2, 2) turns the weights entering a block into those leaving it.
+        ``steps`` (clean to clean, toxic to clean, clean to toxic, toxic to toxic; each by row) turns the
+        weights entering a block into those leaving it.
         """
         entering = np.full(self.rows, start)
         row = self.first + (self.blocks - 1 if backward else 0)
         for k in range(1, int(self.blocks.max(initial=0))):
             docs = np.flatnonzero(self.blocks > k)
             here = row[docs] - k + 1 if backward else row[docs] + k - 1
-            ratio, m = entering[here], steps[here]
-            out = (m[:, 1, 0] + m[:, 1, 1] * ratio) / (m[:, 0, 0] + m[:, 0, 1] * ratio)
-            entering[here + (-1 if backward else 1)] = out
+            ratio, (cc, tc, ct, tt) = entering[here], steps[:, here]
+            entering[here + (-1 if backward else 1)] = (ct + tt * ratio) / (cc + tc * ratio)
         return entering
 
+    def _through(self, grid: np.ndarray, m: np.ndarray, backward: bool) -> np.ndarray:
+        """What each block as a whole does to the weights that enter it; no matter in which scale."""
+        one, none = np.ones(self.rows), np.zeros(self.rows)
+        steps = np.array([one, none, none, one])
+        for k in reversed(range(BLOCK)) if backward else range(BLOCK):
+            e, (cc, tc, ct, tt) = grid[:, k], steps
+            if backward:
+                ct, tt = e * ct, e * tt
+                new = np.array(
+                    [m[0, 0] * cc + m[0, 1] * ct, m[0, 0] * tc + m[0, 1] * tt,
+                     m[1, 0] * cc + m[1, 1] * ct, m[1, 0] * tc + m[1, 1] * tt]
+                )
+            else:
+                new = np.array(
+                    [m[0, 0] * cc + m[1, 0] * ct, m[0, 0] * tc + m[1, 0] * tt,
+                     e * (m[0, 1] * cc + m[1, 1] * ct), e * (m[0, 1] * tc + m[1, 1] * tt)]
+                )
+            new /= new.max(axis=0)
+            steps = new if self.full[k] else np.where(self.real[:, k], new, steps)
+        return steps
+
     def forward_backward(self, emission: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, ...]:
         """Ratios before, emissions, and ratios behind every token, in the order of the tokens.
 
@@ -125,21 +148,11 @@ class Chain:
         if not self.rows:
             return np.zeros(0), np.zeros(0), np.zeros(0)
         (m00, m01), (m10, m11) = moves
-        along = np.tile(np.eye(2), (self.rows, 1, 1))
-        against = along.copy()
-        for k in range(BLOCK):
-            real, e = self.real[:, k], grid[:, k]
-            step = np.array([[np.full_like(e, m00), np.full_like(e, m10)], [m01 * e, m11 * e]])
-            step = np.where(real[:, None, None], step.transpose(2, 0, 1), np.eye(2))
-            along = _scaled(step @ along)
-            j = BLOCK - 1 - k
-            real, e = self.real[:, j], grid[:, j]
-            step = np.array([[np.full_like(e, m00), m01 * e], [np.full_like(e, m10), m11 * e]])
-            step = np.where(real[:, None, None], step.transpose(2, 0, 1), np.eye(2))
-            against = _scaled(step @ against)
-        # A text starts after a clean token and ends with nothing behind it.
-        before = self._messages(along, 0.0, backward=False)
-        behind = self._messages(against, 1.0, backward=True)
+        # A text starts after a clean token and ends with nothing behind it.  Texts of one block need no more.
+        before, behind = np.zeros(self.rows), np.ones(self.rows)
+        if self.rows > np.count_nonzero(self.lengths):
+            before = self._messages(self._through(grid, moves, False), 0.0, backward=False)
+            behind = self._messages(self._through(grid, moves, True), 1.0, backward=True)
         left, right = np.empty_like(grid), np.empty_like(grid)
         for k in range(BLOCK):
             left[:, k] = (m01 + m11 * before) / (m00 + m10 * before)
@@ -152,10 +165,6 @@ class Chain:
         return tuple(flat)
 
 
-def _scaled(steps: np.ndarray) -> np.ndarray:
-    return steps / steps.max(axis=(1, 2), keepdims=True)
-
-
 def marginals(lengths: np.ndarray, scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """Probability that a token is toxic, for texts laid one after the other."""
     left, own, right = Chain(lengths).forward_backward(np.exp(scores), np.exp(moves))
@@ -176,27 +185,32 @@ class Model:
     constant: float | None = None
     _scores: dict[str, float] = field(default_factory=dict, repr=False)
 
-    def score(self, word: str) -> float:
-        known = self._scores.get(word)
-        if known is None:
-            known = float(np.clip(self.weights[word_features(word)].sum(), -30, 30))
-            if len(word) <= REMEMBERED_LETTERS:
-                if len(self._scores) >= REMEMBERED:
-                    self._scores.clear()
-                self._scores[word] = known
-        return known
+    def scores(self, words: list[str]) -> np.ndarray:
+        """The words' part of the score of their tokens; words met before are looked up."""
+        found = list(map(self._scores.get, words))
+        if None in found:
+            new = list({w for w, x in zip(words, found) if x is None})
+            features = np.array([word_features(w) for w in new], np.int64)
+            made = dict(zip(new, np.clip(self.weights[features].sum(axis=1), -30, 30).tolist()))
+            found = [made[w] if x is None else x for w, x in zip(words, found)]
+            if len(self._scores) + len(made) > REMEMBERED:
+                self._scores.clear()
+            short = (w for w in made if len(w) <= REMEMBERED_LETTERS)
+            self._scores.update((w, made[w]) for w in islice(short, REMEMBERED))
+        return np.array(found, float)
 
     def tagged(self, documents: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
         """Words of each text and their marginals."""
-        held: list[list[str]] = []
+        held, tokens = [], 0
         for k, text in enumerate(documents):
             held.append(WORD.findall(text))
-            if sum(map(len, held)) >= TOKENS or k == len(documents) - 1:
+            tokens += len(held[-1])
+            if tokens >= TOKENS or k == len(documents) - 1:
                 lengths = np.array([len(w) for w in held], np.int64)
-                scores = np.fromiter((self.score(w) for words in held for w in words), float)
+                scores = self.scores(list(chain.from_iterable(held)))
                 probable = marginals(lengths, scores, self.moves)
                 yield from zip(held, np.split(probable, np.cumsum(lengths)[:-1]))
-                held = []
+                held, tokens = [], 0
 
 
 def markers(words: np.ndarray, starts: np.ndarray, toxic: np.ndarray, features: np.ndarray) -> np.ndarray:
