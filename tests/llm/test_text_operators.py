@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import time
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -577,3 +579,32 @@ def test_texts_without_spaces_are_not_kept():
         words.encode(text)
     kept = [own.pieces, own.first, own.after_space, words.runs, words.units]
     assert sum(len(unit) for cache in kept for unit in cache) < 5000
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_beliefs_equal_enumeration(seed):
+    """On trees of links of all kinds loopy message passing gives the exact marginals."""
+    rng = np.random.default_rng(seed)
+    n, k = 6, len(pii.LABELS)
+    index = {f"f{i}": i for i in range(5)}
+    model = pii.Model(
+        index, rng.normal(size=(5, k)), rng.normal(size=(k, k)), rng.normal(size=(k, k)) + 1
+    )
+    links = [(int(rng.integers(0, j)), j, int(rng.integers(0, 3))) for j in range(1, n)]
+    graph = SimpleNamespace(
+        nodes=[(i, i + 1, i) for i in range(n)],
+        features=[[f"f{x}" for x in rng.choice(5, 2, replace=False)] for _ in range(n)],
+        observed=[int(rng.integers(0, k)) if i in (1, 4) else -1 for i in range(n)],
+        **{name: [(i, j) for i, j, t in links if t == c] for c, name in enumerate(("chain", "skip", "far"))},
+        longest=n,
+    )
+    exact = np.zeros((n, k))
+    for labels in itertools.product(range(k), repeat=n):
+        if any(o >= 0 and o != x for o, x in zip(graph.observed, labels)):
+            continue
+        score = sum(model.unary[index[f], x] for fs, x, o in zip(graph.features, labels, graph.observed) if o < 0 for f in fs)
+        for i, j, t in links:
+            score += (model.chain if t == 0 else model.skip)[labels[i], labels[j]]
+        exact[np.arange(n), labels] += np.exp(score)
+    exact /= exact.sum(axis=1, keepdims=True)
+    assert np.allclose(model.beliefs([graph]), exact, atol=5e-3)
