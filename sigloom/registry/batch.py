@@ -145,6 +145,29 @@ def s7_envelope(t):
     )
 
 
+@query(
+    "S7_complete_snapshot",
+    "select id, pair_symbol, recommended_action, score_week, score_month, row_number() over "
+    "(partition by part order by place) - 1 as pos, part from (select *, dense_rank() over "
+    "(order by stretch) - 1 as part from (select *, floor((sum(size) over (order by place) - size) "
+    f"/ ({MESSAGE_BYTES} - {messages.MESSAGE_OVERHEAD} - max(size) over () + 1)) as stretch from "
+    "(select *, strlen(cast(to_json({" + _SENT_TEXT + "}) as varchar)) + 1 as size, row_number() "
+    "over (order by score_week desc nulls last, timestamp desc nulls first, id) as place "
+    "from scoring_history where is_active)))",
+)
+def s7_complete(t):
+    """Three snapshots in mixed messages; the newest lacks its last part, so the second is served."""
+    facts = ranking.order_feed(t("scoring_history")).select(*SENT, "is_active")
+    active = facts.where("is_active").drop("is_active")
+    sent = [
+        messages.envelope(rows, AS_OF + timedelta(seconds=k), MESSAGE_BYTES)
+        for k, rows in enumerate([facts.drop("is_active"), active, facts.drop("is_active")])
+    ]
+    sent[2] = sent[2].where(F.col("part") < F.col("parts") - 1)
+    received = sent[2].unionByName(sent[0]).unionByName(sent[1]).unionByName(sent[1])
+    return messages.complete_snapshot(received).select(*SENT, "part", "pos")
+
+
 def feed_messages(t):
     """One message per signal: well-formed feeds, other kinds, and broken text."""
     record = F.struct(

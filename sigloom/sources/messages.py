@@ -120,6 +120,36 @@ def parse_feed(
     ).select("signal.*", "part", "pos")
 
 
+def complete_snapshot(
+    messages: DataFrame, value: str = "value", schema: T.StructType = FEED_MESSAGE
+) -> DataFrame:
+    """The signals of the newest snapshot of which all messages are there, with ``part`` and ``pos``.
+
+    Messages of one ``timestamp`` are one snapshot; one without ``parts`` is a snapshot of its own.  Parts may come
+    in any order, mixed with those of other snapshots, and more than once.  While a snapshot still lacks a
+    part, the one before it is the newest; nothing comes out before the first is complete.
+    """
+    good = _parsed(messages, value, schema).filter(
+        F.col(f"message.{_CORRUPT}").isNull() & (F.col("message.type") == "signals")
+    )
+    numbered = good.select(
+        F.col("message.timestamp").alias("_sent"),
+        F.coalesce("message.part", F.lit(0)).cast("bigint").alias("part"),
+        F.coalesce("message.parts", F.lit(1)).cast("bigint").alias("_parts"),
+        F.col("message.data").alias("_data"),
+    )
+    newest = (
+        numbered.groupBy("_sent", "_parts")
+        .agg(F.count_distinct("part").alias("_there"))
+        .where(F.col("_there") == F.col("_parts"))
+        .agg(F.max("_sent"))
+        .scalar()
+    )
+    whole = numbered.where(F.col("_sent") == newest).dropDuplicates(["part"])
+    rows = whole.select("part", F.posexplode("_data").alias("pos", "signal"))
+    return rows.select("signal.*", "part", "pos")
+
+
 def messages_of_type(messages: DataFrame, kind: str, value: str = "value") -> DataFrame:
     """Well-formed messages of one type (``pong``, ``stats``, ``error``), as read."""
     rows = _parsed(messages, value, FEED_MESSAGE)

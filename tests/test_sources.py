@@ -101,6 +101,26 @@ def test_standard_feed_comes_back_equal(spark, max_bytes):
     assert [tuple(r) for r in back.collect()] == wanted
 
 
+def test_newest_complete_snapshot(spark):
+    def sent(numbers, second):
+        df = spark.createDataFrame([(n,) for n in numbers], "id long").coalesce(1)
+        frame = messages.envelope(df, datetime(2024, 1, 31, 0, 0, second), messages.MESSAGE_OVERHEAD + 30)
+        return [r["value"] for r in frame.orderBy("part").collect()]
+
+    def served(*values):
+        got = messages.complete_snapshot(texts(spark, *values)).orderBy("part", "pos")
+        return [r["id"] for r in got.collect()]
+
+    old, new = sent(range(10), 1), sent(range(50, 70), 2)
+    assert len(old) > 2 and len(new) > 3
+    assert served(*new[1:]) == []
+    assert served(*new[1:], *reversed(old)) == list(range(10))
+    assert served(*new[1:], *old, new[0], new[0], "{broken", '{"type": "pong"}') == list(range(50, 70))
+    # A message of the plain form is a snapshot of its own.
+    plain = '{"type": "signals", "timestamp": "2024-02-01", "count": 1, "data": [{"id": 7}]}'
+    assert served(*old, plain) == [7]
+
+
 def test_catalog_reads_frames_folders_and_tables(spark, folder):
     pairs = spark.createDataFrame([(1, True)], "id long, is_active boolean")
     pairs.write.parquet(f"{folder}/trading_pairs")
