@@ -56,6 +56,10 @@ class BatchTable:
         if batch_id % self.every == self.every - 1:
             self.compact(batch_id)
 
+    def written(self, batch_id: int) -> DataFrame:
+        """The rows just put for a batch."""
+        return self.spark.read.parquet(f"{self.root}/open/{BATCH}={batch_id}")
+
     def compact(self, upto: int) -> None:
         """Merge everything up to a batch into a new base."""
         bases = list(self._bases())

@@ -99,7 +99,6 @@ def show_once(
     def show(batch: DataFrame, batch_id: int) -> None:
         first = ranking.distinct_on(batch, [seen.key], [F.asc_nulls_last(order)])
         shown.put(seen.unseen(first, batch_id), batch_id)
-        rows = shown.read().where(F.col(BATCH) == batch_id)
-        seen.put(rows, batch_id)
+        seen.put(shown.written(batch_id), batch_id)
 
     return on_batch(alerts, show, checkpoint)
