@@ -8,6 +8,8 @@ work is linear.  Pairwise compatible tokens are exactly the result of merging by
 
 Null text is empty: no tokens.  Texts of any length are cut only where the vocabulary's own
 pattern cuts them.  Repeated rows and null ids keep one result each.
+
+An empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations

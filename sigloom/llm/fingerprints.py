@@ -9,6 +9,8 @@ of the first text's chunk bytes whose chunks occur in the second.
 
 Null text is empty, with an empty fingerprint: fully contained in anything, and nothing but empty
 texts is contained in it.  Equal texts have equal fingerprints.
+
+Texts of any length are read whole.  An empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,6 +11,9 @@ first by a hash of their text, those of at least ``SAMPLE_MIN_CHARS`` characters
 
 Null text, or one without a letter, is ``und`` with score 0.  Equal sizes go to the commoner
 label.  Repeated rows and null ids keep one result each.  With no labelled text all is ``und``.
+
+Texts are compressed whole, whatever their length.  An empty table gives no row; other columns are
+ignored.
 """
 
 from __future__ import annotations

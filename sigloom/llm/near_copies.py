@@ -15,6 +15,10 @@ them that have a size at which they could still be similar.  Every comparison is
 Null text, or one without words, is a class of its own.  A text of fewer than five words is one
 shingle.  Rows of one id and text count as one document, rows of one id and different texts as several;
 null ids come after all others, in the order of a hash of the text, which names a class of nulls only.
+
+Texts are compared whole, whatever their length.  A class is named by its smallest id, so equally similar
+members make no difference.  An empty table gives no row.  ``near_classes`` ignores other columns,
+``one_of_each`` keeps them.
 """
 
 from __future__ import annotations

@@ -11,6 +11,8 @@ the whole corpus at once; nothing is packed in separate parts.
 Null text is empty: one piece holding only the end id.  Repeated rows and null ids are packed as
 rows of their own.  An empty table gives no rows.  Pieces of equal length are placed in the order
 of a hash of their id, then by id and position.
+
+Texts of any length are encoded whole.  Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -15,6 +15,9 @@ text.  A class counts by its full name, and never for an element that is or cont
 Null html is empty: empty text.  A null or odd URL has an empty host and path and is paired among
 its like.  A page that has no neighbour of other lines, or only such as share nearly all its lines,
 loses no line.  Repeated rows keep one result each.
+
+Of two neighbours equally near the one before counts.  Html of any length is parsed in time proportional
+to it.  An empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations

@@ -15,6 +15,9 @@ candidates, labelled by the patterns and taken in the order of a hash of their t
 Null text is empty and has no spans.  Every pattern is scanned in linear time, so long texts are
 read whole.  Repeated rows and null ids keep one result each; without any candidate in the corpus
 only the patterns decide.
+
+Of labels equally probable the first counts.  An empty table gives no row.  ``personal_data`` ignores other
+columns, ``redacted`` keeps them.
 """
 
 from __future__ import annotations

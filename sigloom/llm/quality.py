@@ -11,6 +11,8 @@ Null text counts as empty: no words, ``base_failed``.  Rows are judged one by on
 rows and null ids keep one result each.  Extra input columns are ignored by ``quality``.  A document
 whose label has no reference, as when no document of that label passes the base rules, is
 judged by the base rules only; one without a label is compared with all references.
+
+Texts are read whole, whatever their length.  An empty table gives no row.
 """
 
 from __future__ import annotations

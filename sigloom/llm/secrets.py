@@ -10,6 +10,8 @@ placeholders, checksums and identifiers.
 Null text is empty and has no candidates.  Values of any length are measured whole.  Repeated rows
 and null ids keep their findings; a document without candidates has no row.  Without labelled
 findings of the corpus the written ones alone train the forest.
+
+Of candidates that overlap the first counts.  An empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations

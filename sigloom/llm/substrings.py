@@ -18,6 +18,9 @@ What need not travel stays:
 Null text has no words.  A null id counts as smaller than all others.  Repeated rows (equal id and
 text) keep their words, as none of them starts earlier than the other.  Texts of any length are
 read whole.
+
+Rows of one id and different texts count as one document: a window that both have at the same place
+stays in both.  An empty table gives no row.  ``kept_words`` ignores other columns, ``stripped`` keeps them.
 """
 
 from __future__ import annotations
