@@ -6,37 +6,29 @@ from collections.abc import Callable, Iterable
 
 #: Entries a worker keeps before it starts anew, about 200 bytes each besides their text.
 CACHE_ENTRIES = 600_000
-#: Length of all units kept, and of the longest one that is kept (characters or bytes).
-CACHE_LETTERS = 12_000_000
-LONGEST_KEPT = 256
+#: Longest unit that is kept (characters or bytes), so that the text of all entries is bounded too.
+LONGEST_KEPT = 64
 
 
 class Cache(dict):
     """What ``make`` gave for a unit.
 
-    Bounded by its entries and their text: it is emptied when full, and long units are made anew each
-    time, which only costs time.
+    Bounded: it is emptied when full, and long units are made anew each time, which only costs time.
     """
 
-    def __init__(self, make: Callable, entries: int = CACHE_ENTRIES, letters: int = CACHE_LETTERS):
+    def __init__(self, make: Callable, entries: int = CACHE_ENTRIES):
         super().__init__()
-        self.make, self.entries, self.letters = make, entries, letters
-        self.held = 0
+        self.make, self.entries = make, entries
 
     def __missing__(self, unit):
         value = self.make(unit)
         if len(unit) <= LONGEST_KEPT:
-            self._make_room(1, len(unit))
+            if len(self) >= self.entries:
+                self.clear()
             self[unit] = value
         return value
 
-    def _make_room(self, entries: int, letters: int) -> None:
-        if len(self) + entries > self.entries or self.held + letters > self.letters:
-            self.clear()
-            self.held = 0
-        self.held += letters
-
     def learn(self, units: Iterable, values: Iterable) -> None:
-        short = [(u, v) for u, v in zip(units, values, strict=True) if len(u) <= LONGEST_KEPT]
-        self._make_room(len(short), sum(len(u) for u, _ in short))
-        self.update(short)
+        if len(self) >= self.entries:
+            self.clear()
+        self.update((u, v) for u, v in zip(units, values, strict=True) if len(u) <= LONGEST_KEPT)
