@@ -49,36 +49,61 @@ def streamed(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return derive(rows, name)
 
 
+#: Rows of one staged file, about; the files of a micro-batch are read and written by tasks of their own.
+FILE_ROWS = 250_000
+
+
 def staged(
-    rows: DataFrame, purpose: str, order: Column, batches: int = 4
-) -> tuple[str, T.StructType]:
-    """The rows as a folder of files that streams take one after the other, in the given order.
+    rows: DataFrame, purpose: str, order: Column, batches: int = 4, file_rows: int = FILE_ROWS
+) -> tuple[str, T.StructType, int]:
+    """The rows as a folder of files that streams take in the given order, and how many at a time.
 
-    Ranges of the order are written one by one, each as one file of its own folder.
+    Ranges of the order are written one by one, each as the same number of files in its own folder: as
+    many as the largest range needs, the missing ones without rows.
     """
     spark = rows.sparkSession
     root = working_folder(spark, purpose)
     rows.withColumn("_at", order).write.parquet(f"{root}/all")
     ranked = spark.read.parquet(f"{root}/all")
     cuts = ranked.approxQuantile("_at", [k / batches for k in range(1, batches)], 0.001)
-    bounds = [None, *cuts, None]
-    for number, (low, high) in enumerate(pairwise(bounds)):
-        part = ranked
+    parts = []
+    for low, high in pairwise([None, *cuts, None]):
+        inside = F.lit(True)
         if low is not None:
-            part = part.where(F.col("_at") >= low)
+            inside = inside & (F.col("_at") >= low)
         if high is not None:
-            part = part.where(F.col("_at") < high)
-        part.drop("_at").coalesce(1).write.parquet(f"{root}/batch={number:04d}")
-    return f"{root}/batch=*", rows.schema
+            inside = inside & (F.col("_at") < high)
+        parts.append(inside)
+    sizes = ranked.agg(*[F.count_if(inside).alias(f"n{k}") for k, inside in enumerate(parts)]).first()
+    files = max(1, -(-max(sizes) // file_rows))
+    for number, inside in enumerate(parts):
+        path = f"{root}/batch={number:04d}"
+        part = ranked.where(inside).drop("_at")
+        part = part.coalesce(1) if files == 1 else part.repartition(files)
+        part.write.option("maxRecordsPerFile", 0).parquet(path)
+        for _ in range(files - file_count(spark, path)):
+            spark.createDataFrame([], rows.schema).coalesce(1).write.mode("append").parquet(path)
+    return f"{root}/batch=*", rows.schema, files
+
+
+def file_count(spark: SparkSession, path: str) -> int:
+    """How many data files a folder on any file system holds."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/*.parquet")
+    return len(target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target))
 
 
 def in_batches(
-    rows: DataFrame, purpose: str, order: Column | None = None, batches: int = 4
+    rows: DataFrame,
+    purpose: str,
+    order: Column | None = None,
+    batches: int = 4,
+    file_rows: int = FILE_ROWS,
 ) -> DataFrame:
     """The rows as a stream of several micro-batches (by id, if no order is given)."""
-    path, schema = staged(rows, purpose, F.col("id") if order is None else order, batches)
+    order = F.col("id") if order is None else order
+    path, schema, files = staged(rows, purpose, order, batches, file_rows)
     return changes.change_source(
-        rows.sparkSession, path, source_format="parquet", schema=schema, max_files=1
+        rows.sparkSession, path, source_format="parquet", schema=schema, max_files=files
     )
 
 

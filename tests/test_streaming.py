@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import glob
 import json
 import os
 from datetime import datetime, timedelta
@@ -9,6 +10,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sigloom.operators import ranking
+from sigloom.registry.streams import drain, in_batches, staged
 from sigloom.schemas import CHANGE_ROW, SCORING_HISTORY
 from sigloom.plans import monitoring
 from sigloom.sources.batches import BatchTable
@@ -448,3 +450,22 @@ def test_change_rows_have_the_declared_layout(spark):
     for op in ("INSERT", "UPDATE"):
         shaped = change_rows(facts, op)
         assert [f.dataType for f in shaped.schema] == [f.dataType for f in CHANGE_ROW]
+
+
+def test_staged_ranges_are_dealt_to_the_same_number_of_files(spark, folder):
+    """No task writes a whole range, and a micro-batch still takes just its own range."""
+    numbered = spark.range(0, 400, 1, 3)
+    path, _, files = staged(numbered, "numbers", F.col("id"), batches=2, file_rows=30)
+    ranges = [glob.glob(f"{p}/*.parquet") for p in sorted(glob.glob(path))]
+    assert files > 5 and [len(r) for r in ranges] == [files] * 2
+    assert max(spark.read.parquet(p).count() for r in ranges for p in r) <= 60
+
+    # Ties: some ranges are empty, the last one holds nearly all rows.
+    tied = numbered.withColumn("at", F.when(F.col("id") < 2, 0).otherwise(9))
+    path, _, files = staged(tied, "tied", F.col("at"), batches=4, file_rows=50)
+    assert files > 5 and [len(glob.glob(f"{p}/*.parquet")) for p in glob.glob(path)] == [files] * 4
+
+    seen = []
+    stream = in_batches(numbered, "numbers", F.col("id"), batches=4, file_rows=20)
+    drain(rates.on_batch(stream, lambda b, n: seen.append(sorted(r["id"] for r in b.collect())), f"{folder}/c"))
+    assert len(seen) == 4 and sum(seen, []) == list(range(400))
