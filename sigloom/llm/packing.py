@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sigloom.llm.common import by_batch, saved, texts
+from sigloom.llm.common import WORD, by_batch, saved, texts
 from sigloom.llm.tokens import Cache
 
 CAPACITY = 2048
@@ -43,61 +43,76 @@ def default_vocabulary() -> str:
 class WordTokenizer:
     """Token ids of a text, for a tokenizer that drops white space and never joins across it.
 
-    Units between ASCII white space are encoded once and kept.  A unit of plain Latin letters and
-    punctuation is lower-cased and split as the vocabulary's own pattern does, so that its
-    letter runs are shared between units; any other unit goes through the tokenizer whole.
+    A stretch of plain Latin letters, punctuation and ASCII white space is lower-cased and split as the
+    vocabulary's own pattern does, into runs that are encoded once and kept.  Where a line holds anything
+    else, it is read by units between white space, and a unit that is not plain goes through the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.runs = Cache(self._ids)
-        self.units = Cache(self._unit)
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.shown = {ord(c): level.pre_tokenize_str(c)[0][0] for c in _PROBES[-1]}
+        # A byte-level vocabulary gives its model the bytes of a run of letters; other runs take the whole way.
+        self.model = self.tokenizer.model
+        self.direct = all(self._of_model(r) == self._ids(r) for r in _PROBES)
+        self.runs = Cache(self._run)
+        self.units = Cache(self._ids)
 
     def _ids(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()
 
-    def _unit(self, unit: bytes) -> bytes:
-        text = unit.decode()
-        # Letters below U+0130 lower-case one by one and are already composed.
-        if _PLAIN.fullmatch(text):
-            return b"".join(map(self.runs.__getitem__, _RUNS.findall(text.lower())))
-        return self._ids(text)
-
-    def _learn(self, new: set[bytes]) -> None:
-        """Encodes the letter runs of new units in few calls."""
-        runs = set()
-        for unit in new:
-            text = unit.decode()
-            if _PLAIN.fullmatch(text):
-                runs.update(r for r in _LETTERS.findall(text.lower()) if r not in self.runs)
-        runs = list(runs)
-        for k in range(0, len(runs), 500):
-            some = runs[k : k + 500]
-            got = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, words = np.array(got.ids, "<u4"), np.array(got.word_ids)
-            parts = np.split(ids, np.flatnonzero(np.diff(words)) + 1)
-            if len(parts) == len(some):
-                self.runs.learn(some, (p.tobytes() for p in parts))
+    def _of_model(self, run: str) -> bytes:
+        tokens = self.model.tokenize(run.translate(self.shown))
+        return np.array([token.id for token in tokens], "<u4").tobytes()
+
+    def _run(self, run: str) -> bytes:
+        if self.direct and _LETTERS.fullmatch(run):
+            return self._of_model(run)
+        return self._ids(run)
 
     def encode(self, text: str) -> np.ndarray:
-        units = text.encode().split()
-        parts = list(map(self.units.get, units))
+        runs = _split(text)
+        parts = list(map(self.runs.get, runs))
         if None in parts:
-            gaps = [i for i, part in enumerate(parts) if part is None]
-            self._learn({units[i] for i in gaps})
-            for i in gaps:
-                parts[i] = self.units[units[i]]
+            for i, part in enumerate(parts):
+                if part is None:
+                    run = runs[i]
+                    parts[i] = self.runs[run] if _PLAIN.fullmatch(run) else self.units[run]
         return np.frombuffer(b"".join(parts), "<u4")
 
 
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-į.,;:!?*#$%&()|\-]+")
+_CHARACTERS = r"A-Za-zÀ-ÖØ-öø-į.,;:!?*#$%&()|\-"
+_PLAIN = re.compile(f"[{_CHARACTERS}]+")
+_PLAIN_TEXT = re.compile(rf"[{_CHARACTERS} \t\n\x0b\f\r]*")
 _LETTERS = re.compile(r"[a-zß-öø-į]+")
-_RUNS = re.compile(r"[a-zß-öø-į]+|[^a-zß-öø-į]+")
+_RUNS = re.compile(r"[a-zß-öø-į]+|[^a-zß-öø-į \t\n\x0b\f\r]+")
+#: Every letter of a run that is lower case, alone and in some company.
+_LOWER = "".join(c for c in map(chr, range(0x61, 0x130)) if _LETTERS.fullmatch(c.lower()) and c.lower() == c)
+_PROBES = [*_LOWER, "the", "thinking", "zyxwvutsrqponm", "ciónueueco", "lønnstillæg", _LOWER]
+
+
+def _split(text: str) -> list[str]:
+    """Runs of plain stretches and units that are not plain, in order."""
+    # Letters below U+0130 lower-case one by one and are already composed.
+    if _PLAIN_TEXT.fullmatch(text):
+        return _RUNS.findall(text.lower())
+    runs = []
+    for line in text.split("\n"):
+        if _PLAIN_TEXT.fullmatch(line):
+            runs += _RUNS.findall(line.lower())
+            continue
+        for unit in WORD.findall(line):
+            if _PLAIN.fullmatch(unit):
+                runs += _RUNS.findall(unit.lower())
+            else:
+                runs.append(unit)
+    return runs
 
 
 @functools.lru_cache(2)

@@ -581,6 +581,25 @@ def test_texts_without_spaces_are_not_kept():
     assert sum(len(unit) for cache in kept for unit in cache) < 5000
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_packing_ids_are_those_of_the_library(seed):
+    """Plain stretches, odd units beside them, all kinds of white space; runs of letters skip the library's encoding."""
+    own = packing.WordTokenizer(packing.default_vocabulary())
+    rng = random.Random(seed)
+    odd = " \t\n\x0b\f\r\x1c\x85\xa0\u200bİıſßẞÀéÿ×÷ĀįĮŁABC.,;:!?*#$%&()|-'\"01_@漢é😀"
+    words = ["".join(rng.choices("abcdefghijéßñäøœī", k=rng.randrange(1, 12))) for _ in range(300)]
+    texts = [" ".join(rng.choices(words, k=60)).capitalize() + "." for _ in range(40)]
+    texts += ["".join(rng.choices(odd + "abcd  ", k=rng.randrange(40))) for _ in range(800)]
+    for text in texts:
+        want = own.tokenizer.encode(text, add_special_tokens=False).ids
+        assert own.encode(text).tolist() == want
+    calls, whole = [], own._ids
+    own._ids = lambda text: calls.append(text) or whole(text)
+    own.runs.make = own._run
+    own.encode(" ".join("".join(rng.choices("klmnopqrstéüñ", k=15)) for _ in range(100)))
+    assert not calls
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_beliefs_equal_enumeration(seed):
     """On trees of links of all kinds loopy message passing gives the exact marginals."""
