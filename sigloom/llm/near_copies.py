@@ -253,6 +253,14 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _between(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """Which classes the links (a, b) connect: links of earlier steps are in the classes and not walked again."""
+    a, b = labels.toDF("a", "class_a"), labels.toDF("b", "class_b")
+    return links.join(a, "a").join(b, "b").select(
+        F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")
+    ).distinct()
+
+
 def _in_company(sketched: DataFrame) -> DataFrame:
     """Members of buckets that hold two or more, with ``others``: in how much company a key is."""
     buckets = sketched.select("key", "weight", F.explode("buckets").alias("bucket"))
@@ -425,7 +433,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     )
 
     labels = needed.select("key", F.col("key").alias("class"))
-    edges, done = None, None
+    done, merged = None, False
     # First with centres, in buckets of one band and of two; then whatever is still apart.
     for buckets, sketched, pairing in [
         (members, wide, _with_centre),
@@ -439,14 +447,15 @@ def _classes(docs: DataFrame) -> DataFrame:
         if pairs.isEmpty():
             continue
         found = _similar(pairs, candidates)
-        edges = found if edges is None else edges.union(found)
         if not found.isEmpty():
+            joined = components(_between(found, labels) if merged else found)
             labels = saved(
-                needed.join(components(edges), "key", "left").select(
-                    "key", F.coalesce("class", "key").alias("class")
+                labels.join(joined.toDF("class", "to"), "class", "left").select(
+                    "key", F.coalesce("to", "class").alias("class")
                 ),
                 "classes",
             )
+            merged = True
     node_class = labels.select(F.col("key").alias("node"), F.col("class"))
     return (
         keyed.select("doc_id", "key")

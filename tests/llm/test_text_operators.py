@@ -627,3 +627,30 @@ def test_beliefs_equal_enumeration(seed):
         exact[np.arange(n), labels] += np.exp(score)
     exact /= exact.sum(axis=1, keepdims=True)
     assert np.allclose(model.beliefs([graph]), exact, atol=5e-3)
+
+
+def test_links_of_earlier_steps_are_not_walked_again(spark, monkeypatch):
+    """Each step joins the classes so far; walking all links anew grew with the links times the steps."""
+    rng = random.Random(3)
+    chain = [[f"w{rng.randrange(10**6)}" for _ in range(120)]]
+    for _ in range(59):
+        words = list(chain[-1])
+        words[rng.randrange(120)] = f"w{rng.randrange(10**6)}"
+        chain.append(words)
+    walked, walk, centred = [], near_copies.components, near_copies._with_centre
+
+    def counted(links):
+        walked.append({(bytes(r["a"]), bytes(r["b"])) for r in links.collect()})
+        return walk(links)
+
+    # Half of the pairs are not looked at in the first steps, so that later ones find links too.
+    half = F.pmod(F.xxhash64("a", "b"), F.lit(2)) == 0
+    monkeypatch.setattr(near_copies, "_with_centre", lambda *args: centred(*args).where(half))
+    monkeypatch.setattr(near_copies, "components", counted)
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(chain)], "doc_id long, text string")
+    got = near_copies.near_classes(docs).collect()
+    assert len(got) == 60 and {r["class_id"] for r in got} == {0}
+    assert len(walked) > 1
+    for k, links in enumerate(walked[1:], 1):
+        assert not links & set().union(*walked[:k])
+        assert len(links) < len(walked[0])
