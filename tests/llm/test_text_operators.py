@@ -7,6 +7,7 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sigloom.llm import (
+    blooms,
     bpe,
     fingerprints,
     language,
@@ -334,6 +336,24 @@ def test_substrings(spark, docs, monkeypatch, hot):
     assert got == repeated_by_brute_force(rows)
 
 
+@pytest.mark.parametrize("count", [0, 3, 200_000])
+def test_bloom_filter_reaches_the_driver_packed(spark, count):
+    keys = spark.range(count).select(F.xxhash64("id").alias("h"))
+    tracemalloc.start()
+    bits, words = blooms.bloom_filter(keys, "h")
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * bits // 8 + 1_000_000  # rows for the words of the largest took 37 MB
+
+    hashes = np.array([r["h"] for r in keys.collect()], np.int64)
+    expected = np.zeros(bits, bool)
+    for bit in (hashes & (bits - 1), (hashes >> 32) & (bits - 1)):
+        expected[bit] = True
+    assert bits >= min(blooms.MAX_BITS, blooms.BITS_PER_KEY * count)
+    assert np.array_equal(np.packbits(expected, bitorder="little").view(np.int64), words)
+    assert blooms.holds((bits, words), hashes).all()
+
+
 def test_repeated_rows_keep_their_words(docs):
     got = [r["n_removed"] for r in substrings.kept_words(docs.where("doc_id = 9")).collect()]
     assert got == [0, 0]
