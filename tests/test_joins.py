@@ -97,6 +97,31 @@ def test_interval_pieces_follow_the_density(spark):
         joins.interval_join(crowded, thin, salts=2, crowd=5)
 
 
+def test_interval_join_moves_in_proportion_to_its_rows(spark):
+    def ticks(count, name):
+        step = f"make_dt_interval(0, 0, 0, cast(id as double) * 86400 / {count})"
+        return spark.range(count).selectExpr("id as " + name[0], f"timestamp_ntz'2024-01-01' + {step} as {name}")
+
+    for facts, regimes in ((20_000, 5_000), (20_000, 20_000), (5_000, 20_000)):
+        left, right = ticks(facts, "timestamp"), ticks(regimes, "regime_time")
+        pieces = joins.interval_pieces(left, right)
+        assert pieces == 1 or (pieces + 1) * regimes <= facts + regimes
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "4k")  # neither side is below, the crowds are
+    try:
+        for crowd in (100, 100_000):  # every bucket is one, none is
+            joined = joins.interval_join(left, right, HOUR, how="left", crowd=crowd)
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 2
+            seen = joined.where("r is not null").selectExpr("count(*)", "sum(t)", "sum(r)").first()
+            # A fact a 17.28 s, a regime a 4.32 s: 833 of them in the hour, and that of the fact's own time.
+            pairs = [(k, r) for k in range(5_000) for r in range(max(0, 4 * k - 833), 4 * k + 1)]
+            assert tuple(seen) == (len(pairs), sum(k for k, _ in pairs), sum(r for _, r in pairs))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def random_signals(seed, count, longest):
     pick = random.Random(seed)
     vocabulary = [f"P{i}_1h" for i in range(7)] + [None]
