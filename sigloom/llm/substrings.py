@@ -141,40 +141,44 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     hot = spark.sparkContext.broadcast(bloom_filter(counted.where(F.col("runs") > HOT), "minimiser"))
     arrow = arrow_schema(spark, _RUNS)
 
+    def sent_of(keys: list, versions: list, found: list[bytes]) -> pa.RecordBatch:
+        block = Block(found)
+        words, data = block.words, block.words.data
+        here = block.repeated_here(keys)
+        out = {c: [] for c in arrow.names}
+
+        def put(first, count, at, packed):
+            text = int(words.text[first])
+            out["key"].append(keys[text])
+            out["version"].append(versions[text])
+            out["start"].append(int(first - words.first[text]))
+            out["windows"].append(int(count))
+            out["at"].append(at)
+            out["packed"].append(packed)
+
+        flagged, length = block.runs(here)
+        for first, count in zip(flagged.tolist(), length.tolist()):
+            put(first, count, keys[int(words.text[first])], None)
+        travels = block.valid & ~here
+        travels[travels] = holds(repeated.value, block.minimiser[travels])
+        single = travels.copy()
+        single[travels] = holds(hot.value, block.minimiser[travels])
+        first, count = block.runs(travels & ~single)
+        at, n = np.flatnonzero(single), np.ones(int(single.sum()), np.int64)
+        to = np.concatenate(
+            [block.minimiser[first], words.window_hashes(WINDOW)[at].view(np.int64)]
+        )
+        first, count = np.concatenate([first, at]), np.concatenate([count, n])
+        begins = words.starts[first].tolist()
+        ends = words.ends[first + count + WINDOW - 2].tolist()
+        for f, c, t, b, e in zip(first.tolist(), count.tolist(), to.tolist(), begins, ends):
+            put(f, c, t, b" ".join(data[b:e].split()))
+        return record_batch(out, arrow)
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, versions, found in _blocks(batches):
-            block = Block(found)
-            words, data = block.words, block.words.data
-            here = block.repeated_here(keys)
-            out = {c: [] for c in arrow.names}
-
-            def put(first, count, at, packed):
-                text = int(words.text[first])
-                out["key"].append(keys[text])
-                out["version"].append(versions[text])
-                out["start"].append(int(first - words.first[text]))
-                out["windows"].append(int(count))
-                out["at"].append(at)
-                out["packed"].append(packed)
-
-            flagged, length = block.runs(here)
-            for first, count in zip(flagged.tolist(), length.tolist()):
-                put(first, count, keys[int(words.text[first])], None)
-            travels = block.valid & ~here
-            travels[travels] = holds(repeated.value, block.minimiser[travels])
-            single = travels.copy()
-            single[travels] = holds(hot.value, block.minimiser[travels])
-            first, count = block.runs(travels & ~single)
-            at, n = np.flatnonzero(single), np.ones(int(single.sum()), np.int64)
-            to = np.concatenate(
-                [block.minimiser[first], words.window_hashes(WINDOW)[at].view(np.int64)]
-            )
-            first, count = np.concatenate([first, at]), np.concatenate([count, n])
-            begins = words.starts[first].tolist()
-            ends = words.ends[first + count + WINDOW - 2].tolist()
-            for f, c, t, b, e in zip(first.tolist(), count.tolist(), to.tolist(), begins, ends):
-                put(f, c, t, b" ".join(data[b:e].split()))
-            yield record_batch(out, arrow)
+        # One block at a time: what a call holds is free again before the next block is read.
+        for block in _blocks(batches):
+            yield sent_of(*block)
 
     sent = docs.mapInArrow(send, _RUNS)
     return (

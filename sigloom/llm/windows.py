@@ -46,9 +46,12 @@ class Words:
         self.text = np.searchsorted(firsts, self.starts, "right") - 1
         #: Of each text, the number of its first word in the sequence.
         self.first = np.searchsorted(self.text, np.arange(len(found)))
-        prefix = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _power(0, len(data))[: len(data)], out=prefix[1:])
-        raw = (prefix[self.ends] - prefix[self.starts]) * _power(1, len(data) + 1)[self.starts]
+        # In place: a block's eight bytes for each byte are most of what a worker holds.
+        sums = _BYTE[data]
+        sums *= _power(0, len(data))[: len(data)]
+        np.cumsum(sums, out=sums)
+        before = np.where(self.starts > 0, sums[self.starts - 1], np.uint64(0)) if len(data) else 0
+        raw = (sums[self.ends - 1] - before) * _power(1, len(data) + 1)[self.starts]
         self.hashes = mixed(raw)
 
     def window_hashes(self, n: int) -> np.ndarray:
